@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, secrets, shard
 
-QUERIES = {"op1_decontamination": decontaminate.op1_decontamination}
+QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_sharding": shard.op2_sharding,
+    "op4_secrets": secrets.op4_secrets,
+}
 ORACLE_SQL = {"op1_decontamination": decontaminate.OP1_SQL}
