@@ -36,13 +36,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/clickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    remember(spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Have cleanup() remove a path, at the latest when the driver ends."""
     owner = spark.sparkContext.applicationId
     if owner not in _made:
         _made[owner] = []
         atexit.register(cleanup, spark)
     _made[owner].append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def cleanup(spark: SparkSession) -> None:
