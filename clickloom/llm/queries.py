@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, secrets, shard, tokens
+from . import decontaminate, embeddings, secrets, shard, substrings, tokens
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": shard.op2_sharding,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op8_token_ids": tokens.op8_token_ids,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
 }
