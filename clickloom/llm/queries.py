@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, secrets, shard, substrings, tokens
+from . import decontaminate, embeddings, jaccard, secrets, shard, substrings, tokens
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op8_token_ids": tokens.op8_token_ids,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op3_substring_dedup": substrings.OP3_SQL,
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
 }
