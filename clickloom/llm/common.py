@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +60,21 @@ def cleanup(spark: SparkSession) -> None:
             _remove(spark, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="clickloom-")  # the driver serves it as long as the application lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that Python workers get small whatever the length of the texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
@@ -83,31 +99,44 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph of edges (a, b), as rows (id, component).
 
-    component is the smallest id reachable. Only nodes with edges get a row. Each round takes the smallest
-    neighbouring label over all edges (partially aggregated, so a hub is no hot spot) and then follows labels
-    to their own labels, so long chains halve. Every round is a written table; only one number, whether
-    a label changed, comes to the driver.
+    component is the smallest id reachable; only nodes with edges get a row. Each level hooks every node to its smallest
+    neighbour (a partially aggregated minimum, so a hub is no hot spot), follows hooks to the roots by doubling, and
+    replaces the edges by those between different roots, which shrink fast. Every step is a written table; only whether
+    something changed comes to the driver.
     """
-    both = edges.where("a <> b").select("a", "b").distinct()
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    done: list[DataFrame] = []
+    while True:
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+        labels = _follow(labels, labels)
+        done.append(labels)
+        at = [labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_root")) for c in ("a", "b")]
+        left = edges.join(at[0], "a").join(at[1], "b").where("a_root <> b_root")
+        edges = materialize(left.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    labels = done.pop()
+    while done:  # the roots of a level are the nodes of the next
+        lower = done.pop()
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        labels = lower.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        labels = materialize(labels, "labels")
+    return labels
+
+
+def _follow(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """Replace each label by its own label until nothing changes."""
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        hooked = labels.join(near, "id").select("id", F.least("component", "near").alias("new"), F.col("component").alias("old"))
-        hooked = materialize(hooked, "hooked")
-        jumped = hooked.join(hooked.select(F.col("id").alias("new"), F.col("new").alias("jump")), "new", "left").select(
-            "id", F.least("new", F.coalesce("jump", "new")).alias("component"), "old"
-        )
-        labels = materialize(jumped, "labels")
-        if labels.where("component <> old").isEmpty():
-            return labels.select("id", "component")
+        seen = Observation()
+        up = roots.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        jumped = labels.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved"))
+        labels = roots = materialize(jumped.observe(seen, F.count_if("moved").alias("n")), "labels").select("id", "component")
+        if not seen.get["n"]:
+            return labels
 
 
 class Forest:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialize, read
+from .common import Forest, components, materialize, read, ship
 
 SLICE = 1024  # 127 * 127 * 1024 < 2^24
 
@@ -93,6 +93,7 @@ def _clean(batch_values: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = 4096, pivots: int = 64) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    ship(spark)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))

@@ -209,7 +209,7 @@ def verified(sets: list[np.ndarray], similarity: int, label: list[int] | None =
     return forest
 
 
-def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 1024, bucket_keys: int = 4_000_000) -> DataFrame:
+def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 1024, bucket_keys: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents connected by links of at least similarity percent."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -294,14 +294,14 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
         return _edges(group.column("sig").to_numpy(), verified(found, similarity, group.column("label").to_pylist()))
 
     def full(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted, "doc_id").select("text", "sig", "component", "k", "label").mapInArrow(load, "sig long, component long, k int, label long, set binary")
+        return rows.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label").mapInArrow(load, "sig long, component long, k int, label long, set binary")
 
     home = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
     # the first set of a component goes to all its blocks
     everywhere = F.when(F.col("sig") == F.col("component"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))
     loaded = full(plan.withColumn("label", F.col("sig"))).withColumn("block", F.explode(everywhere))
-    links = materialize(loaded.groupBy("component", "block").applyInArrow(check, "a long, b long"), "links")
-    labels = components(links)
+    # a set other than the first is in one block, and the first has the smallest signature: the root in its block is its class
+    labels = materialize(loaded.groupBy("component", "block").applyInArrow(check, "a long, b long"), "links").select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = plan.where("k > 1")
     if not large.isEmpty():
         large = large.join(labels.select(F.col("id").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -310,8 +310,8 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
         if not large.isEmpty():
             tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.least(i, home).alias("i"), F.greatest(i, home).alias("j")))
             tiled = full(large).withColumn("tile", F.explode(tiles))
-            links = materialize(links.unionByName(tiled.groupBy("component", "tile").applyInArrow(check, "a long, b long")), "links")
-            labels = components(links.unionByName(large.where("label <> sig").select(F.col("sig").alias("a"), F.col("label").alias("b"))))
+            more = tiled.groupBy("component", "tile").applyInArrow(check, "a long, b long")
+            labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     named = sets.join(labels.select(F.col("id").alias("sig"), F.col("component").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = materialize(named.select("doc_id", "n", "root"), "named")

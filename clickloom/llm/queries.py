@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, secrets, shard, substrings, tokens
+from . import decontaminate, embeddings, jaccard, mixing, quality, secrets, shard, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": shard.op2_sharding,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_secrets": secrets.op4_secrets,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_ids": tokens.op8_token_ids,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,

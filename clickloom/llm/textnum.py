@@ -66,6 +66,27 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * powers(_INVERSE, n - width + 1) + np.uint64(width))
 
 
+class Spans:
+    """Hashes of byte spans of one array."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODE[data] * powers(_BASE, n), dtype=np.uint64, out=self.total[1:])
+        self.back = powers(_INVERSE, n + 1)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = self.total[end]
+        h -= self.total[start]
+        h *= self.back[start]
+        return mix(h + (end - start).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte spans."""
+    return Spans(data).hashes(start, end)
+
+
 class Words:
     """The words of a batch of texts, in order.
 
@@ -107,16 +128,9 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, longest: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``longest`` bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODE[self.data] * powers(_BASE, n), dtype=np.uint64, out=total[1:])
-        end = self.end if longest is None else np.minimum(self.end, self.start + longest)
-        h = total[end]
-        h -= total[self.start]
-        h *= powers(_INVERSE, n)[self.start] if n else h
-        return mix(h + (end - self.start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return span_hashes(self.data, self.start, self.end)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``width`` words inside one document, and the index of their first words."""
@@ -129,6 +143,3 @@ class Words:
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
-
-def utf8(values: list) -> pa.Array:
-    return pa.array(values, pa.string())

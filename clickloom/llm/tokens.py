@@ -10,9 +10,7 @@ doc_ids and lengths list its documents and their numbers of ids, n_ids is the le
 two streams. A second dataset, ranks, holds id and rank. Spark's writers commit whole tasks, so a lost executor
 leaves no half-written block.
 
-Texts are encoded by whitespace-separated chunks: the tokenizer's rules never look across white space, so a
-chunk's ids do not depend on its surroundings, and each worker encodes a distinct chunk once. A text that
-holds a special token's string is encoded whole.
+Words that the tokenizer's rules separate are encoded once each by a worker; see Encoder.
 
 Defined cases: a null or empty text has only the end id; null doc_ids order first; repeated doc_ids are ordered by checksum;
 an empty table gives no rows.
@@ -30,64 +28,130 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, gather, materialize, read
+from .textnum import span_hashes
 
 END_ID = 2
-MOST_CHUNKS = 400_000  # distinct chunks a worker remembers before it starts anew
+MOST_WORDS = 500_000  # distinct words a worker remembers before it starts anew
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte, and its lower-case form; bytes of class 4 are left to the tokenizer's own rules."""
+    kind = np.full(256, 4, np.uint8)
+    kind[0x21:0x7F] = OTHER
+    kind[0x30:0x3A] = DIGIT
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+    kind[[0x20, *range(0x09, 0x0E)]] = SPACE
+    low = np.arange(256, dtype=np.uint8)
+    low[0x41:0x5B] += 32
+    return kind, low
+
+
+SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+_KIND, _LOW = _byte_classes()
+_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes string columns; ids of distinct chunks are kept in one flat array."""
+    """Encodes string columns.
+
+    Texts of ASCII and the letters U+00C0 to U+00FF are cut into the tokenizer's words on their bytes: lower-cased runs of
+    letters, single digits, runs of other characters, and the contractions 's 't 're 've 'm 'll 'd where a run begins with
+    them. Each distinct word is encoded once and remembered by its hash. All other texts, and those that hold
+    a special token's string, are encoded whole.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.at, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _add(self, chunks: list[str]) -> None:
-        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        length = np.array([len(e) for e in encoded], np.int64)
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, *encoded])
-        n = len(self.known)
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.word = Tokenizer.from_file(path)  # for words already normal and cut
+        self.word.normalizer = None
+        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[int, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """This worker's encoder, with the words of its earlier tasks."""
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, starts and ends of words, the words of each text (first), and which texts have other characters."""
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        n = len(raw)
+        kind, low = _KIND[raw], _LOW[raw]
+        lead = np.flatnonzero(raw == 0xC3)
+        tail = lead + 1
+        up = tail[(raw[tail] < 0x9F) & (raw[tail] != 0x97)]
+        low[up] += 0x20
+        odd = kind == 4
+        follows = np.zeros(n + 1, bool)
+        follows[tail] = True
+        odd |= ((raw & 0xC0) == 0x80) & ~follows[:n]
+        odd[tail] |= (raw[tail] == 0x97) | (raw[tail] == 0xB7)
+        total = np.concatenate([[0], np.cumsum(odd)])
+        strange = total[offsets[1:]] > total[offsets[:-1]]
+        begin = np.zeros(n + 4, bool)
+        begin[offsets] = True
+        cut = begin.copy()
+        cut[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        padded = np.concatenate([low, np.zeros(4, np.uint8)])
+        at = np.flatnonzero((low == 0x27) & cut[:n])
+        at = at[~begin[at + 1]]
+        one = at[np.isin(padded[at + 1], np.frombuffer(b"stmd", np.uint8))]
+        rest = at[~begin[at + 2]]
+        pair = padded[rest + 1].astype(np.int32) << 8 | padded[rest + 2]
+        two = rest[np.isin(pair, [0x7265, 0x7665, 0x6C6C])]
+        cut[one + 1] = False
+        cut[two + 1] = False
+        cut[one + 2] = True
+        cut[two + 3] = True
+        edges = np.flatnonzero(cut[:n])
+        ends = np.append(edges[1:], n)
+        word = kind[edges] != SPACE
+        starts, ends = edges[word], ends[word]
+        return low, starts, ends, np.searchsorted(starts, offsets), strange
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's end id included, and the number of ids of each text."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "")
-        whole = np.zeros(len(texts), bool)
+        low, starts, ends, first, whole = self.cut(texts)
         for s in self.special:
-            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(whole), "", texts)
-        lists = pc.split_pattern_regex(plain, pattern=r"[ \t\n\v\f\r]+")
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.list_flatten(lists).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > MOST_CHUNKS:
-            self.clear()
-        fresh = [w for w in words if w not in self.known]
+            whole = whole | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        skip = np.repeat(whole, np.diff(first))
+        first = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
+        starts, ends = starts[~skip], ends[~skip]
+        coded = pa.array(span_hashes(low, starts, ends)).dictionary_encode()
+        hashes, slot = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > MOST_WORDS:
+            self.known = {}
+        fresh = [k for k, h in enumerate(hashes) if h not in self.known]
         if fresh:
-            self._add(fresh)
-        slot = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
-        length = self.length[slot]
-        first = np.concatenate([[0], np.cumsum(counts)])
+            at = np.empty(len(hashes), np.int64)
+            at[slot[::-1]] = np.arange(len(slot))[::-1]  # where each word is first met
+            body = low.tobytes()
+            words = [body[a:b].decode() for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
+            for k, e in zip(fresh, self.word.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.known[hashes[k]] = np.array(e.ids, np.uint32).tobytes()
+        blobs = [self.known[h] for h in hashes]
+        length = np.array([len(b) // 4 for b in blobs], np.int64)
+        flat = np.frombuffer(b"".join(blobs), np.uint32)
+        base = (np.cumsum(length) - length)[slot]
+        length = length[slot]
         total = np.concatenate([[0], np.cumsum(length)])
         n = total[first[1:]] - total[first[:-1]]
-        place = np.repeat(self.at[slot] - (total[:-1]), length) + np.arange(total[-1])
-        ids = self.flat[place]
-        own = {int(k): np.array(self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(whole)}
+        ids = flat[np.repeat(base - total[:-1], length) + np.arange(total[-1])]
+        own = {int(k): np.array(self.whole.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(whole)}
         if own:
             parts = np.split(ids, np.cumsum(n)[:-1])
             for k, v in own.items():
@@ -95,10 +159,10 @@ class Encoder:
             n = np.array([len(p) for p in parts], np.int64)
             ids = np.concatenate(parts)
         out = np.empty(len(ids) + len(n), np.uint32)
-        ends = np.cumsum(n + 1) - 1
+        last = np.cumsum(n + 1) - 1
         keep = np.ones(len(out), bool)
-        keep[ends] = False
-        out[keep], out[ends] = ids, END_ID
+        keep[last] = False
+        out[keep], out[last] = ids, END_ID
         return out, n + 1
 
 
@@ -106,7 +170,6 @@ class Encoder:
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _PLACES = np.cumsum(_LENGTHS, 1) - _LENGTHS
 _TOTAL = _LENGTHS.sum(1)
-_MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -139,8 +202,8 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = Encoder(vocabulary)
-        for batch in gather(batches, text):
+        encoder = Encoder.of(vocabulary)
+        for batch in gather(batches, text, 8 << 20):
             ids, n = encoder.encode(batch.column(text))
             ends = np.cumsum(n)
             blobs, wide = [], []
