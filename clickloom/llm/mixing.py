@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 
 MOST_SOURCES = 100_000
+MOST_RANGES = 1 << 16  # beyond it ranges grow: to half a GB for a source of 33 TB
 
 
 def slots(weights: dict, period: int) -> dict:
@@ -69,7 +70,7 @@ def schedule(n: dict) -> list:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, period: int = 4096, range_bytes: int = 8 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, period: int = 4096, range_bytes: int = 1 << 20) -> DataFrame:
     """docs with block (from 1, in its source), release, deadline, slot (its place in the mix) and chosen."""
     spark = docs.sparkSession
     size = F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long")
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     table = spark.createDataFrame([(s, k, n[s], t) for s in n for k, t in enumerate(turns[s])], f"source {docs.schema[source].dataType.simpleString()}, k int, n long, turn long")
     table = F.broadcast(table)  # one row per slot of a period
 
-    ranges = max(1, -(-max(held.values(), default=1) // range_bytes))
+    ranges = max(1, min(-(-max(held.values(), default=1) // range_bytes), MOST_RANGES))
     keyed = keyed.withColumn("__range", F.floor(F.shiftrightunsigned("__hash", 33).cast("double") / (1 << 31) * ranges).cast("int"))
     sizes = materialize(keyed.groupBy(F.col(source).alias("__source"), "__range").agg(F.sum("__size").alias("bytes")), "mix-ranges")
     before = F.sum("bytes").over(W.partitionBy("__source").orderBy("__range")) - F.col("bytes")
