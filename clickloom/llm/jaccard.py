@@ -17,7 +17,8 @@ that leaves more than one class, by all pairs of blocks. So a group of copies co
 Identical sets are one set from the start: they are counted and joined by a 64-bit signature.
 
 Defined cases: null and empty texts have an empty set, size 0, and are classes of their own; a text of fewer words than a shingle is one
-shingle; null doc_ids belong to their class but do not name it; repeated rows are identical sets; an empty table gives no rows.
+shingle; rows with null doc_id belong to the class of their text
+where another row has it, but do not name it; repeated rows are identical sets; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def verified(sets: list[np.ndarray], similarity: int, label: list[int] | None =
     return forest
 
 
-def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 1024, bucket_keys: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 4096, block_shingles: int = 4_000_000, bucket_keys: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents connected by links of at least similarity percent."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -268,15 +269,12 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
     maybe = components(edges)
 
     # verify: full sets of the first document of every set in a candidate component
-    reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    sized = maybe.groupBy("component").agg(F.count("*").alias("m"))
-    plan = materialize(
-        maybe.join(sized, "component")
-        .select(F.col("id").alias("sig"), "component", F.ceil(F.col("m") / block).cast("int").alias("k"))
-        .join(reps, "sig")
-        .where("doc_id is not null"),
-        "candidates",
-    )
+    reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    member = materialize(maybe.select(F.col("id").alias("sig"), "component").join(reps, "sig").where("doc_id is not null"), "members")
+    # as many blocks as keep each to ``block`` sets and about ``block_shingles`` shingles
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    sized = materialize(member.groupBy("component").agg(blocks.alias("k")), "component-sizes")
+    plan = materialize(member.join(sized, "component").select("sig", "component", "k", "doc_id"), "candidates")
 
     def load(batches):
         for batch in gather(batches, "text"):
