@@ -5,10 +5,17 @@ Everything works on the concatenated UTF-8 bytes of a batch, so no Python object
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Large arrays come and go here: let glibc give their memory back at once instead of keeping it for the worker's life.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD; setting it also stops it from growing
+
 SPACE = 0
 #: A byte table maps every byte to the byte it counts as; 0 separates words.
 _BYTES = np.arange(256, dtype=np.uint8)

@@ -18,6 +18,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import bound_batches, gather, materialize, read
 from .textnum import span_hashes
 
 END_ID = 2
-MOST_WORDS = 500_000  # distinct words a worker remembers before it starts anew
+MOST_WORDS = 1_000_000  # distinct words a worker remembers before it starts anew
 
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +72,20 @@ class Encoder:
         self.word = Tokenizer.from_file(path)  # for words already normal and cut
         self.word.normalizer = None
         self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[int, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.array([(1 << 64) - 1], np.uint64)  # hashes of known words, sorted; where their ids are, and how many
+        self.at, self.length, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        length = np.array([len(x) for x in ids], np.int64)
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])[order]
+        self.length = np.concatenate([self.length, length])[order]
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))])
+        self.keys = keys[order]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -132,22 +146,20 @@ class Encoder:
         first = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
         starts, ends = starts[~skip], ends[~skip]
         coded = pa.array(span_hashes(low, starts, ends)).dictionary_encode()
-        hashes, slot = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        fresh = [k for k, h in enumerate(hashes) if h not in self.known]
-        if fresh:
+        hashes, slot = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        if len(self.keys) > MOST_WORDS:
+            self.forget()
+        place = np.searchsorted(self.keys, hashes)
+        fresh = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes)
+        if len(fresh):
             at = np.empty(len(hashes), np.int64)
             at[slot[::-1]] = np.arange(len(slot))[::-1]  # where each word is first met
             body = low.tobytes()
             words = [body[a:b].decode() for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
-            for k, e in zip(fresh, self.word.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[hashes[k]] = np.array(e.ids, np.uint32).tobytes()
-        blobs = [self.known[h] for h in hashes]
-        length = np.array([len(b) // 4 for b in blobs], np.int64)
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        base = (np.cumsum(length) - length)[slot]
-        length = length[slot]
+            self.learn(hashes[fresh], [e.ids for e in self.word.encode_batch_fast(words, add_special_tokens=False)])
+            place = np.searchsorted(self.keys, hashes)
+        length, flat = self.length[place], self.flat
+        base, length = self.at[place][slot], length[slot]
         total = np.concatenate([[0], np.cumsum(length)])
         n = total[first[1:]] - total[first[:-1]]
         ids = flat[np.repeat(base - total[:-1], length) + np.arange(total[-1])]
@@ -203,7 +215,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
     def run(batches):
         encoder = Encoder.of(vocabulary)
-        for batch in gather(batches, text, 8 << 20):
+        for batch in gather(batches, text, 3 << 20):
             ids, n = encoder.encode(batch.column(text))
             ends = np.cumsum(n)
             blobs, wide = [], []
