@@ -81,8 +81,8 @@ def with_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def session_predicate(task: TaskParams) -> Column:
-    """AND of the task's filters. A filter that is not set passes everything; one that is set rejects missing data. An age
-    range counts only with both ends."""
+    """AND of the task's filters, for where(). A filter that is not set passes everything; one that is set rejects missing data
+    (it is null there, which where() drops; so each part can be pushed to its table). An age range counts only with both ends."""
     parts: list[Column] = []
     if task.start_age is not None and task.end_age is not None:
         parts.append(F.col("age").between(task.start_age, task.end_age))
@@ -99,7 +99,7 @@ def session_predicate(task: TaskParams) -> Column:
     every = F.lit(True)
     for p in parts:
         every = every & p
-    return F.coalesce(every, F.lit(False))
+    return every
 
 
 def filtered_sessions(actions: DataFrame, users: DataFrame, task: TaskParams) -> DataFrame:
