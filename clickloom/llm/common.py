@@ -79,7 +79,7 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def gather(batches, text: str, size: int = 4 << 20):
+def gather(batches, text: str, size: int = 2 << 20):
     """Join small Arrow batches into ones of about ``size`` bytes of text: numpy calls cost little per row then."""
     import pyarrow as pa
 
@@ -99,6 +99,23 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts: rows whose id may be among ids, and rows whose id is surely not.
+
+    A bitmap of 2**bits bits (at most 2**(bits - 6) rows, so its broadcast is bounded) is looked up by a hash of the id. It keeps
+    most texts out of the exchange of a join that follows; where it is too small for the ids it only says "may be" more often.
+    """
+    words = 1 << (bits - 6)
+    h = F.xxhash64(F.col(doc_id).cast("long"))
+    word, bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+    table = ids.where(F.col(doc_id).isNotNull()).select(word.alias("__word"), bit.alias("__bit"))
+    table = materialize(table.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")), "bitmap")
+    marked = docs.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table), "__word", "left")
+    maybe = F.coalesce(F.expr("shiftrightunsigned(__bits, __bit)").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [F.col(c) for c in docs.columns]
+    return marked.where(maybe).select(*columns), marked.where(~maybe).select(*columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph of edges (a, b), as rows (id, component).
 
