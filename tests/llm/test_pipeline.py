@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tab
 
 def test_stages(spark):
     import corpus_pipeline as p
-    from test_operators import brute_hits, shingles
+    from test_llm_operators import brute_hits, shingles
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
