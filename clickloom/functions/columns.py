@@ -81,6 +81,16 @@ def date_hour(c: Column) -> Column:
     return F.date_format(as_time(c), "yyyy-MM-dd_HH")
 
 
+def format_date(c: Column) -> Column:
+    """'yyyy-MM-dd' of a date or timestamp."""
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def format_time(c: Column) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' of a timestamp."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 def date_key(c: Column) -> Column:
     """'yyyyMMdd' of a date or timestamp."""
     return F.date_format(c, "yyyyMMdd")
@@ -111,7 +121,7 @@ def today() -> Column:
 
 def from_millis(c: Column) -> Column:
     """Timestamp of epoch milliseconds given as text; days follow spark.sql.session.timeZone."""
-    return F.timestamp_millis(F.expr("try_cast(__c AS BIGINT)") if isinstance(c, str) else c.try_cast("long"))
+    return F.timestamp_millis(c.try_cast("long"))
 
 
 def round_half_up(c: Column, digits: int = 2) -> Column:
@@ -135,6 +145,12 @@ def json_field(c: Column, name: str) -> Column:
     return F.get_json_object(c, f"$.{name}")
 
 
+def json_array_item(c: Column, index: int, name: str) -> Column:
+    """A field of one object of a JSON array; single-quoted JSON is read too. Null where the text cannot be read."""
+    items = F.from_json(c, "array<map<string,string>>", {"allowSingleQuotes": "true"})
+    return F.get(items, F.lit(index))[name]
+
+
 def group_concat_distinct(c: Column, separator: str = ",") -> Column:
     """Aggregate: the distinct values, sorted and joined."""
     return F.array_join(F.array_sort(F.collect_set(c)), separator)

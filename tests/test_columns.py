@@ -64,4 +64,10 @@ def test_distinct_sets_are_exact_and_sorted(spark):
 
 def test_json_and_slices(spark):
     assert one(spark, a=C.json_field(F.lit('{"x": 3}'), "x"), b=C.json_field(F.lit("?"), "x")) == {"a": "3", "b": None}
+    quoted = F.lit("[{'name': 'a', 'score': 80}, {'name': 'b', 'score': 90}]")
+    assert one(spark, a=C.json_array_item(quoted, 1, "score"), b=C.json_array_item(quoted, 5, "score"), c=C.json_array_item(F.lit("?"), 0, "x")) == {"a": "90", "b": None, "c": None}
+    t = C.as_time(F.lit("2024-01-02 03:04:05"))
+    assert one(spark, a=C.format_date(t), b=C.format_time(t)) == {"a": "2024-01-02", "b": "2024-01-02 03:04:05"}
+    days = one(spark, a=F.datediff(C.today().cast("date"), C.yesterday().cast("date")))
+    assert days == {"a": 1}
     assert C.page_slices((1, 2, 3)) == ["1_2", "2_3"] and C.page_slices((1,)) == []
