@@ -139,11 +139,11 @@ def sample_quotas(sessions: DataFrame, total: int = 100) -> DataFrame:
     """How many sessions of each hour to draw: total / days for a day, its share of the day for an hour, both cut to whole numbers,
     and no more than the hour has. Without sessions there are no rows."""
     hours = sessions_per_hour(sessions)
-    # one row per hour of the range: small whatever the number of sessions
+    # one row per hour of the range, so one task may see them all to count the days
     by_day = hours.withColumn("day_count", F.sum("session_count").over(W.partitionBy("date")))
-    days = hours.agg(F.countDistinct("date").alias("days"))
+    by_day = by_day.withColumn("days", F.size(F.collect_set("date").over(W.partitionBy(F.lit(0)))))
     quota = F.expr(f"session_count * ({total} div days) div day_count")
-    return by_day.crossJoin(F.broadcast(days)).select("date", "hour", "session_count", F.least(quota, F.col("session_count")).alias("quota"))
+    return by_day.select("date", "hour", "session_count", F.least(quota, F.col("session_count")).alias("quota"))
 
 
 def sample_sessions(sessions: DataFrame, total: int = 100, seed: int = 9, task_id: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -176,7 +178,12 @@ def ad_click_trend(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str) -> AdStream:
     """The whole stream over the log, written as files and taken batch by batch."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='clickloom-')}").rstrip("/") + f"/ads-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:  # as in tests
+        folder = tempfile.mkdtemp(prefix="clickloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shared = f"file://{folder}"
+    base = f"{shared.rstrip('/')}/ads-{uuid.uuid4().hex}"
     fixtures(spark, sf_dir).ad_log.write.text(f"{base}/in")
     stream = AdStream(spark, f"{base}/out", Settings(blacklist_threshold=THRESHOLD))
     stream.start(spark.readStream.text(f"{base}/in"), f"{base}/checkpoint", once=True).awaitTermination()
