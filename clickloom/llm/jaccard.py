@@ -2,8 +2,8 @@
 
 A document is its set of distinct shingles. Shingles are hashed into GROUPS groups; the counts of a set in the groups are a point, and the
 summed coordinate minima of two points bound the overlap of the sets from above. An R-tree over points
-bounds a whole node by the minima against the upper corner of its box, and by its range of set sizes. Pairs that survive
-the bounds are verified on the full sets.
+bounds a whole node by the minima against the upper corner of its box, and by its range of set sizes. Long sets have a second,
+finer vector, which bounds single pairs. Pairs that survive the bounds are verified on the full sets.
 
 One tree over all points would compare nearly everything with everything (unrelated long texts have alike count
 vectors), so points are first routed to many small trees by a rule that loses no pair. Two sets that link differ in at most
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bound_batches, components, gather, materialize, read
+from .common import Forest, bound_batches, components, gather, materialize, read, split_by_ids
 from .textnum import Words, mix, rolling, signed, whitespace_table
 
-GROUPS = 16
+GROUPS = 64  # with fewer, counts of unrelated sets of some hundred shingles are too much alike to tell them apart
+FINE, LONG = 512, 1024  # groups of a second vector, for sets of so many shingles, which are too much alike in the first
 LEAF = 32  # points of a leaf, and children of a node
 
 
@@ -64,10 +65,43 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return signed(mix(summed(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first) + np.diff(first).astype(np.uint64)))
 
 
-def count_vectors(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+def count_vectors(values: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     n = len(first) - 1
     owner = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(owner * GROUPS + (values >> np.uint64(60)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    group = (values >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
+    return np.bincount(owner * groups + group, minlength=n * groups).reshape(n, groups)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The same counts in the fewest bytes that hold them all."""
+    return counts.astype(next(k for k, most in (("u1", 0xFF), ("<u2", 0xFFFF), ("<u4", 0xFFFFFFFF)) if counts.max(initial=0) <= most))
+
+
+class Points:
+    """Count vectors of sets: one of GROUPS groups each and, for long sets, one of FINE groups (row: where, or -1)."""
+
+    def __init__(self, coarse: np.ndarray, similarity: int, fine: np.ndarray | None = None, row: np.ndarray | None = None):
+        self.coarse, self.similarity, self.fine = coarse, similarity, fine
+        self.sizes = coarse.sum(1, dtype=np.int64)
+        self.row = np.full(len(coarse), -1) if row is None else row
+
+    def take(self, at: np.ndarray) -> Points:
+        return Points(self.coarse[at], self.similarity, self.fine, self.row[at])
+
+    def need(self, a, b):
+        """The least overlap with which sets of these sizes link."""
+        return -(-self.similarity * (a + b) // (100 + self.similarity))
+
+    def may_link(self, a, b: np.ndarray) -> np.ndarray:
+        """Do the bounds let a (one set, or one for each b) link with each b?"""
+        a = np.broadcast_to(a, b.shape)
+        need = self.need(self.sizes[a], self.sizes[b])
+        fits = np.minimum(self.coarse[a], self.coarse[b]).sum(1, dtype=np.int64) >= need
+        both = np.flatnonzero(fits & (self.row[a] >= 0) & (self.row[b] >= 0))
+        for c in range(0, len(both), 4096):
+            k = both[c : c + 4096]
+            fits[k] = np.minimum(self.fine[self.row[a[k]]], self.fine[self.row[b[k]]]).sum(1, dtype=np.int64) >= need[k]
+        return fits
 
 
 class Bands:
@@ -118,40 +152,37 @@ def cell_keys(values: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.n
 class Tree:
     """An R-tree over count vectors, packed in order of set size and then of the first coordinates."""
 
-    def __init__(self, points: np.ndarray, similarity: int):
-        self.points, self.sizes, self.similarity = points, points.sum(1), similarity
-        self.order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], self.sizes))
+    def __init__(self, points: Points):
+        self.points = points
+        coarse, sizes = points.coarse, points.sizes
+        self.order = np.lexsort((coarse[:, 2], coarse[:, 1], coarse[:, 0], sizes))
         self.levels = []  # from the leaves up: upper corners, least and largest sizes
-        hi, lo, top = points[self.order], self.sizes[self.order], self.sizes[self.order]
+        hi, lo, top = coarse[self.order], sizes[self.order], sizes[self.order]
         while len(hi) > 1:
             cut = np.arange(0, len(hi), LEAF)
             hi, lo, top = np.maximum.reduceat(hi, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(top, cut)
             self.levels.append((hi, lo, top))
 
-    def need(self, a, b):
-        """The least overlap with which sets of these sizes link."""
-        return -(-self.similarity * (a + b) // (100 + self.similarity))
-
     def near(self, k: int) -> np.ndarray:
         """The points that may link with point k, itself among them."""
-        point, size, s = self.points[k], self.sizes[k], self.similarity
+        points = self.points
+        point, size, s = points.coarse[k], points.sizes[k], points.similarity
         at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(1)
         for level in range(len(self.levels) - 1, -1, -1):
             hi, lo, top = (x[at] for x in self.levels[level])
             least = np.maximum(lo, -(-s * size // 100))
-            fits = (top * 100 >= s * size) & (size * 100 >= s * lo) & (np.minimum(point, hi).sum(1) >= self.need(size, least))
+            fits = (top * 100 >= s * size) & (size * 100 >= s * lo) & (np.minimum(point, hi).sum(1, dtype=np.int64) >= points.need(size, least))
             at = at[fits]
-            below = len(self.points) if level == 0 else len(self.levels[level - 1][0])
+            below = len(points.coarse) if level == 0 else len(self.levels[level - 1][0])
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < below]
         at = self.order[at]
-        other = self.sizes[at]
-        return at[np.minimum(point, self.points[at]).sum(1) >= self.need(size, other)]
+        return at[points.may_link(k, at)]
 
 
-def surviving(points: np.ndarray, members: np.ndarray, forest: Forest, similarity: int) -> None:
+def surviving(points: Points, members: np.ndarray, forest: Forest) -> None:
     """Join the members whose points may link; points holds those of all sets."""
-    tree = Tree(points[members], similarity)
+    tree = Tree(points.take(members))
     for k, a in enumerate(members.tolist()):
         root = forest.find(a)
         for j in tree.near(k).tolist():
@@ -160,9 +191,10 @@ def surviving(points: np.ndarray, members: np.ndarray, forest: Forest, similarit
                 root = forest.find(a)
 
 
-def candidates(keys: np.ndarray, owners: np.ndarray, points: np.ndarray, similarity: int) -> Forest:
+def candidates(keys: np.ndarray, owners: np.ndarray, points: Points) -> Forest:
     """The forest of sets with a common key whose points may link."""
-    forest = Forest(len(points))
+    n = len(points.coarse)
+    forest = Forest(n)
     order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]
     new = np.ones(len(keys), bool)
@@ -172,12 +204,11 @@ def candidates(keys: np.ndarray, owners: np.ndarray, points: np.ndarray, similar
     size = np.diff(np.append(first, len(keys)))
     a, b = owners[first[size == 2]], owners[first[size == 2] + 1]
     if len(a):
-        pairs = np.unique(a.astype(np.int64) * len(points) + b)
-        a, b = pairs // len(points), pairs % len(points)
-        sizes = points.sum(1)
+        pairs = np.unique(a.astype(np.int64) * n + b)
+        a, b = pairs // n, pairs % n
         for c in range(0, len(a), 1 << 16):
             x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
-            fits = (100 + similarity) * np.minimum(points[x], points[y]).sum(1) >= similarity * (sizes[x] + sizes[y])
+            fits = points.may_link(x, y)
             for u, v in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
                 forest.union(u, v)
     many = np.flatnonzero(size > 2)
@@ -187,7 +218,7 @@ def candidates(keys: np.ndarray, owners: np.ndarray, points: np.ndarray, similar
         for k in apart:
             members = owners[first[k] : first[k] + size[k]]
             if len({forest.find(m) for m in members.tolist()}) > 1:
-                surviving(points, members, forest, similarity)
+                surviving(points, members, forest)
     return forest
 
 
@@ -199,7 +230,7 @@ def verified(sets: list[np.ndarray], similarity: int, label: list[int] | None =
         for k, x in enumerate(label):
             forest.union(seen.setdefault(x, k), k)
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    tree = Tree(count_vectors(np.concatenate(sets), first), similarity)
+    tree = Tree(Points(count_vectors(np.concatenate(sets), first), similarity))
     for a in range(len(sets)):
         near = tree.near(a)
         for b in near[near > a].tolist():
@@ -210,7 +241,7 @@ def verified(sets: list[np.ndarray], similarity: int, label: list[int] | None =
     return forest
 
 
-def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 4096, block_shingles: int = 4_000_000, bucket_keys: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 4096, block_shingles: int = 4_000_000, bucket_keys: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents connected by links of at least similarity percent."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -226,6 +257,12 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
     bands = Bands(similarity, known.most or 1)
     n_buckets = int(max(16, min((known.total or 0) * 4 // 10 // bucket_keys, 1 << 16)))
 
+    # the upper half of a key tells keys of a bucket apart, unless buckets had to grow; equal halves only make candidates
+    key_type = "<u4" if (known.total or 0) // n_buckets <= 4 * bucket_keys else "<u8"
+
+    def short(keys):
+        return (keys >> np.uint64(32)).astype(key_type) if key_type == "<u4" else keys.astype(key_type)
+
     def route(batches):
         seen: set[int] = set()
         for batch in gather(batches, "text"):
@@ -241,30 +278,40 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
             values = values[np.repeat(keep, np.diff(first))]
             first, sigs = np.concatenate([[0], np.cumsum(np.diff(first)[keep])]), sigs[keep]
             points = count_vectors(values, first)
-            kind = "<u2" if points.max() <= 0xFFFF else "<u4"
+            sizes = points.sum(1)
+            long = sizes >= LONG
+            row = np.cumsum(long) - 1
+            kept_long = np.repeat(long, sizes)
+            fine = narrow(count_vectors(values[kept_long], np.concatenate([[0], np.cumsum(sizes[long])]), FINE))
+            points = narrow(points)
             keys, owners = cell_keys(values, first, bands)
             bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((owners, bucket))
             keys, owners, bucket = keys[order], owners[order], bucket[order]
             bounds = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 k, o = keys[bounds[b] : bounds[b + 1]], owners[bounds[b] : bounds[b + 1]]
                 some, n = np.unique(o, return_counts=True)
-                for column, value in zip(columns, (b, sigs[some].tobytes(), points[some].astype(kind).tobytes(), n.astype("<u4").tobytes(), k.tobytes()), strict=True):
+                for column, value in zip(columns, (b, sigs[some].tobytes(), points[some].tobytes(), fine[row[some[long[some]]]].tobytes(), n.astype("<u4").tobytes(), short(k).tobytes()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sigs", "points", "counts", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sigs", "points", "fine", "counts", "keys"])
 
     def link(key, group):
         sigs = [np.frombuffer(b, np.int64) for b in group.column("sigs").to_pylist()]
-        points = [np.frombuffer(b, "<u2" if len(b) == 2 * GROUPS * len(s) else "<u4").reshape(-1, GROUPS) for b, s in zip(group.column("points").to_pylist(), sigs, strict=True)]
+        points = [np.frombuffer(b, f"<u{len(b) // (GROUPS * len(s))}").reshape(-1, GROUPS) for b, s in zip(group.column("points").to_pylist(), sigs, strict=True)]
         counts = np.concatenate([np.frombuffer(b, "<u4") for b in group.column("counts").to_pylist()])
-        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("keys").to_pylist()])
+        keys = np.concatenate([np.frombuffer(b, key_type) for b in group.column("keys").to_pylist()])
+        long = [p.sum(1, dtype=np.int64) >= LONG for p in points]
+        fine = [np.frombuffer(b, f"<u{len(b) // (FINE * n)}").reshape(-1, FINE) for b, n in zip(group.column("fine").to_pylist(), (int(x.sum()) for x in long), strict=True) if n]
+        long = np.concatenate(long)
+        row = np.where(long, np.cumsum(long) - 1, -1)
         own, at, of = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        forest = candidates(keys, np.repeat(of, counts), np.concatenate(points)[at].astype(np.int64), similarity)
+        every = Points(np.concatenate(points)[at], similarity, np.concatenate(fine) if fine else None, row[at])
+        forest = candidates(keys, np.repeat(of, counts), every)
         return _edges(own, forest)
 
-    routed = rows.select("doc_id", "text").mapInArrow(route, "bucket int, sigs binary, points binary, counts binary, keys binary")
+    routed = rows.select("doc_id", "text").mapInArrow(route, "bucket int, sigs binary, points binary, fine binary, counts binary, keys binary")
     edges = routed.groupBy("bucket").applyInArrow(link, "a long, b long")
     maybe = components(edges)
 
@@ -292,7 +339,8 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
         return _edges(group.column("sig").to_numpy(), verified(found, similarity, group.column("label").to_pylist()))
 
     def full(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label").mapInArrow(load, "sig long, component long, k int, label long, set binary")
+        some, _ = split_by_ids(rows, wanted)
+        return some.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label").mapInArrow(load, "sig long, component long, k int, label long, set binary")
 
     home = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
     # the first set of a component goes to all its blocks
@@ -324,6 +372,20 @@ def _edges(ids: np.ndarray, forest: Forest) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[root[moved]], pa.int64())], names=["a", "b"])
 
 
+def representatives(docs: DataFrame, similarity: int = 80, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One document of each class: the one that names it. Rows that share a doc_id count as one document, rows without one stay.
+
+    Only documents that may have to go, or whose doc_id occurs more than once, are exchanged.
+    """
+    named = materialize(classes(docs, similarity, width, text, doc_id), "classes").where("doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = materialize(ids.where("n > 1 or not stays").withColumnRenamed("doc_id", doc_id), "suspects")
+    some, others = split_by_ids(docs, ids, doc_id)
+    gone = ids.where("not stays").select(doc_id)
+    rest = some.join(gone.hint("merge"), doc_id, "left_anti").dropDuplicates([doc_id])
+    return others.unionByName(rest)
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     return classes(read(spark, sf_dir, "documents"))
 
