@@ -72,6 +72,12 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without columns that an operator is about to add: its own replace those of the input."""
+    taken = {n.lower() for n in names}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that Python workers get small whatever the length of the texts."""
     ship(spark)

@@ -10,7 +10,7 @@ The automaton is broadcast. Its size follows the benchmark, not the corpus, and
 ``max_windows`` windows the benchmark is scanned in several automata, one pass over the documents each.
 
 Defined cases: null and empty texts have no words and no hits; null or word-less items never match; items with
-null ids match but are not listed; repeated documents each get their own row; extra columns are kept.
+null ids match but are not listed; repeated documents each get their own row; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, gather, materialize, read
+from .common import bound_batches, gather, materialize, read, without
 from .textnum import Words, alnum_table
 
 RESULT = "n_words long, hits array<struct<first:int,last:int,begin:long,end:long,items:array<string>>>"
@@ -92,6 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     n_blocks = -(-n_windows // max_windows) or 1
     numbered = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t"))
     numbered = numbered.withColumn("block", F.pmod(F.xxhash64("item", "t"), F.lit(n_blocks)))
+    docs = without(docs, "n_words", "hits")
     spark, found = docs.sparkSession, docs
     bound_batches(spark)
     for block in range(n_blocks):

@@ -15,7 +15,8 @@ Running byte counts within a source are formed in two steps (hash ranges of boun
 source may hold any share of all rows.
 
 Defined cases: a null source is a source of its own; null and empty texts have size 1 so that they have a place; repeated rows each have
-their own; an empty table gives no rows; extra columns are kept.
+their own; an empty table gives no rows; extra columns are kept,
+but those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, without
 
 MOST_SOURCES = 100_000
 MOST_RANGES = 1 << 16  # beyond it ranges grow: to half a GB for a source of 33 TB
@@ -72,14 +73,15 @@ def schedule(n: dict) -> list:
 
 def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, period: int = 4096, range_bytes: int = 1 << 20) -> DataFrame:
     """docs with block (from 1, in its source), release, deadline, slot (its place in the mix) and chosen."""
+    docs = without(docs, "block", "release", "deadline", "slot", "chosen")
     spark = docs.sparkSession
     size = F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long")
     keyed = docs.withColumns({"__size": size, "__hash": F.xxhash64(doc_id, F.octet_length(text))})
     keyed = keyed.withColumn("__tie", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    totals = keyed.groupBy(source).agg(F.sum("__size").alias("bytes")).limit(MOST_SOURCES + 1).collect()
+    totals = keyed.groupBy(source).agg(F.sum("__size").alias("__bytes")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    held = {r[source]: r["bytes"] for r in totals}
+    held = {r[source]: r["__bytes"] for r in totals}
     weights = {s: b**power for s, b in held.items()} if weights is None else {s: weights[s] for s in held if weights.get(s, 0) > 0}
     period = max(period, 1 << (8 * len(weights) - 1).bit_length()) if weights else period
     n = slots(weights, period) if weights else {}
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     # the mix ends before the first slot whose block is missing
     blocks = {s: -(-held[s] // block_bytes) for s in n}
     end = min((blocks[s] // n[s] * period + turns[s][blocks[s] % n[s]] for s in n), default=0)
-    table = spark.createDataFrame([(s, k, n[s], t) for s in n for k, t in enumerate(turns[s])], f"source {docs.schema[source].dataType.simpleString()}, k int, n long, turn long")
+    table = spark.createDataFrame([(s, k, n[s], t) for s in n for k, t in enumerate(turns[s])], f"__s {docs.schema[source].dataType.simpleString()}, __slot int, __m long, __turn long")
     table = F.broadcast(table)  # one row per slot of a period
 
     ranges = max(1, min(-(-max(held.values(), default=1) // range_bytes), MOST_RANGES))
@@ -100,20 +102,20 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     sizes = sizes.select("__source", F.col("__range").alias("__r"), before.alias("__before"))
     inside = F.sum("__size").over(W.partitionBy(source, "__range").orderBy("__hash", doc_id, "__tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
     placed = keyed.withColumn("__inside", inside).join(sizes, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__r")))
-    placed = placed.withColumn("block", F.expr(f"(__before + __inside) div {block_bytes}") + 1)
-    counts = F.broadcast(spark.createDataFrame([(s, n[s]) for s in n], f"s {docs.schema[source].dataType.simpleString()}, n long"))
-    placed = placed.join(counts, F.col(source).eqNullSafe(F.col("s")), "left").withColumn("__k", ((F.col("block") - 1) % F.col("n")).cast("int"))
-    turn = table.select(F.col("source").alias("__s"), "k", "turn")
-    placed = placed.join(turn, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("k")), "left")
-    i = F.col("block")
+    placed = placed.withColumn("__block", F.expr(f"(__before + __inside) div {block_bytes}") + 1)
+    counts = F.broadcast(spark.createDataFrame([(s, n[s]) for s in n], f"__t {docs.schema[source].dataType.simpleString()}, __n long"))
+    placed = placed.join(counts, F.col(source).eqNullSafe(F.col("__t")), "left").withColumn("__k", ((F.col("__block") - 1) % F.col("__n")).cast("int"))
+    turn = table.select("__s", "__slot", "__turn")
+    placed = placed.join(turn, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__slot")), "left")
+    slot = F.expr("(__block - 1) div __n") * period + F.col("__turn")
     return placed.select(
-        *docs.columns,
-        "block",
-        F.expr(f"((block - 1) * {period}) div n").alias("release"),
-        F.expr(f"(block * {period} + n - 1) div n").alias("deadline"),
-        (F.expr("(block - 1) div n") * period + F.col("turn")).alias("slot"),
-        F.coalesce((F.expr("(block - 1) div n") * period + F.col("turn")) < end, F.lit(False)).alias("chosen"),
-    ).where(i.isNotNull())
+        *(F.col(f"`{c}`") for c in docs.columns),
+        F.col("__block").alias("block"),
+        F.expr(f"((__block - 1) * {period}) div __n").alias("release"),
+        F.expr(f"(__block * {period} + __n - 1) div __n").alias("deadline"),
+        slot.alias("slot"),
+        F.coalesce(slot < end, F.lit(False)).alias("chosen"),
+    )
 
 
 def op5_mixing(spark, sf_dir):

@@ -11,7 +11,8 @@ Fitting the scorer reads at most ``most_rows`` texts, smallest hashes of doc_id
 texts, and scoring reads every text whole.
 
 Defined cases: null texts and texts without words are rejected with score 0; repeated rows are judged alike; a corpus on which no
-labeller tells classes apart is kept; an empty table gives no rows; extra columns are kept.
+labeller tells classes apart is kept; an empty table gives no rows; extra columns are kept, but those
+named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, gather, materialize, read
+from .common import bound_batches, gather, materialize, read, without
 from .textnum import Spans, Words, whitespace_table
 
 NONE, BAD, GOOD = 0, 1, 2
@@ -205,6 +206,7 @@ def judge(docs: DataFrame, model: tuple, text: str = "text", keep_text: bool = T
     A text is kept if the mean of posterior and score is at least ``least``: a very short text has too few shapes for
     the scorer alone, and goes only where a labeller speaks against it.
     """
+    docs = without(docs, "votes", "posterior", "score", "kept")
     w, b, report = model
     sent = docs.sparkSession.sparkContext.broadcast((w, b, report["posterior"]))
     kept = [c for c in docs.columns if keep_text or c != text]

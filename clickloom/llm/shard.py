@@ -9,7 +9,8 @@ Only probes and their counts (a number fixed by the shard count and the target p
 The documents then move once, straight to their ranges.
 
 Defined cases: a null text has no bytes and counts as size 8; null doc_ids order first; rows with equal text and doc_id
-cannot be told apart and stay on one side of a cut; an empty table gives no rows; columns beside doc_id and text are kept.
+cannot be told apart and stay on one side of a cut; an empty table gives no rows; columns beside doc_id and text are kept, but
+those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, read
+from .common import bound_batches, materialize, read, without
 
 OVERHEAD = 8
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -148,6 +149,7 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str =
     A shard is made of several consecutive ranges of about part_bytes, so that no task holds a shard; a range's
     first slot is known from the row counts at its cut, and its rows are numbered inside one task.
     """
+    docs = without(docs, "shard", "slot")
     bound_batches(docs.sparkSession)
     keyed = docs.withColumns({"__hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW))})
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + OVERHEAD

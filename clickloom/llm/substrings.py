@@ -13,7 +13,8 @@ share is thus one entry a chunk, and no group of its occurrences ever meets in a
 Words, seeds and windows are compared by 64-bit hashes.
 
 Defined cases: null and empty texts have no words; texts shorter than the window are kept whole; repeated rows are documents
-of their own, so their long texts remove each other; null doc_ids are allowed; an empty table gives no rows; extra columns are kept.
+of their own, so their long texts remove each other; null doc_ids are allowed; an empty table gives no rows; extra columns are kept, but
+those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, read
+from .common import bound_batches, read, without
 from .textnum import Words, mix, whitespace_table
 
 CHUNK = "__chunk"
@@ -139,6 +140,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     """docs with n_words, n_removed, kept (words joined by one space; only with keep_text), kept_sha256 and spans:
     the removed word ranges [first, last) of each text, which are its maximal repeats.
     """
+    docs = without(docs, "n_words", "n_removed", "kept", "kept_sha256", "spans")
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0

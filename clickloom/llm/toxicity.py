@@ -12,7 +12,7 @@ texts of any label; labels come from rows outside the held-out fold alone, and n
 of at least ``least_df`` positives the ``most_keys`` that differ most, in standard errors, from the class-prior-corrected negatives are kept. Scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and get the score of the bias; documents without a label are scored alike;
-with no confirmed toxic text every score is 0; repeated rows are scored alike; extra columns are kept.
+with no confirmed toxic text every score is 0; repeated rows are scored alike; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, gather, read
+from .common import bound_batches, gather, read, without
 from .textnum import Spans, Words, alnum_table
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1000, most_un
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with the column score, 0 to 1; higher: toxic likelier."""
+    docs = without(docs, "score")
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most most_keys features
     kept = [c for c in docs.columns if keep_text or c != text]

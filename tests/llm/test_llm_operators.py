@@ -426,3 +426,28 @@ def test_quantisation_bound_holds():
     q, s, r, n = embeddings.quantise(x)
     guess = embeddings.product(q, q) * s[:, None] * s[None, :]
     assert (np.abs(guess - x @ x.T) <= n[:, None] * r[None, :] + r[:, None] + 1e-12).all()
+
+
+CLASHES = "n k s m turn block release deadline slot chosen shard hits n_words n_removed kept kept_sha256 spans score votes posterior sig component label size hash n_tokens ids wide bytes".split()
+
+
+def test_clashing_columns_and_null_rows(spark, corpus):
+    """Columns named like results give way, others stay; nothing is ambiguous."""
+    docs = documents(spark, corpus[:15]).select("doc_id", "text", "source")
+    docs = docs.select("*", *(embeddings.F.lit(None).cast("string").alias(c) for c in CLASHES))
+    benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string").select("*", embeddings.F.lit("x").alias("n"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
+    for found in (
+        decontaminate.decontaminate(docs, benchmark),
+        shard.shard(docs, n_shards=3),
+        substrings.repeats(docs),
+        secrets.scan(docs),
+        mixing.mix(docs),
+        quality.judge(docs, quality.train(docs)),
+        toxicity.score(docs, toxicity.train(docs, labels)),
+        jaccard.classes(docs),
+    ):
+        assert len(set(map(str.lower, found.columns))) == len(found.columns)
+        assert len(found.collect()) == 15
+    assert set(jaccard.representatives(docs).columns) == set(docs.columns)
+    assert tokens.tokenize(docs, pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")).count() == 15
