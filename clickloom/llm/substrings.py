@@ -10,7 +10,7 @@ beside it are compact lists: each chunk sends its distinct seeds (later: its dis
 hash buckets, once each with a mark if the chunk itself holds two, and gets back one bit each. A passage that a third of all documents
 share is thus one entry a chunk, and no group of its occurrences ever meets in a task.
 
-Words, seeds and windows are compared by 64-bit hashes.
+Windows are compared by 96 bits of two independent hashes of their words' 64-bit hashes, seeds by 64 (a false seed only makes work).
 
 Defined cases: null and empty texts have no words; texts shorter than the window are kept whole; repeated rows are documents
 of their own, so their long texts remove each other; null doc_ids are allowed; an empty table gives no rows; extra columns are kept, but
@@ -63,43 +63,50 @@ class Chunk:
         self.seeds, self.seed_at = runs[chosen], at[chosen]
         self.hashes = hashes
 
-    def around(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first words of the windows that hold a seed for which ``shared`` is true."""
+    def around(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, second hashes and first words of the windows that hold a seed for which ``shared`` is true."""
         runs, at = self.words.windows(self.hashes, self.window)
+        check, _ = self.words.windows(mix(self.hashes ^ np.uint64(0x27220A95FE4F3B1D)), self.window)
         near = np.zeros(len(self.words) + 1, np.int64)
         starts = self.seed_at[shared]
         begin = np.repeat(self.words.first[:-1], self.words.counts)  # not before the text: other texts' order is arbitrary
         np.add.at(near, np.maximum(starts - (self.window - self.seed), begin[starts]), 1)
         np.add.at(near, starts + 1, -1)
         holds = np.cumsum(near)[at] > 0  # a window from starts-(window-seed) to starts holds the seed
-        return runs[holds], at[holds]
+        return runs[holds], (check[holds] >> np.uint64(32)).astype(np.uint32), at[holds]
 
 
-def distinct(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, bucket by bucket: values, whether met twice, bucket bounds, and the place of each input."""
+def distinct(hashes: np.ndarray, check: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of hashes, bucket by bucket: both values, whether met twice, bucket bounds, and the place of each input."""
     bucket = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)
-    order = np.lexsort((hashes, bucket))
-    h, b = hashes[order], bucket[order]
+    order = np.lexsort((check, hashes, bucket))
+    h, c, b = hashes[order], check[order], bucket[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     place = np.empty(len(h), np.int64)
     place[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     twice = np.diff(np.append(first, len(h))) > 1
-    return h[first], twice, np.searchsorted(b[first], np.arange(buckets + 1).astype(np.uint64)), place
+    return h[first], c[first], twice, np.searchsorted(b[first], np.arange(buckets + 1).astype(np.uint64)), place
 
 
-def _send(chunk: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    values, twice, bounds, _ = distinct(hashes, buckets)
+def no_check(hashes: np.ndarray) -> np.ndarray:
+    return np.zeros(len(hashes), np.uint32)
+
+
+def _send(chunk: int, hashes: np.ndarray, check: np.ndarray, buckets: int) -> pa.Table:
+    values, second, twice, bounds, _ = distinct(hashes, check, buckets)
+    checked = bool(second.any())
     some = np.flatnonzero(np.diff(bounds))
     return pa.Table.from_arrays(
         [
             pa.array([chunk] * len(some), pa.int32()),
             pa.array(some, pa.int32()),
             pa.array([values[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary()),
+            pa.array([second[bounds[k] : bounds[k + 1]].tobytes() if checked else b"" for k in some], pa.binary()),
             pa.array([np.packbits(twice[bounds[k] : bounds[k + 1]]).tobytes() for k in some], pa.binary()),
         ],
-        names=["chunk", "bucket", "hashes", "twice"],
+        names=["chunk", "bucket", "hashes", "checks", "twice"],
     )
 
 
@@ -107,11 +114,12 @@ def _shared(key, group):
     """For each chunk's list of a bucket, a bit for every hash: does it occur at least twice in the corpus?"""
     lists = [np.frombuffer(b, np.uint64) for b in group.column("hashes").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(h)].astype(bool) for b, h in zip(group.column("twice").to_pylist(), lists, strict=True)]
-    every, again = np.concatenate(lists), np.concatenate(twice)
-    order = np.argsort(every, kind="stable")
-    h = every[order]
+    checks = [np.frombuffer(b, np.uint32) if b else no_check(h) for b, h in zip(group.column("checks").to_pylist(), lists, strict=True)]
+    every, check, again = np.concatenate(lists), np.concatenate(checks), np.concatenate(twice)
+    order = np.lexsort((check, every)) if check.any() else np.argsort(every, kind="stable")
+    h, c = every[order], check[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     first = np.flatnonzero(new)
     met = (np.diff(np.append(first, len(h))) > 1) | np.logical_or.reduceat(again[order], first)
     out = np.empty(len(h), bool)
@@ -122,9 +130,9 @@ def _shared(key, group):
     )
 
 
-def _bits(hashes: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
-    """The replies' bit for each hash."""
-    values, _, bounds, place = distinct(hashes, buckets)
+def _bits(hashes: np.ndarray, check: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+    """The replies' bit for each pair of hashes."""
+    values, _, _, bounds, place = distinct(hashes, check, buckets)
     met = np.zeros(len(values), bool)
     for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True):
         n = bounds[b + 1] - bounds[b]
@@ -133,7 +141,7 @@ def _bits(hashes: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
 
 
 REPLY = "chunk int, bucket int, shared binary"
-LISTS = "chunk int, bucket int, hashes binary, twice binary"
+LISTS = "chunk int, bucket int, hashes binary, checks binary, twice binary"
 
 
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 35, seed: int = 18, chunk_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20, keep_text: bool = True) -> DataFrame:
@@ -153,18 +161,19 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
 
     def seeds(key, group):
         c = Chunk(group.column(text), window, seed)
-        return _send(key[0].as_py(), c.seeds, buckets)
+        return _send(key[0].as_py(), c.seeds, no_check(c.seeds), buckets)
 
     def windows(key, group, replies):
         if not group.num_rows:
-            return _send(0, np.empty(0, np.uint64), buckets)
+            return _send(0, np.empty(0, np.uint64), np.empty(0, np.uint32), buckets)
         c = Chunk(group.column(text), window, seed)
-        return _send(key[0].as_py(), c.around(_bits(c.seeds, replies, buckets))[0], buckets)
+        runs, check, _ = c.around(_bits(c.seeds, no_check(c.seeds), replies, buckets))
+        return _send(key[0].as_py(), runs, check, buckets)
 
     def remove(key, group, first, second):
         c = Chunk(group.column(text), window, seed)
-        runs, at = c.around(_bits(c.seeds, first, buckets))
-        hit = at[_bits(runs, second, buckets)]
+        runs, check, at = c.around(_bits(c.seeds, no_check(c.seeds), first, buckets))
+        hit = at[_bits(runs, check, second, buckets)]
         edge = np.zeros(len(c.words) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
