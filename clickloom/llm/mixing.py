@@ -8,8 +8,12 @@ window, so after any number of slots t each source has had w t blocks to within
 Weights are whole numbers of slots in a period of ``period`` slots, so one period is scheduled once, on the driver, and repeats: the place of
 every block follows from it by arithmetic, however many blocks there are.
 
-By default weights are the sources' shares of bytes raised to ``power`` (tempered sampling). The mix ends where
-the first source would run out; what is left of the others is over-weight and not chosen. This loss is the operator's decision, not a cap.
+A source that has run out drops out: its turns are skipped, so the others share the slots by their renormalised weights down to their last
+block. Slots, releases and deadlines are counted without skipped turns, which keeps every block in its window.
+
+By default weights are the sources' shares of bytes raised to ``power`` (tempered sampling), and every document is chosen. With given
+weights the mix ends where the first source would run out by these weights, unrounded, and not before that source's last block; what is left of
+the others is over-weight and not chosen, nor are sources without a weight. This loss is what the given weights ask for, not a cap.
 
 Running byte counts within a source are formed in two steps (hash ranges of bounded size, then inside each), so a
 source may hold any share of all rows.
@@ -24,11 +28,12 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read, without
+from .common import materialize, read, ship, without
 
 MOST_SOURCES = 100_000
 MOST_RANGES = 1 << 16  # beyond it ranges grow: to half a GB for a source of 33 TB
@@ -71,6 +76,30 @@ def schedule(n: dict) -> list:
     return out
 
 
+class Filled:
+    """Counts the turns that have a block; turn t of a period has one in the first lasts[t] periods."""
+
+    def __init__(self, lasts: np.ndarray):
+        self.period = len(lasts)
+        self.sorted = np.sort(lasts)
+        self.total = np.concatenate([[0], np.cumsum(self.sorted)])
+        self.values, rank = np.unique(lasts, return_inverse=True)
+        self.width = len(self.values) + 1
+        # level j: runs of 2**j turns, each sorted by how long the turns last
+        self.levels = [np.sort((np.arange(self.period) >> j) * self.width + rank) for j in range(self.period.bit_length())]
+
+    def before(self, turn: np.ndarray) -> np.ndarray:
+        """How many turns before each of these, counted over all periods, have a block."""
+        q, t = np.divmod(turn, self.period)
+        ended = np.searchsorted(self.sorted, q, side="right")
+        n = self.total[ended] + (self.period - ended) * q
+        rank = np.searchsorted(self.values, q, side="right")
+        for j, keys in enumerate(self.levels):  # turns before t: one run for each bit of t
+            run = (t >> (j + 1)) * 2
+            n += np.where((t >> j) & 1, ((run + 1) << j) - np.searchsorted(keys, run * self.width + rank), 0)
+        return n
+
+
 def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, period: int = 4096, range_bytes: int = 1 << 20) -> DataFrame:
     """docs with block (from 1, in its source), release, deadline, slot (its place in the mix) and chosen."""
     docs = without(docs, "block", "release", "deadline", "slot", "chosen")
@@ -82,6 +111,7 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     held = {r[source]: r["__bytes"] for r in totals}
+    given = weights is not None
     weights = {s: b**power for s, b in held.items()} if weights is None else {s: weights[s] for s in held if weights.get(s, 0) > 0}
     period = max(period, 1 << (8 * len(weights) - 1).bit_length()) if weights else period
     n = slots(weights, period) if weights else {}
@@ -89,9 +119,18 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     turns: dict = {s: [] for s in n}
     for t, s in enumerate(line):
         turns[s].append(t)
-    # the mix ends before the first slot whose block is missing
     blocks = {s: -(-held[s] // block_bytes) for s in n}
-    end = min((blocks[s] // n[s] * period + turns[s][blocks[s] % n[s]] for s in n), default=0)
+    lasts = np.zeros(len(line), np.int64)
+    for s in n:
+        lasts[turns[s]] = np.maximum(-(-(blocks[s] - np.arange(n[s])) // n[s]), 0)
+    ship(spark)
+    filled = spark.sparkContext.broadcast(Filled(lasts))  # some numbers for each slot of a period
+    end = None
+    if given and n:
+        total = sum(map(Fraction, weights.values()))
+        first = min(n, key=lambda s: (blocks[s] / Fraction(weights[s]), repr(s)))
+        last = (blocks[first] - 1) // n[first] * period + turns[first][(blocks[first] - 1) % n[first]]
+        end = max(-(-blocks[first] * total // Fraction(weights[first])), int(filled.value.before(np.array([last]))[0]) + 1)
     table = spark.createDataFrame([(s, k, n[s], t) for s in n for k, t in enumerate(turns[s])], f"__s {docs.schema[source].dataType.simpleString()}, __slot int, __m long, __turn long")
     table = F.broadcast(table)  # one row per slot of a period
 
@@ -107,14 +146,28 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
     placed = placed.join(counts, F.col(source).eqNullSafe(F.col("__t")), "left").withColumn("__k", ((F.col("__block") - 1) % F.col("__n")).cast("int"))
     turn = table.select("__s", "__slot", "__turn")
     placed = placed.join(turn, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__slot")), "left")
-    slot = F.expr("(__block - 1) div __n") * period + F.col("__turn")
+
+    @F.arrow_udf("long")
+    def without_skipped(turn: pa.Array) -> pa.Array:
+        return pa.array(filled.value.before(turn.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    def counted(turn):
+        return F.when(F.col("__n").isNotNull(), without_skipped(F.coalesce(turn, F.lit(0)).cast("long")))
+
+    placed = placed.withColumns(
+        {
+            "__release": counted(F.expr(f"((__block - 1) * {period}) div __n")),
+            "__deadline": counted(F.expr(f"(__block * {period} + __n - 1) div __n")),
+            "__at": counted(F.expr("(__block - 1) div __n") * period + F.col("__turn")),
+        }
+    )
     return placed.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         F.col("__block").alias("block"),
-        F.expr(f"((__block - 1) * {period}) div __n").alias("release"),
-        F.expr(f"(__block * {period} + __n - 1) div __n").alias("deadline"),
-        slot.alias("slot"),
-        F.coalesce(slot < end, F.lit(False)).alias("chosen"),
+        F.col("__release").alias("release"),
+        F.col("__deadline").alias("deadline"),
+        F.col("__at").alias("slot"),
+        F.coalesce(F.col("__at") < end, F.lit(False)).alias("chosen") if given else F.lit(True).alias("chosen"),
     )
 
 

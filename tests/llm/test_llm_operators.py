@@ -212,6 +212,38 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def brute_slots(n, blocks):
+    """Earliest deadline first, turn by turn, over endless sources; turns of sources that have run out take no slot."""
+    period, had, found = sum(n.values()), dict.fromkeys(n, 0), {}
+    turn = 0
+    while len(found) < sum(blocks.values()):
+        ready = [s for s in n if had[s] * period // n[s] <= turn]
+        s = min(ready, key=lambda s: (-(-(had[s] + 1) * period // n[s]), -n[s], repr(s)))
+        had[s] += 1
+        if had[s] <= blocks[s]:
+            found[s, had[s]] = len(found)
+        turn += 1
+    return found
+
+
+def test_mixing_goes_on_when_a_source_runs_out(spark):
+    """A source of one document and a null source beside large ones end neither the mix nor each other."""
+    rows = [(k, "x" * (90 + k % 21), s) for k, s in enumerate(["big"] * 700 + ["large"] * 400 + ["tiny"] + [None] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = Counter()
+    for _, text, s in rows:
+        held[s] += len(text)
+    blocks = {s: -(-b // 128) for s, b in held.items()}
+    want = brute_slots(mixing.slots({s: b**0.7 for s, b in held.items()}, 64), blocks)
+    got = mixing.mix(docs, block_bytes=128, period=64, range_bytes=2048).collect()
+    assert len(got) == len(rows) and all(r.chosen for r in got)
+    assert all(r.slot == want[r.source, r.block] and r.release <= r.slot < r.deadline for r in got)
+    assert all(r.chosen for r in mixing.mix(docs).collect())
+    # given weights end the mix by themselves, not by their rounding to slots
+    ends = {r.doc_id: r.chosen for r in mixing.mix(docs.where("source in ('big', 'tiny')"), weights={"big": 499, "tiny": 1}, block_bytes=128, period=64).collect()}
+    assert ends[1100] and 490 * 128 < sum(len(rows[k][1]) for k in ends if ends[k]) < 510 * 128
+
+
 # quality
 
 
