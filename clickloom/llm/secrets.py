@@ -97,26 +97,30 @@ class Automaton:
         return total / max(len(value), 1)
 
 
-def infer(values: list[list[int]], alpha: float = 0.05, most_states: int = 4000) -> Automaton:
+def infer(values: list[list[int]], alpha: float = 0.05) -> Automaton:
     """ALERGIA: merge compatible states of the prefix tree of the values.
 
-    The tree is cut off where fewer than two values remain or ``most_states`` is reached (the documented bound
-    of its size); what lies beyond is left to the merged states.
+    The tree is cut off where fewer than two values remain; what lies beyond is left to the merged states. So at each length it has at most
+    half as many states as there are values.
     """
     counts, step = [[0] * (N_CLASSES + 1)], [[-1] * N_CLASSES]
-    for v in values:
-        s = 0
-        for c in v:
-            counts[s][c] += 1
-            if step[s][c] < 0:
-                if len(step) >= most_states:
-                    break
-                step[s][c] = len(step)
-                counts.append([0] * (N_CLASSES + 1))
-                step.append([-1] * N_CLASSES)
-            s = step[s][c]
-        else:
-            counts[s][END] += 1
+    level = [(0, values)]  # the states of one length, and the values that reach each
+    depth = 0
+    while level:
+        below = []
+        for s, reach in level:
+            split: dict[int, list] = {}
+            for v in reach:
+                split.setdefault(v[depth] if depth < len(v) else END, []).append(v)
+            for c, some in split.items():
+                counts[s][c] += len(some)
+                if c != END and len(some) > 1:
+                    step[s][c] = len(step)
+                    below.append((len(step), some))
+                    counts.append([0] * (N_CLASSES + 1))
+                    step.append([-1] * N_CLASSES)
+        level = below
+        depth += 1
     factor = math.sqrt(0.5 * math.log(2 / alpha))
 
     def compatible(a: int, b: int) -> bool:

@@ -183,6 +183,19 @@ def test_automata_merge_and_prefer_their_own_format():
         assert b.score(secrets.classes(v)) > a.score(secrets.classes(v))
 
 
+def test_automata_know_formats_that_are_rare_among_the_values():
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(1440)]
+    rare = ["".join(rng.choice(list("GHJKLMNPQRSTUVWXYZ"), 40)) for _ in range(60)]
+    a = secrets.infer([secrets.classes(v) for v in hexes + rare])
+    b = secrets.infer([secrets.classes(v) for v in rare + hexes])
+    assert np.array_equal(a.counts.sum(0), b.counts.sum(0))  # whatever the order, every value enters alike
+    for v in rare:
+        assert a.score(secrets.classes(v)) > -1
+    for v in hexes[:20]:
+        assert a.score(secrets.classes(v)) > -1.5
+
+
 # mixing
 
 
