@@ -7,8 +7,8 @@ kind. A candidate is every maximal run of 16 or more credential characters with
 is the best mean log-probability per character over the automata, against a background automaton inferred from ordinary words. A
 candidate whose advantage reaches ``threshold`` becomes a span of kind ``learned``, unless a base span overlaps it.
 
-Training reads at most ``sample`` labelled credentials (smallest hashes first, so a bounded and repeatable sample); scanning
-covers every character of every text.
+Training reads at most ``sample`` // 4 distinct labelled credentials of each kind and as many of all distinct ordinary words of all texts
+(smallest hashes first, so a bounded sample that is the same for every layout of the rows); scanning covers every character of every text.
 
 Defined cases: null text counts as empty; with no credentials to learn from nothing is learned and only base spans
 are reported; extra columns are kept, but those named like a result column give way to it.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, gather, materialize, read, without
+from .textnum import Words, signed, span_hashes
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(
@@ -43,6 +44,7 @@ DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 BACKGROUND = 4  # the kind of ordinary words in training
 LONGEST = 512  # characters of a credential that training reads
+LEAST_WORD = 4  # characters of an ordinary word
 
 
 def base_spans(text: str, assign: bool = True, hexes: bool = True) -> list[tuple[int, int, int]]:
@@ -176,27 +178,55 @@ def infer(values: list[list[int]], alpha: float = 0.05) -> Automaton:
     return Automaton(np.array([counts[s] for s in red], float), np.array([[name.get(t, -1) for t in step[s]] for s in red]))
 
 
+def least_words(held: dict[int, str], texts, most: int) -> None:
+    """Add ordinary words of the texts to those held, by hash, so that the ``most`` smallest hashes of all distinct words stay."""
+    words = Words(texts, word_table())
+    long = np.flatnonzero(words.end - words.start >= LEAST_WORD)
+    start, end = words.start[long], words.end[long]
+    hashes = signed(span_hashes(words.data, start, end) >> np.uint64(1))
+    if len(held) >= most:
+        below = np.flatnonzero(hashes < max(held))
+        hashes, start, end = hashes[below], start[below], end[below]
+    some, at = np.unique(hashes, return_index=True)
+    for h, k in zip(some[:most].tolist(), at[:most].tolist(), strict=True):
+        held[h] = words.raw[start[k] : min(end[k], start[k] + LONGEST)].tobytes().decode()
+    for h in sorted(held)[most:]:
+        del held[h]
+
+
+def word_table() -> np.ndarray:
+    """Ordinary words are runs of A-Z, a-z, ., = and -."""
+    table = np.zeros(256, np.uint8)
+    for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.=-":
+        table[c] = c
+    return table
+
+
 def learn(docs: DataFrame, text: str = "text", sample: int = 6000) -> list[Automaton]:
     """One automaton for each base kind that has credentials, and last the one of ordinary long words."""
     bound_batches(docs.sparkSession)
 
+    most = sample // 4
+
     def labelled(batches):
+        ordinary: dict[int, str] = {}
         for batch in gather(batches, text):
             kinds, values = [], []
             for row, spans in _spans(batch.column(text)):
                 for start, kind, end in spans:
                     kinds.append(kind)
                     values.append((ASSIGN.match(row, start)[2] if kind == 0 else row[start:end])[:LONGEST])
-            for row in batch.column(text).slice(0, 4).to_pylist():  # ordinary words of a few texts of each batch
-                words = re.findall(r"[A-Za-z.=-]{4,}", row or "")[:50]
-                kinds += [BACKGROUND] * len(words)
-                values += words
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["kind", "value"])
+            least_words(ordinary, batch.column(text), most)
+            yield rows_of(kinds, values, [None] * len(kinds))
+        yield rows_of([BACKGROUND] * len(ordinary), list(ordinary.values()), list(ordinary))
+
+    def rows_of(kinds, values, ranks):
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.array(ranks, pa.int64())], names=["kind", "value", "rank"])
 
-    found = materialize(docs.select(text).mapInArrow(labelled, "kind int, value string").distinct(), "credentials")
+    found = materialize(docs.select(text).mapInArrow(labelled, "kind int, value string, rank long").distinct(), "credentials")
     rows = []
     for kind in (0, 1, 2, BACKGROUND):
-        rows.append([classes(r.value) for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample // 4).collect()])
+        rows.append([classes(r.value) for r in found.where(F.col("kind") == kind).orderBy(F.coalesce("rank", F.xxhash64("value")), "value").limit(most).collect()])
     return [infer(v) for v in rows if v] if rows[3] and any(rows[:3]) else []
 
 

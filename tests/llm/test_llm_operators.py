@@ -196,6 +196,24 @@ def test_automata_know_formats_that_are_rare_among_the_values():
         assert a.score(secrets.classes(v)) > -1.5
 
 
+def test_automata_are_the_same_for_every_layout(spark):
+    texts = [" ".join(f"{w}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}xyz"[1:] for w in ("word", "Other", "a-b")) for k in range(100)] + [None, ""]
+    texts += [f"token: {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(50)]
+    docs = documents(spark, texts)
+    distinct = {w for t in texts for w in re.findall(r"[A-Za-z.=-]{4,}", t or "")}
+    for sample in (6000, 80):
+        found = [secrets.learn(docs.repartition(n), sample=sample) for n in (1, 5)]
+        for a, b in zip(*found, strict=True):
+            assert np.array_equal(a.counts, b.counts) and np.array_equal(a.step, b.step)
+        assert found[0][-1].counts[:, secrets.END].sum() <= min(len(distinct), sample // 4)
+    held = {}
+    for t in texts:
+        secrets.least_words(held, embeddings.pa.array([t], embeddings.pa.string()), 20)
+    whole = {}
+    secrets.least_words(whole, embeddings.pa.array(texts), 1000)
+    assert set(whole.values()) == distinct and held == dict(sorted(whole.items())[:20])
+
+
 # mixing
 
 
