@@ -3,9 +3,11 @@
 Grammar inference follows the ALERGIA scheme. Labelled credentials (the values of base matches, by kind) go
 into a prefix tree over character classes; states whose outgoing and end frequencies agree within a Hoeffding bound are merged, red
 states absorbing blue ones, with children folded in so that the automaton stays deterministic. The result is a probabilistic automaton for each
-kind. A candidate is every maximal run of 16 or more credential characters with a digit and a letter among them; its format likelihood
+kind. A candidate is every maximal run of 6 or more credential characters with a letter among them; its format likelihood
 is the best mean log-probability per character over the automata, against a background automaton inferred from ordinary words. A
-candidate whose advantage reaches ``threshold`` becomes a span of kind ``learned``, unless a base span overlaps it.
+candidate whose advantage reaches ``threshold`` becomes a span of kind ``learned``, unless a base span overlaps it. For candidates of n < 16
+characters the threshold is (16 / n) ** 2 times higher, as short words reach a high mean by chance.
+Runs without a letter are no candidates: card, phone and network numbers look like the digits of any format.
 
 Training reads at most ``sample`` // 4 distinct labelled credentials of each kind and as many of all distinct ordinary words of all texts
 (smallest hashes first, so a bounded sample that is the same for every layout of the rows); scanning covers every character of every text.
@@ -38,12 +40,14 @@ HEX = re.compile(r"[0-9a-f]+")
 #: What a text must hold before the patterns above are tried, for a linear-time automaton.
 HINT_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)"
 HINT_HEX = r"[0-9a-f]{24}"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-HINT_CANDIDATE = r"[A-Za-z0-9+/_.=-]{16}"
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")  # as short as a credential of an assignment
+LETTER = re.compile("[A-Za-z]")
+HINT_CANDIDATE = r"[A-Za-z0-9+/_.=-]{6}"
+FULL = 16  # characters from which the threshold holds as it is; for shorter candidates it grows with the square of what they lack
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 BACKGROUND = 4  # the kind of ordinary words in training
 LONGEST = 512  # characters of a credential that training reads
+MOST_KNOWN = 100_000  # patterns whose score a task keeps
 LEAST_WORD = 4  # characters of an ordinary word
 
 
@@ -74,6 +78,9 @@ N_CLASSES = 6
 END = N_CLASSES
 
 
+_PATTERN = {ord(c): str(k) for c, k in _CLASS.items()}
+
+
 def classes(value: str) -> list[int]:
     return [_CLASS.get(c, 5) for c in value]
 
@@ -253,6 +260,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.35, sample: i
 
     def run(batches):
         formats = sent.value
+        known: dict[str, float] = {}
         for batch in gather(batches, text):
             texts = pc.fill_null(batch.column(text), "")
             assign = pc.match_substring_regex(texts, HINT_ASSIGN).to_numpy(zero_copy_only=False)
@@ -265,7 +273,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.35, sample: i
                 base = base_spans(row, bool(assign[k]), bool(hexes[k]))
                 spans = [(s, kind, e, None) for s, kind, e in base]
                 if some[k]:
-                    spans += learned(row, base, formats, threshold)
+                    spans += learned(row, base, formats, threshold, known)
                 out[k] = [{"kind": KINDS[kind], "start": s, "end": e, "score": score} for s, kind, e, score in sorted(spans, key=lambda x: x[:3])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, kind_type)], names=[*kept, "spans"])
 
@@ -275,16 +283,22 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.35, sample: i
     return docs.mapInArrow(run, schema)
 
 
-def learned(row: str, base: list[tuple[int, int, int]], formats: list[Automaton], threshold: float) -> list[tuple[int, int, int, float]]:
-    """Candidates of a text whose format likelihood beats the background, clear of base spans."""
+def learned(row: str, base: list[tuple[int, int, int]], formats: list[Automaton], threshold: float, known: dict[str, float]) -> list[tuple[int, int, int, float]]:
+    """Candidates of a text whose format likelihood beats the background, clear of base spans; known holds the advantages of short patterns."""
     found = []
     for m in CANDIDATE.finditer(row):
-        value = m[0]
-        if not DIGIT.search(value) or not LETTER.search(value) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if not LETTER.search(m[0]):
             continue
-        kinds = classes(value)
-        score = max(a.score(kinds) for a in formats[:-1]) - formats[-1].score(kinds)
-        if score >= threshold:
+        pattern = m[0].translate(_PATTERN)
+        score = known.get(pattern)
+        if score is None:
+            kinds = [int(c) for c in pattern]
+            score = max(a.score(kinds) for a in formats[:-1]) - formats[-1].score(kinds)
+            if len(pattern) <= 2 * FULL:
+                if len(known) >= MOST_KNOWN:
+                    known.clear()
+                known[pattern] = score
+        if score >= threshold * max(FULL / len(pattern), 1) ** 2 and not any(s < m.end() and m.start() < e for s, _, e in base):
             found.append((m.start(), 3, m.end(), score))
     return found
 

@@ -214,6 +214,18 @@ def test_automata_are_the_same_for_every_layout(spark):
     assert set(whole.values()) == distinct and held == dict(sorted(whole.items())[:20])
 
 
+def test_short_and_letter_only_credentials_are_scored(spark):
+    texts = [f"token: {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(60)]
+    texts += [" ".join(f"{w}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwx'[k // 100]}" for w in ("plain", "other", "about", "Capital", "some")) for k in range(400)]
+    texts += ["call 555-0953 or 169.122.221.182 about 4952935900253052 please", "a bare 9f86d081 here"]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "learned"] for r in secrets.scan(documents(spark, texts)).collect()}
+    assert got[461] == ["9f86d081"]
+    assert not any(got[k] for k in range(461))
+    upper = ["".join("GHJKLMNPQR"[int(c)] for c in f"{k * 7919:012d}") for k in range(60)]
+    formats = [secrets.infer([secrets.classes(v) for v in x]) for x in (upper, re.findall("[A-Za-z]+", " ".join(texts[60:460])))]
+    assert [x[:3] for x in secrets.learned("and QRSTUVWXYZGH there", [], formats, 0.35, {})] == [(4, 3, 16)]
+
+
 # mixing
 
 
