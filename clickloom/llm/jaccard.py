@@ -17,8 +17,8 @@ that leaves more than one class, by all pairs of blocks. So a group of copies co
 Identical sets are one set from the start: they are counted and joined by a 64-bit signature.
 
 Defined cases: null and empty texts have an empty set, size 0, and are classes of their own; a text of fewer words than a shingle is one
-shingle; rows with null doc_id belong to the class of their text
-where another row has it, but do not name it; repeated rows are identical sets; an empty table gives no rows.
+shingle; rows with null doc_id link like others, but
+do not name a class: one of such rows alone has a null component_id; repeated rows are identical sets; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -315,9 +315,9 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
     edges = routed.groupBy("bucket").applyInArrow(link, "a long, b long")
     maybe = components(edges)
 
-    # verify: full sets of the first document of every set in a candidate component
+    # verify: full sets of the first document of every set in a candidate component, or of any row where none has an id
     reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    member = materialize(maybe.select(F.col("id").alias("sig"), "component").join(reps, "sig").where("doc_id is not null"), "members")
+    member = materialize(maybe.select(F.col("id").alias("sig"), "component").join(reps, "sig"), "members")
     # as many blocks as keep each to ``block`` sets and about ``block_shingles`` shingles
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
     sized = materialize(member.groupBy("component").agg(blocks.alias("k")), "component-sizes")
@@ -338,9 +338,23 @@ def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "
         found = [np.frombuffer(b, np.uint64) for b in group.column("set").to_pylist()]
         return _edges(group.column("sig").to_numpy(), verified(found, similarity, group.column("label").to_pylist()))
 
+    def sign(batches):
+        for batch in gather(batches, "text"):
+            values, first = shingle_sets(batch.column("text"), width)
+            yield pa.RecordBatch.from_arrays([pa.array(signatures(values, first)), batch.column("text")], names=["sig", "text"])
+
+    no_id = "doc_id is null"
+    nameless = not plan.where(no_id).isEmpty()  # sets that only rows without an id have
+
     def full(wanted: DataFrame) -> DataFrame:
         some, _ = split_by_ids(rows, wanted)
-        return some.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label").mapInArrow(load, "sig long, component long, k int, label long, set binary")
+        texts = some.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label")
+        if nameless:  # their texts are found by signature, one for each
+            wanted = wanted.where(no_id).drop("doc_id")
+            some, _ = split_by_ids(rows.where(no_id).select("text").mapInArrow(sign, "sig long, text string"), wanted.select("sig"), "sig")
+            once = some.groupBy("sig").agg(F.first("text").alias("text"))
+            texts = texts.unionByName(once.join(wanted.hint("merge"), "sig").select("text", "sig", "component", "k", "label"))
+        return texts.mapInArrow(load, "sig long, component long, k int, label long, set binary")
 
     home = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
     # the first set of a component goes to all its blocks

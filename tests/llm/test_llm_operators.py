@@ -506,6 +506,23 @@ def test_quantisation_bound_holds():
 CLASHES = "n k s m turn block release deadline slot chosen shard hits n_words n_removed kept kept_sha256 spans score votes posterior sig component label size hash n_tokens ids wide bytes".split()
 
 
+def test_rows_without_an_id_link_near_copies(spark):
+    """A null-id row that is a near copy takes the document's id, and joins two documents that link only through it."""
+    base = words_of(400, 31, 10_000)
+    bridge, far = [*base[:100], *words_of(20, 32), *base[120:]], [*base[:100], *words_of(20, 32), *base[120:280], *words_of(20, 33), *base[300:]]
+    alone = words_of(300, 34, 10_000)
+    texts = [" ".join(base), " ".join(bridge), " ".join(bridge), " ".join(far), " ".join(alone), " ".join([*alone[:-3], "x"]), " ".join(words_of(50, 35)), None]
+    rows = [(d, t) for d, t in zip([5, None, None, 9, None, None, 3, None], texts, strict=True)]
+    sets = [shingles(t, 4) for t in texts]
+    close = [[100 * len(a & b) >= 85 * len(a | b) for b in sets[:6]] for a in sets[:6]]
+    assert close[0][1] and close[1][3] and not close[0][3] and close[4][5]
+    for block in (4096, 1):
+        got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+        assert sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0) for r in got) == sorted(
+            (len(s), d or 0, c) for s, (d, _), c in zip(sets, rows, [5, 5, 5, 5, 0, 0, 3, 0], strict=True)
+        )
+
+
 def test_clashing_columns_and_null_rows(spark, corpus):
     """Columns named like results give way, others stay; nothing is ambiguous."""
     docs = documents(spark, corpus[:15]).select("doc_id", "text", "source")
