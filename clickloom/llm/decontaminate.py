@@ -15,7 +15,7 @@ null ids match but are not listed; repeated documents each get their own row; ex
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,14 @@ BREAK = "\x02"  # between documents; no window has it
 UNKNOWN = 1
 
 
-def build(items: list[tuple[str | None, str | None]], window: int) -> tuple[np.ndarray, np.ndarray, dict[str, list[str]]]:
-    """Sorted word hashes, the symbol of each, and window string -> item ids."""
+_scanners: dict[str, object] = {}
+
+
+def build(items: list[tuple[str | None, str | None]], window: int) -> tuple[list[bytes], dict[str, list[str]]]:
+    """The words that have symbols, in the symbols' order, and window string -> item ids."""
     words = Words(pa.array([t for _, t in items], pa.large_string()), alnum_table())
-    hashes = words.hashes()
-    known = np.unique(hashes)
-    symbols = (np.arange(len(known)) + 3).astype(np.uint32)
-    symbols[symbols >= 0xD800] += 0x800  # surrogates are no characters
-    text = symbols[np.searchsorted(known, hashes)].tobytes().decode("utf-32-le") if len(hashes) else ""
+    known, number = words.distinct()
+    text = symbols(len(known))[number].tobytes().decode("utf-32-le")
     windows: dict[str, list[str]] = {}
     for k, (item, _) in enumerate(items):
         a, b = words.first[k], words.first[k + 1]
@@ -46,10 +46,17 @@ def build(items: list[tuple[str | None, str | None]], window: int) -> tuple[np.n
             ids = windows.setdefault(text[i : min(i + window, b)], [])
             if item is not None and item not in ids:
                 ids.append(item)
-    return known, symbols, windows
+    return known.to_pylist(), windows
+
+
+def symbols(n: int) -> np.ndarray:
+    """Characters for n words."""
+    found = (np.arange(n) + 3).astype("<u4")
+    found[found >= 0xD800] += 0x800  # surrogates are no characters
+    return found
 
 
-def scanner(known: np.ndarray, symbols: np.ndarray, windows: dict[str, list[str]]):
+def scanner(known: list[bytes], windows: dict[str, list[str]]):
     """A function from a text column to the word counts and occurrences of each text."""
     import ahocorasick
 
@@ -59,20 +66,20 @@ def scanner(known: np.ndarray, symbols: np.ndarray, windows: dict[str, list[str]
     if windows:
         automaton.make_automaton()
     lengths, ids = [len(w) for w in windows], list(windows.values())
+    symbol = dict(zip(known, symbols(len(known)).tolist(), strict=True))
 
     def scan(texts) -> tuple[np.ndarray, list[list[dict]]]:
         words = Words(texts, alnum_table())
         hits: list[list[dict]] = [[] for _ in words.counts]
         if not windows or not len(words):
             return words.counts, hits
-        hashes = words.hashes()
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        code = np.where(known[at] == hashes, symbols[at], np.uint32(UNKNOWN))
-        line = np.full(len(code) + len(hits), ord(BREAK), np.uint32)
-        doc = words.doc()
-        line[np.arange(len(code)) + doc] = code
-        for end, k in automaton.iter(line.astype("<u4").tobytes().decode("utf-32-le")):
-            d = int(np.searchsorted(words.first[1:] + np.arange(1, len(hits) + 1), end, side="right"))
+        own, number = words.distinct()  # symbols stand for words by their bytes, so a hit is exact
+        code = np.array([symbol.get(w, UNKNOWN) for w in own.to_pylist()], "<u4")[number]
+        line = np.full(len(code) + len(hits), ord(BREAK), "<u4")
+        line[np.arange(len(code)) + words.doc()] = code
+        breaks = words.first[1:] + np.arange(1, len(hits) + 1)
+        for end, k in automaton.iter(line.tobytes().decode("utf-32-le")):
+            d = int(np.searchsorted(breaks, end, side="right"))
             last = end - d
             first = last - lengths[k] + 1
             base = words.offsets[d]
@@ -84,6 +91,14 @@ def scanner(known: np.ndarray, symbols: np.ndarray, windows: dict[str, list[str]
     return scan
 
 
+def scanner_of(key: str, sent):
+    """This worker's scanner of a broadcast block of the benchmark: the automaton is built once a worker, not once a task."""
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = scanner(*sent.value)
+    return _scanners[key]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_windows: int = 2_000_000, keep_text: bool = True) -> DataFrame:
     """docs with the columns n_words and hits: every occurrence of a benchmark window, as word positions (first and
     last), byte positions in the original UTF-8 text (begin, end) and the ids of the items that hold the window.
@@ -107,8 +122,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
 
 def _scan(docs: DataFrame, sent, text: str, kept: list[str], first: bool) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def run(batches):
-        scan = scanner(*sent.value)
+        scan = scanner_of(key, sent)
         for batch in gather(batches, text):
             counts, hits = scan(batch.column(text))
             columns = [batch.column(c) for c in kept]

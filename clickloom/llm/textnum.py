@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +64,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pairs (a, b); not linear in either, so that no pattern of repeated values cancels out."""
+    return mix(a + mix(b ^ np.uint64(0x9FB21C651E98DF25)))
+
+
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``width`` consecutive values."""
-    n = len(values)
-    if n < width:
+    """A 64-bit hash of every run of ``width`` consecutive values, joined from runs of powers of two."""
+    if len(values) < width:
         return np.empty(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, n), dtype=np.uint64, out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(_INVERSE, n - width + 1) + np.uint64(width))
+    out, done, run, size, rest = None, 0, values, 1, width
+    while True:
+        if rest & 1:
+            out = run if out is None else ordered(out[: len(run) - done], run[done:])
+            done += size
+        rest >>= 1
+        if not rest:
+            return mix(out + np.uint64(width))
+        run = ordered(run[:-size], run[size:])
+        size *= 2
 
 
 class Spans:
-    """Hashes of byte spans of one array."""
+    """Cheap hashes of byte spans of one array, linear in the bytes: for features and samples, not to tell words apart."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -135,9 +147,23 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words (told apart by their bytes), and the number of each word among them."""
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        body = pa.py_buffer(self.data[self.data != SPACE])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), body]).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy()
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of a cryptographic hash of each word, as two 64-bit arrays."""
+        known, number = self.distinct()
+        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in known.to_pylist())
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        return both[number, 0], both[number, 1]
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return span_hashes(self.data, self.start, self.end)
+        return self.keys()[0]
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``width`` words inside one document, and the index of their first words."""

@@ -19,6 +19,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -29,7 +30,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, gather, materialize, read
-from .textnum import span_hashes
 
 END_ID = 2
 MOST_WORDS = 1_000_000  # distinct words a worker remembers before it starts anew
@@ -52,13 +52,24 @@ _KIND, _LOW = _byte_classes()
 _encoders: dict[str, Encoder] = {}
 
 
+# The rules that Encoder.cut() follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Encodes string columns.
 
     Texts of ASCII and the letters U+00C0 to U+00FF are cut into the tokenizer's words on their bytes: lower-cased runs of
     letters, single digits, runs of other characters, and the contractions 's 't 're 've 'm 'll 'd where a run begins with
-    them. Each distinct word is encoded once and remembered by its hash. All other texts, and those that hold
-    a special token's string, are encoded whole.
+    them. Each distinct word is encoded once and remembered by its bytes. All other texts, those that hold
+    a special token's string, and all texts where a tokenizer has other rules, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,20 +83,22 @@ class Encoder:
         self.word = Tokenizer.from_file(path)  # for words already normal and cut
         self.word.normalizer = None
         self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        rules = json.loads(self.whole.to_str())
+        self.cuttable = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.array([(1 << 64) - 1], np.uint64)  # hashes of known words, sorted; where their ids are, and how many
-        self.at, self.length, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.known: dict[bytes, int] = {}  # words met, by their bytes; where their ids are, and how many
+        self.at, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        ids = [e.ids for e in self.word.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         length = np.array([len(x) for x in ids], np.int64)
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])[order]
-        self.length = np.concatenate([self.length, length])[order]
+        for w in words:
+            self.known[w] = len(self.known)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))])
-        self.keys = keys[order]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -142,24 +155,25 @@ class Encoder:
         low, starts, ends, first, whole = self.cut(texts)
         for s in self.special:
             whole = whole | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not self.cuttable:
+            whole[:] = True
         skip = np.repeat(whole, np.diff(first))
         first = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
         starts, ends = starts[~skip], ends[~skip]
-        coded = pa.array(span_hashes(low, starts, ends)).dictionary_encode()
-        hashes, slot = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        if len(self.keys) > MOST_WORDS:
+        edge = np.zeros(len(low) + 1, np.int8)  # the bytes of the words, one after the other
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, ends, -1)
+        body, offsets = low[np.cumsum(edge[:-1]) > 0], np.concatenate([[0], np.cumsum(ends - starts)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        distinct, slot = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > MOST_WORDS:
             self.forget()
-        place = np.searchsorted(self.keys, hashes)
-        fresh = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes)
-        if len(fresh):
-            at = np.empty(len(hashes), np.int64)
-            at[slot[::-1]] = np.arange(len(slot))[::-1]  # where each word is first met
-            body = low.tobytes()
-            words = [body[a:b].decode() for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
-            self.learn(hashes[fresh], [e.ids for e in self.word.encode_batch_fast(words, add_special_tokens=False)])
-            place = np.searchsorted(self.keys, hashes)
-        length, flat = self.length[place], self.flat
-        base, length = self.at[place][slot], length[slot]
+        fresh = [w for w in distinct if w not in self.known]
+        if fresh:
+            self.learn(fresh)
+        place = np.array([self.known[w] for w in distinct], np.int64)
+        flat = self.flat
+        base, length = self.at[place][slot], self.length[place][slot]
         total = np.concatenate([[0], np.cumsum(length)])
         n = total[first[1:]] - total[first[:-1]]
         ids = flat[np.repeat(base - total[:-1], length) + np.arange(total[-1])]
