@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='clickloom-')}"
     return folder.rstrip("/")
 
@@ -105,20 +107,34 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", bits: int = 23) -> tuple[DataFrame, DataFrame]:
-    """docs in two parts: rows whose id may be among ids, and rows whose id is surely not.
+def inner(docs: DataFrame) -> str:
+    """A beginning for names of inner columns that no column of docs has."""
+    found = "__"
+    while any(c.lower().startswith(found) for c in docs.columns):
+        found += "_"
+    return found
 
-    A bitmap of 2**bits bits (at most 2**(bits - 6) rows, so its broadcast is bounded) is looked up by a hash of the id. It keeps
-    most texts out of the exchange of a join that follows; where it is too small for the ids it only says "may be" more often.
+
+def split_by_keys(docs: DataFrame, key, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts: rows whose key (an integer expression) may be in the only column of keys, and the others. A null key never is.
+
+    A bitmap of 2**bits bits (at most 2**(bits - 6) rows, so its broadcast is bounded) is looked up by a hash of the key. It keeps
+    most texts out of the exchange of a join that follows; where it is too small for the keys it only says "may be" more often.
     """
-    words = 1 << (bits - 6)
-    h = F.xxhash64(F.col(doc_id).cast("long"))
-    word, bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)), h.bitwiseAND(F.lit(63)).cast("int")
-    table = ids.where(F.col(doc_id).isNotNull()).select(word.alias("__word"), bit.alias("__bit"))
-    table = materialize(table.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")), "bitmap")
-    marked = docs.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table), "__word", "left")
-    maybe = F.coalesce(F.expr("shiftrightunsigned(__bits, __bit)").bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    columns = [F.col(c) for c in docs.columns]
+    p, words = inner(docs), 1 << (bits - 6)
+
+    def place(key):
+        h = F.xxhash64(key.cast("long"))
+        return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+
+    own = F.col(keys.columns[0])
+    word, bit = place(own)
+    table = keys.where(own.isNotNull()).select(word.alias(f"{p}word"), bit.alias(f"{p}bit"))
+    table = materialize(table.groupBy(f"{p}word").agg(F.bit_or(F.expr(f"shiftleft(1L, {p}bit)")).alias(f"{p}bits")), "bitmap")
+    word, bit = place(key)
+    marked = docs.withColumns({f"{p}word": word, f"{p}bit": bit, f"{p}some": key.isNotNull()}).join(F.broadcast(table), f"{p}word", "left")
+    maybe = F.col(f"{p}some") & F.coalesce(F.expr(f"shiftrightunsigned({p}bits, {p}bit)").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     return marked.where(maybe).select(*columns), marked.where(~maybe).select(*columns)
 
 
@@ -127,10 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     component is the smallest id reachable; only nodes with edges get a row. Each level hooks every node to its smallest
     neighbour (a partially aggregated minimum, so a hub is no hot spot), follows hooks to the roots by doubling, and
-    replaces the edges by those between different roots, which shrink fast. Every step is a written table; only whether
-    something changed comes to the driver.
+    replaces the edges by those between different roots, which shrink fast. Every step is a written table, and edges should be one; only
+    whether something changed comes to the driver.
     """
-    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a <> b")
     done: list[DataFrame] = []
     while True:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")

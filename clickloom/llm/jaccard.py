@@ -6,15 +6,21 @@ bounds a whole node by the minima against the upper corner of its box, and by it
 finer vector, which bounds single pairs. Pairs that survive the bounds are verified on the full sets.
 
 One tree over all points would compare nearly everything with everything (unrelated long texts have alike count
-vectors), so points are first routed to many small trees by a rule that loses no pair. Two sets that link differ in at most
+vectors), so sets first meet by a rule that loses no pair. Two sets that link differ in at most
 t = (100 - similarity) / (100 + similarity) * (|A| + |B|) shingles. If the shingles are split by hash into more than t cells, some cell has the same
 content in both sets; the number of cells follows from a band of set sizes, a set takes part in its own band and the next
-larger, and a set whose empty cells could hide the equal one adds those. A tree holds the points with equal content of one cell. Per bucket of cell
-contents, pairs that survive the trees' bounds are joined into a forest, never listed; the candidate components of those forests
-are then verified, each in one task with its full sets, large ones in blocks that all hold the component's first set, followed, where
-that leaves more than one class, by all pairs of blocks. So a group of copies costs no pairs, and nothing is capped.
+larger, and a set whose empty cells could hide the equal one adds those. What is exchanged for a cell is a row of two integers, its key and
+the set's signature, whatever the number of partitions. Spark sorts these rows by key; all sets of a key but the smallest signature, the key's
+centre, give a pair with it, and equal pairs are one with a count.
 
-Identical sets are one set from the start: they are counted and joined by a 64-bit signature.
+Only sets of such pairs are looked at further, their texts fetched once. Each set is compared with the centre with which it shares most keys, then,
+where classes still differ, with its other centres; groups of one centre whose sets are still in different classes are last compared
+all with all. If a group is of one class already, no pair of it can add anything. Comparisons take place in bins of about ``bin_shingles``
+shingles: a bin has an R-tree over its points, a query's survivors are verified, and links are joined to a forest. Large groups are split into
+blocks, with their centre in every block, or for all pairs into pairs of blocks. So a group of copies costs no pairs, a link in a class is a verified
+one, and nothing is capped.
+
+Identical sets are one set from the start, told apart by 128 bits of hashes of cryptographic word hashes.
 
 Defined cases: null and empty texts have an empty set, size 0, and are classes of their own; a text of fewer words than a shingle is one
 shingle; rows with null doc_id link like others, but
@@ -26,33 +32,38 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Forest, bound_batches, components, gather, materialize, read, split_by_ids
+from .common import Forest, bound_batches, components, gather, inner, materialize, parallelism, read, split_by_keys
 from .textnum import Words, mix, rolling, signed, whitespace_table
 
 GROUPS = 64  # with fewer, counts of unrelated sets of some hundred shingles are too much alike to tell them apart
 FINE, LONG = 512, 1024  # groups of a second vector, for sets of so many shingles, which are too much alike in the first
 LEAF = 32  # points of a leaf, and children of a node
+KEY_BYTES, PART_BYTES = 12, 128 << 20  # bytes of key rows for each shingle, and in a partition of them
 
 
-def shingle_sets(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, text after text, and where each text's begin."""
+def shingle_sets(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, text after text, second hashes of the same shingles, where each text's begin, and signatures."""
     words = Words(texts, whitespace_table(lower=True))
-    hashes, doc = words.hashes(), words.doc()
-    runs, at = words.windows(hashes, width)
-    every, owner = [runs], [doc[at]]
+    keys, doc = words.keys(), words.doc()
+    runs, at = words.windows(keys[0], width)
+    every, owner, check = [runs], [doc[at]], [words.windows(keys[1], width)[0]]
     for k in range(1, width):
         short = np.flatnonzero(words.counts == k)
         if len(short):
-            every.append(rolling(hashes, k)[words.first[short]])
+            own = (words.first[short][:, None] + np.arange(k)).ravel()
+            every.append(rolling(keys[0][own], k)[::k])
+            check.append(rolling(keys[1][own], k)[::k])
             owner.append(short)
-    runs, owner = np.concatenate(every), np.concatenate(owner)
+    runs, owner, check = np.concatenate(every), np.concatenate(owner), np.concatenate(check)
     order = np.lexsort((runs, owner))
-    runs, owner = runs[order], owner[order]
+    runs, owner, check = runs[order], owner[order], check[order]
     new = np.ones(len(runs), bool)
     new[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
-    return runs[new], np.searchsorted(owner[new], np.arange(len(words.counts) + 1))
+    first = np.searchsorted(owner[new], np.arange(len(words.counts) + 1))
+    return runs[new], check[new], first, signatures(runs[new], first)
 
 
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,17 +118,17 @@ class Points:
 class Bands:
     """Bands of set sizes, and the cells of each."""
 
-    def __init__(self, similarity: int, largest: int):
+    def __init__(self, similarity: int):
         self.similarity = similarity
         edges = [1]
-        while edges[-1] <= largest:  # the next band begins at the first size that cannot link with the band's first
+        while edges[-1] < 1 << 40:  # the next band begins at the first size that cannot link with the band's first
             edges.append(edges[-1] * 100 // similarity + 1)
         edges.append(edges[-1] * 100 // similarity + 1)
         self.edges = np.array(edges)
         #: sets of a band or the one below differ in at most so many shingles
         self.differ = (100 - similarity) * 2 * (self.edges[1:] - 1) // (100 + similarity)
         self.cells = np.maximum(self.differ + 1, self.differ + self.differ // 16 + 3)
-        self.cells[self.differ == 0] = 1
+        self.cells[self.differ == 0] = 0  # only equal sets link
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
@@ -133,9 +144,10 @@ def cell_keys(values: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.n
         band = bands.of(np.maximum(sizes, 1)) + up
         n = np.where(sizes > 0, bands.cells[band], 0)
         base = np.cumsum(n) - n
-        slot = base[owner] + (mixed % n[owner].astype(np.uint64)).astype(np.int64)
+        some = n[owner] > 0
+        slot = base[owner[some]] + (mixed[some] % n[owner[some]].astype(np.uint64)).astype(np.int64)
         content = np.zeros(int(n.sum()), np.uint64)
-        np.add.at(content, slot, values)
+        np.add.at(content, slot, values[some])
         full = np.bincount(slot, minlength=len(content)) > 0
         of = np.repeat(np.arange(len(sizes)), n)
         empty = np.bincount(of[~full], minlength=len(sizes))
@@ -180,224 +192,176 @@ class Tree:
         return at[points.may_link(k, at)]
 
 
-def surviving(points: Points, members: np.ndarray, forest: Forest) -> None:
-    """Join the members whose points may link; points holds those of all sets."""
-    tree = Tree(points.take(members))
-    for k, a in enumerate(members.tolist()):
-        root = forest.find(a)
-        for j in tree.near(k).tolist():
-            if j > k and forest.find(int(members[j])) != root:
-                forest.union(a, int(members[j]))
-                root = forest.find(a)
-
-
-def candidates(keys: np.ndarray, owners: np.ndarray, points: Points) -> Forest:
-    """The forest of sets with a common key whose points may link."""
-    n = len(points.coarse)
-    forest = Forest(n)
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    keys, owners = keys[new], owners[new]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(keys)))
-    a, b = owners[first[size == 2]], owners[first[size == 2] + 1]
-    if len(a):
-        pairs = np.unique(a.astype(np.int64) * n + b)
-        a, b = pairs // n, pairs % n
-        for c in range(0, len(a), 1 << 16):
-            x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
-            fits = points.may_link(x, y)
-            for u, v in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
-                forest.union(u, v)
-    many = np.flatnonzero(size > 2)
-    if len(many):
-        roots = forest.roots()[owners]
-        apart = [k for k in many.tolist() if (roots[first[k] : first[k] + size[k]] != roots[first[k]]).any()]
-        for k in apart:
-            members = owners[first[k] : first[k] + size[k]]
-            if len({forest.find(m) for m in members.tolist()}) > 1:
-                surviving(points, members, forest)
-    return forest
+def points_of(values: np.ndarray, first: np.ndarray, similarity: int) -> Points:
+    """The points of sets given as shingle hashes, set after set."""
+    sizes = np.diff(first)
+    long = sizes >= LONG
+    row = np.where(long, np.cumsum(long) - 1, -1)
+    fine = count_vectors(values[np.repeat(long, sizes)], np.concatenate([[0], np.cumsum(sizes[long])]), FINE)
+    return Points(narrow(count_vectors(values, first)), similarity, narrow(fine), row)
 
 
-def verified(sets: list[np.ndarray], similarity: int, label: list[int] | None = None) -> Forest:
-    """The forest of links between the sets; pairs already joined, or of one label, are not looked at."""
-    forest = Forest(len(sets))
-    if label:
-        seen: dict[int, int] = {}
-        for k, x in enumerate(label):
-            forest.union(seen.setdefault(x, k), k)
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    tree = Tree(Points(count_vectors(np.concatenate(sets), first), similarity))
-    for a in range(len(sets)):
-        near = tree.near(a)
-        for b in near[near > a].tolist():
+def verified(values: np.ndarray, first: np.ndarray, similarity: int, queries: np.ndarray, forest: Forest) -> Forest:
+    """Join to each query the sets that link with it; pairs already in one tree of the forest are not looked at."""
+    tree = Tree(points_of(values, first, similarity))
+    sizes = np.diff(first)
+    for a in queries.tolist():
+        own = values[first[a] : first[a + 1]]
+        for b in tree.near(a).tolist():
             if forest.find(a) != forest.find(b):
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                other = values[first[b] : first[b + 1]]
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = np.count_nonzero(own[at] == other)
+                if 100 * common >= similarity * (sizes[a] + sizes[b] - common):
                     forest.union(a, b)
     return forest
 
 
-def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 4096, block_shingles: int = 4_000_000, bucket_keys: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id: the classes of documents connected by links of at least similarity percent."""
+def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str, block: int, bin_shingles: int) -> DataFrame:
+    """A row for each document: doc_id, text_id (two hashes), n, and root: the signature that names its class."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bands = Bands(similarity)
+    text_id = {"h": F.xxhash64("text"), "c": F.crc32(F.col("text").cast("binary"))}
 
     def describe(batches):
         for batch in gather(batches, "text"):
-            values, first = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(signatures(values, first))], names=["doc_id", "n", "sig"])
-
-    sets = materialize(rows.mapInArrow(describe, "doc_id long, n long, sig long"), "sets")
-    known = sets.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
-    bands = Bands(similarity, known.most or 1)
-    n_buckets = int(max(16, min((known.total or 0) * 4 // 10 // bucket_keys, 1 << 16)))
-
-    # the upper half of a key tells keys of a bucket apart, unless buckets had to grow; equal halves only make candidates
-    key_type = "<u4" if (known.total or 0) // n_buckets <= 4 * bucket_keys else "<u8"
-
-    def short(keys):
-        return (keys >> np.uint64(32)).astype(key_type) if key_type == "<u4" else keys.astype(key_type)
+            _, second, first, s = shingle_sets(batch.column("text"), width)
+            columns = [batch.column("doc_id"), batch.column("h"), batch.column("c"), pa.array(np.diff(first).astype(np.int64)), pa.array(s), pa.array(signatures(second, first))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "c", "n", "s", "t"])
+
+    described = materialize(rows.withColumns(text_id).mapInArrow(describe, "doc_id long, h long, c long, n long, s long, t long"), "sets")
+    # two different sets may have one first signature: by chance alone, so these are a handful in 10^10 sets; they go by their second one
+    clash = described.where("n > 0").groupBy("s").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.sum("n").alias("n")).where("x <> y")
+    clashes = frozenset(r["s"] for r in clash.collect())
+    sets = described.withColumn("sig", F.when(F.col("s").isin(*clashes), F.col("t")).otherwise(F.col("s"))) if clashes else described.withColumnRenamed("s", "sig")
+
+    def named(batch):
+        values, second, first, s = shingle_sets(batch.column("text"), width)
+        if clashes:
+            s = np.where(np.isin(s, list(clashes)), signatures(second, first), s)
+        return values, first, s
 
     def route(batches):
         seen: set[int] = set()
         for batch in gather(batches, "text"):
-            values, first = shingle_sets(batch.column("text"), width)
-            sigs = signatures(values, first)
-            own = [k for k, (s, n) in enumerate(zip(sigs.tolist(), np.diff(first).tolist(), strict=True)) if n and not (s in seen or seen.add(s))]
-            if len(seen) > 2_000_000:
+            values, first, sigs = named(batch)
+            n = np.diff(first)
+            own = [k for k, (s, n) in enumerate(zip(sigs.tolist(), n.tolist(), strict=True)) if n and not (s in seen or seen.add(s))]
+            if len(seen) > 1_000_000:
                 seen = set()
-            if not own:
-                continue
             keep = np.zeros(len(sigs), bool)
             keep[own] = True
-            values = values[np.repeat(keep, np.diff(first))]
-            first, sigs = np.concatenate([[0], np.cumsum(np.diff(first)[keep])]), sigs[keep]
-            points = count_vectors(values, first)
-            sizes = points.sum(1)
-            long = sizes >= LONG
-            row = np.cumsum(long) - 1
-            kept_long = np.repeat(long, sizes)
-            fine = narrow(count_vectors(values[kept_long], np.concatenate([[0], np.cumsum(sizes[long])]), FINE))
-            points = narrow(points)
-            keys, owners = cell_keys(values, first, bands)
-            bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((owners, bucket))
-            keys, owners, bucket = keys[order], owners[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            columns: list[list] = [[], [], [], [], [], []]
-            for b in np.flatnonzero(np.diff(bounds)).tolist():
-                k, o = keys[bounds[b] : bounds[b + 1]], owners[bounds[b] : bounds[b + 1]]
-                some, n = np.unique(o, return_counts=True)
-                for column, value in zip(columns, (b, sigs[some].tobytes(), points[some].tobytes(), fine[row[some[long[some]]]].tobytes(), n.astype("<u4").tobytes(), short(k).tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sigs", "points", "fine", "counts", "keys"])
-
-    def link(key, group):
-        sigs = [np.frombuffer(b, np.int64) for b in group.column("sigs").to_pylist()]
-        points = [np.frombuffer(b, f"<u{len(b) // (GROUPS * len(s))}").reshape(-1, GROUPS) for b, s in zip(group.column("points").to_pylist(), sigs, strict=True)]
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in group.column("counts").to_pylist()])
-        keys = np.concatenate([np.frombuffer(b, key_type) for b in group.column("keys").to_pylist()])
-        long = [p.sum(1, dtype=np.int64) >= LONG for p in points]
-        fine = [np.frombuffer(b, f"<u{len(b) // (FINE * n)}").reshape(-1, FINE) for b, n in zip(group.column("fine").to_pylist(), (int(x.sum()) for x in long), strict=True) if n]
-        long = np.concatenate(long)
-        row = np.where(long, np.cumsum(long) - 1, -1)
-        own, at, of = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        every = Points(np.concatenate(points)[at], similarity, np.concatenate(fine) if fine else None, row[at])
-        forest = candidates(keys, np.repeat(of, counts), every)
-        return _edges(own, forest)
-
-    routed = rows.select("doc_id", "text").mapInArrow(route, "bucket int, sigs binary, points binary, fine binary, counts binary, keys binary")
-    edges = routed.groupBy("bucket").applyInArrow(link, "a long, b long")
-    maybe = components(edges)
-
-    # verify: full sets of the first document of every set in a candidate component, or of any row where none has an id
-    reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    member = materialize(maybe.select(F.col("id").alias("sig"), "component").join(reps, "sig"), "members")
-    # as many blocks as keep each to ``block`` sets and about ``block_shingles`` shingles
-    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
-    sized = materialize(member.groupBy("component").agg(blocks.alias("k")), "component-sizes")
-    plan = materialize(member.join(sized, "component").select("sig", "component", "k", "doc_id"), "candidates")
-
-    def load(batches):
-        for batch in gather(batches, "text"):
-            values, first = shingle_sets(batch.column("text"), width)
-            own = signatures(values, first)
-            right = own == batch.column("sig").to_numpy()  # rows of one doc_id may differ in text
-            blobs = [values[first[k] : first[k + 1]].tobytes() for k in range(len(own))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("sig", "component", "k", "label")), pa.array(blobs, pa.binary())], names=["sig", "component", "k", "label", "set"]
-            ).filter(pa.array(right))
-
-    def check(key, group):
-        group = group.take(pa.array(np.unique(group.column("sig").to_numpy(), return_index=True)[1]))
-        found = [np.frombuffer(b, np.uint64) for b in group.column("set").to_pylist()]
-        return _edges(group.column("sig").to_numpy(), verified(found, similarity, group.column("label").to_pylist()))
-
-    def sign(batches):
-        for batch in gather(batches, "text"):
-            values, first = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([pa.array(signatures(values, first)), batch.column("text")], names=["sig", "text"])
-
-    no_id = "doc_id is null"
-    nameless = not plan.where(no_id).isEmpty()  # sets that only rows without an id have
-
-    def full(wanted: DataFrame) -> DataFrame:
-        some, _ = split_by_ids(rows, wanted)
-        texts = some.join(wanted.hint("merge"), "doc_id").select("text", "sig", "component", "k", "label")
-        if nameless:  # their texts are found by signature, one for each
-            wanted = wanted.where(no_id).drop("doc_id")
-            some, _ = split_by_ids(rows.where(no_id).select("text").mapInArrow(sign, "sig long, text string"), wanted.select("sig"), "sig")
-            once = some.groupBy("sig").agg(F.first("text").alias("text"))
-            texts = texts.unionByName(once.join(wanted.hint("merge"), "sig").select("text", "sig", "component", "k", "label"))
-        return texts.mapInArrow(load, "sig long, component long, k int, label long, set binary")
-
-    home = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
-    # the first set of a component goes to all its blocks
-    everywhere = F.when(F.col("sig") == F.col("component"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))
-    loaded = full(plan.withColumn("label", F.col("sig"))).withColumn("block", F.explode(everywhere))
-    # a set other than the first is in one block, and the first has the smallest signature: the root in its block is its class
-    labels = materialize(loaded.groupBy("component", "block").applyInArrow(check, "a long, b long"), "links").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    large = plan.where("k > 1")
-    if not large.isEmpty():
-        large = large.join(labels.select(F.col("id").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        open_ = large.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("component")
-        large = materialize(large.join(open_, "component", "left_semi").select("sig", "component", "k", "doc_id", "label"), "open")
-        if not large.isEmpty():
-            tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.least(i, home).alias("i"), F.greatest(i, home).alias("j")))
-            tiled = full(large).withColumn("tile", F.explode(tiles))
-            more = tiled.groupBy("component", "tile").applyInArrow(check, "a long, b long")
-            labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-
-    named = sets.join(labels.select(F.col("id").alias("sig"), F.col("component").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = materialize(named.select("doc_id", "n", "root"), "named")
+            values = values[np.repeat(keep, n)]
+            keys, owners = cell_keys(values, np.concatenate([[0], np.cumsum(n[keep])]), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(sigs[keep][owners])], names=["key", "sig"])
+
+    # every set of a key but the first: linked for now with the first, its centre
+    total = sets.agg(F.sum("n").alias("n")).first().n or 0
+    parts = max(parallelism(docs), -(-total * KEY_BYTES // PART_BYTES))
+    keyed = rows.select("text").mapInArrow(route, "key long, sig long").repartition(parts, "key")
+    order = W.partitionBy("key").orderBy("sig")
+    keyed = keyed.select("sig", F.first("sig").over(order).alias("centre"), F.lag("sig").over(order).alias("before"))
+    stars = materialize(keyed.where("sig <> centre and sig <> before").groupBy("sig", "centre").agg(F.count("*").alias("keys")), "stars")
+
+    # the texts of the sets that share a key with another, one for each set
+    nodes = stars.select("sig").unionByName(stars.select(F.col("centre").alias("sig"))).distinct()
+    reps = sets.where("n > 0").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "c")).alias("t"), F.max("n").alias("n"))
+    reps = materialize(reps.select("sig", "n", "t.h", "t.c"), "nodes")
+    some, _ = split_by_keys(rows.select("text"), text_id["h"], reps.select("h"))
+    once = some.where("text is not null").withColumns(text_id).groupBy("h", "c").agg(F.first("text").alias("text"))
+    texts = materialize(once.join(reps.hint("merge"), ["h", "c"]).select("sig", "n", "text"), "texts")
+    sizes = reps.select("sig", "n")
+
+    def check(group):
+        group = group.take(pa.array(np.argsort(group.column("sig").to_numpy())))  # so that the root of a tree is its least signature
+        values, first, sigs = named(group)
+        right = sigs == group.column("sig").to_numpy()  # no other text of equal hashes
+        label: dict[int, int] = {}
+        forest = Forest(len(sigs))
+        for k, x in enumerate(group.column("label").to_pylist()):
+            forest.union(label.setdefault(x, k), k)
+        before = forest.roots()
+        root = verified(values, first, similarity, np.flatnonzero(group.column("query").to_numpy() & right), forest).roots()
+        moved = np.flatnonzero((root != before) & right)
+        return pa.Table.from_arrays([pa.array(sigs[moved], pa.int64()), pa.array(sigs[root[moved]], pa.int64())], names=["a", "b"])
+
+    def dealt(members: DataFrame, copies) -> tuple[DataFrame, int]:
+        """members (sig, group, n) with k, the number of blocks of their group, and home, the block of each; and all shingles to load."""
+        k = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / bin_shingles)).cast("int")
+        groups = materialize(members.groupBy("group").agg(k.alias("k"), F.count("*").alias("rows"), F.sum("n").alias("n")), "groups")
+        shingles = int(groups.agg(F.sum(F.col("n") * copies).alias("n")).first().n or 0)
+        return members.join(groups.select("group", "k"), "group").withColumn("home", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")), shingles
+
+    def compare(places: DataFrame, shingles: int, name: str) -> DataFrame:
+        """Links (a, b) found in bins of blocks. places: sig, label, query, and group and part, which name the block."""
+        bins = max(1, -(-shingles // bin_shingles))
+        placed = places.select("sig", "label", "query", F.pmod(F.xxhash64("group", "part"), F.lit(bins)).cast("int").alias("bin"))
+        placed = placed.groupBy("sig", "bin").agg(F.min("label").alias("label"), F.bool_or("query").alias("query"))
+        loaded = placed.join(texts.select("sig", "text").hint("merge"), "sig")
+        return materialize(loaded.groupBy("bin").applyInArrow(check, "a long, b long"), name)
+
+    def star(pairs: DataFrame, name: str) -> DataFrame:
+        """Compare each set with its centre, which goes to every block of its group."""
+        members, shingles = dealt(pairs.join(sizes, "sig").select("sig", F.col("centre").alias("group"), "n"), 1 + F.col("k") / F.col("rows"))
+        own = members.select("sig", "group", F.col("home").alias("part"), F.lit(False).alias("query"))
+        hub = members.groupBy("group").agg(F.max("k").alias("k")).select(F.col("group").alias("sig"), "group", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(True).alias("query"))
+        return compare(own.unionByName(hub).withColumn("label", F.col("sig")), shingles, name)
+
+    def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+        found = labels.select(F.col("id").alias(column), F.col("component").alias("found"))
+        return df.join(found, column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
+
+    # first the centre with which a set shares most keys, then, where classes still differ, all its centres
+    best = stars.groupBy("sig").agg(F.max(F.struct("keys", "centre")).alias("best")).select("sig", "best.centre")
+    links = star(best, "links")
+    labels = components(links)
+    left = labelled(labelled(stars, labels, "sig", "x"), labels, "centre", "y").where("x <> y").select("sig", "centre")
+    left = materialize(left.join(best, ["sig", "centre"], "left_anti"), "left")
+    if not left.isEmpty():
+        links = links.unionByName(star(left, "links"))
+        labels = components(links)
+    # groups of one centre whose sets are still of different classes: compare all of them
+    members = labelled(stars.select("sig", F.col("centre").alias("group")), labels, "sig", "label")
+    open_ = members.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+    members = materialize(members.join(open_, "group", "left_semi").join(sizes, "sig").select("sig", "group", "label", "n"), "open")
+    if not members.isEmpty():
+        tiled, shingles = dealt(members, F.col("k"))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws(" ", F.least(i, F.col("home")), F.greatest(i, F.col("home"))))
+        tiled = tiled.select("sig", "group", "label", F.explode(tiles).alias("part"), F.lit(True).alias("query"))
+        labels = components(links.unionByName(compare(tiled, shingles, "links")))
+    return labelled(sets, labels, "sig", "root").select("doc_id", "h", "c", "n", "root")
+
+
+def classes(docs: DataFrame, similarity: int = 85, width: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = 4096, bin_shingles: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id: the classes of documents connected by links of at least similarity percent."""
+    named = materialize(_linked(docs, similarity, width, text, doc_id, block, bin_shingles), "named")
     least = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _edges(ids: np.ndarray, forest: Forest) -> pa.Table:
-    root = forest.roots()
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return pa.Table.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[root[moved]], pa.int64())], names=["a", "b"])
-
-
-def representatives(docs: DataFrame, similarity: int = 80, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class: the one that names it. Rows that share a doc_id count as one document, rows without one stay.
+def representatives(docs: DataFrame, similarity: int = 80, width: int = 5, text: str = "text", doc_id: str = "doc_id", block: int = 4096, bin_shingles: int = 1_000_000) -> DataFrame:
+    """One document of each class: the one of the least doc_id (of different texts with that id, the one of the least hash).
 
-    Only documents that may have to go, or whose doc_id occurs more than once, are exchanged.
+    Rows of equal doc_id and text count as one document; rows without a doc_id stay, and so do rows without words. Only documents that
+    have to go, or that occur more than once, are exchanged.
     """
-    named = materialize(classes(docs, similarity, width, text, doc_id), "classes").where("doc_id is not null")
-    ids = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    ids = materialize(ids.where("n > 1 or not stays").withColumnRenamed("doc_id", doc_id), "suspects")
-    some, others = split_by_ids(docs, ids, doc_id)
-    gone = ids.where("not stays").select(doc_id)
-    rest = some.join(gone.hint("merge"), doc_id, "left_anti").dropDuplicates([doc_id])
-    return others.unionByName(rest)
+    p = inner(docs)
+    named = materialize(_linked(docs, similarity, width, text, doc_id, block, bin_shingles), "named").where("doc_id is not null and n > 0")
+    own = F.struct("doc_id", "h", "c")
+    named = named.groupBy("root", "doc_id", "h", "c").agg(F.count("*").alias("rows"))
+    least = named.groupBy("root").agg(F.min(own).alias("least"))
+    suspects = named.join(least, "root").where((own != F.col("least")) | (F.col("rows") > 1))
+    suspects = materialize(suspects.select(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.col("c").alias(f"{p}c"), (own == F.col("least")).alias(f"{p}stays")), "suspects")
+    some, others = split_by_keys(docs, F.col(doc_id), suspects.select(f"{p}id"))
+    some = some.withColumns({f"{p}id": F.col(doc_id).cast("long"), f"{p}h": F.xxhash64(text), f"{p}c": F.crc32(F.col(text).cast("binary"))})
+    key = [f"{p}id", f"{p}h", f"{p}c"]
+    marked = some.join(suspects.hint("merge"), key, "left")
+    stay = marked.where(F.col(f"{p}stays").isNull()).select(*docs.columns)
+    once = marked.where(F.col(f"{p}stays")).dropDuplicates(key).select(*docs.columns)
+    return others.unionByName(stay).unionByName(once)
 
 
 def op9_ngram_jaccard(spark, sf_dir):

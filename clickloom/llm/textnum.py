@@ -42,15 +42,20 @@ def alnum_table() -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection on 64-bit integers."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    t = h >> np.uint64(30)
+    h = h ^ t
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(h, np.uint64(27), out=t)
+    h ^= t
+    h *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(h, np.uint64(31), out=t)
+    h ^= t
+    return h
 
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first k bytes
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -66,7 +71,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the pairs (a, b); not linear in either, so that no pattern of repeated values cancels out."""
-    return mix(a + mix(b ^ np.uint64(0x9FB21C651E98DF25)))
+    h = b * np.uint64(0x9FB21C651E98DF25)
+    h += a
+    t = h >> np.uint64(32)
+    h ^= t
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(h, np.uint64(29), out=t)
+    h ^= t
+    return h
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
@@ -155,11 +167,23 @@ class Words:
         return coded.dictionary, coded.indices.to_numpy()
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of a cryptographic hash of each word, as two 64-bit arrays."""
-        known, number = self.distinct()
-        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in known.to_pylist())
-        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        return both[number, 0], both[number, 1]
+        """128 bits that tell words apart, as two arrays: mixed bytes of words up to 16 bytes, a cryptographic hash of longer ones."""
+        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        loads = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        length = self.end - self.start
+        a, b = loads[self.start], loads[self.start + 8]
+        a &= _MASKS[np.minimum(length, 8)]
+        b &= _MASKS[np.clip(length - 8, 0, 8)]  # no word has a zero byte, so its end is where zeros begin
+        t = mix(b ^ np.uint64(0x9E6C63D0876A46E5))
+        t += a
+        a ^= np.uint64(0xC2B2AE3D27D4EB4F)
+        b += mix(a)
+        first, second = mix(t), mix(b)
+        if len(long := np.flatnonzero(length > 16)):
+            body = memoryview(self.data)
+            digests = b"".join(hashlib.blake2b(body[s:e], digest_size=16).digest() for s, e in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True))
+            first[long], second[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        return first, second
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""

@@ -428,7 +428,7 @@ def test_jaccard(spark, corpus, similarity, width, block):
     docs = documents(spark, texts)
     sets = [shingles(t, width) for t in texts]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, similarity, width, block=block, bucket_keys=500).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, similarity, width, block=block, bin_shingles=3000).collect()}
     assert got == classes_of(sets, list(range(len(sets))), links)
     assert jaccard.classes(docs.where("false")).count() == 0
 
@@ -450,7 +450,7 @@ def test_fine_vectors_of_long_sets(spark):
     base = words_of(2500, 50, 100_000)
     texts = [" ".join(base), " ".join([*base[:1200], "x", *base[1201:]]), " ".join([*words_of(2200, 51, 100_000), *base[:300]]), " ".join([*words_of(2200, 52, 100_000), *base[:300]])]
     docs = documents(spark, texts)
-    got = {r.doc_id: r.component_id for r in jaccard.classes(docs, bucket_keys=500).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs, bin_shingles=3000).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
