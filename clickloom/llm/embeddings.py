@@ -6,24 +6,27 @@ r = |e| is stored. For two vectors x.y = s t q.p + (s q).f + e.y, so the cosine
 sums of int8 products are exact up to 2^24, so in slices of at most 1,024 dimensions); only pairs whose product plus bound
 reaches the threshold are computed again in double precision from the full vectors.
 
-Blocks are formed along the nearest of a fixed number of pivots and each keeps its centre and largest angle to it; a tile is
-skipped when the triangle inequality for angles shows that no pair in it can reach the threshold. A tile sends back the
-number of links of each vector and a spanning forest of its links, never the links themselves, so large groups of
-copies cost a matrix product and not a list of pairs.
+Vectors are gathered into packs along the nearest of a fixed number of pivots; each pack keeps its centre and largest angle to it, and two
+packs are not multiplied when the triangle inequality for angles shows that no pair of them can reach the threshold. Packs in a row form a
+super-block of about ``block_bytes``, and a task compares two super-blocks pack by pack: with n vectors of d numbers each vector is sent n d 4 /
+block_bytes times, four times at least (so that a small table gives ten tasks). A task sends back the number of links of each
+vector and a spanning forest of its links, never the links themselves, so large groups of copies cost a matrix product and not a list of pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors
-of different dimension; repeated rows with one vec_id are vectors of their own in the counts, of one node in the components;
-an empty table gives no rows.
+of different dimension; very large and very small finite components are scaled before norms are taken; every row is a vector of its own, so rows
+that share a vec_id link with each other and count each other; rows without a vec_id link like others but name no component; an empty table
+gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialize, read, ship
+from .common import Forest, bound_batches, components, gather, materialize, read
 
 SLICE = 1024  # 127 * 127 * 1024 < 2^24
 
@@ -76,151 +79,132 @@ def unpack(blob: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(blob, np.float32 if blob[:1] == b"f" else np.float64, offset=1).astype(np.float64).reshape(-1, dim)
 
 
-def _clean(batch_values: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows usable at this dimension, and their vectors in double precision."""
-    rows, vectors = [], []
-    for k, v in enumerate(batch_values):
-        if not v.is_valid or len(v.values) != dim or v.values.null_count:
-            continue
-        rows.append(k)
-        vectors.append(v.values.to_numpy(zero_copy_only=False))
-    x = np.array(vectors, np.float64).reshape(-1, dim)
-    norm = np.linalg.norm(np.where(np.isfinite(x), x, 0), axis=1)
-    fine = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
-    return np.array(rows, np.int64)[fine], x[fine]
+def usable(values: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of this dimension without null, non-finite or only zero components, and their vectors in double precision."""
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(values), dim), False).to_numpy(zero_copy_only=False))
+    flat = values.take(pa.array(rows)).flatten().cast(pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls become NaN
+    fine = np.isfinite(x).all(1) & (x != 0).any(1)
+    return rows[fine], x[fine]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = 4096, pivots: int = 64) -> DataFrame:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is made 1 first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (the least index of each vector's tree) after the links (i, j)."""
+    a, b = root[i], root[j]
+    apart = a != b
+    if not apart.any():
+        return root
+    pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    forest = Forest(len(nodes))
+    for u, v in at.reshape(2, -1).T.tolist():
+        forest.union(u, v)
+    table = np.arange(len(root))
+    table[nodes] = nodes[forest.roots()]
+    return table[root]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", pack: int = 1024, block_bytes: int = 8 << 20, pivots: int = 64) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship(spark)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    links = []
+    # pivots of each dimension: a bounded sample, smallest hashes first; they steer the order only, results do not depend on them
+    bases = {}
     for dim in sorted(r[0] for r in rows.select(F.size("embedding").alias("d")).where("d > 0").distinct().collect()):
-        links.append(_links(rows.where(F.size("embedding") == dim), dim, threshold, block, pivots))
-    if not links:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
+        some = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(pivots).toArrow()
+        _, base = usable(some.column(0).combine_chunks(), dim)
+        bases[dim] = unit(base) if len(base) else np.eye(1, dim)
+
+    def place(batches):
+        for batch in gather(batches, "embedding"):
+            dims, pivot, x = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            values = batch.column("embedding")
+            for dim in pc.unique(pc.list_value_length(values)).drop_null().to_pylist():
+                if dim in bases:
+                    at, own = usable(values, dim)
+                    dims[at] = dim
+                    pivot[at] = (unit(own) @ bases[dim].T).argmax(1) if len(own) else 0
+                    for k, v in zip(at.tolist(), own, strict=True):
+                        x[k] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(pivot, pa.int32()), pa.array(x, pa.binary())], names=["row", "vec_id", "dim", "pivot", "x"])
+
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = materialize(numbered.mapInArrow(place, "row long, vec_id long, dim int, pivot int, x binary"), "vectors")
+    sizes = {(r["dim"], r["pivot"]): r["count"] for r in placed.where("x is not null").groupBy("dim", "pivot").count().collect()}  # a row per pivot
+    found = None
+    for dim in sorted({d for d, _ in sizes}):
+        links = _links(placed.where((F.col("dim") == dim) & F.col("x").isNotNull()), dim, {k: n for (d, k), n in sizes.items() if d == dim}, threshold, pack, block_bytes)
+        found = links if found is None else found.unionByName(links)
+    named = placed.select("row", "vec_id")
+    if found is None:
+        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "vector-links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    counts = found.where("root is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    groups = components(found.where("root is not null").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    counts = found.where("root is null").groupBy("row").agg(F.sum("n").alias("n_links"))
+    groups = components(found.where("root is not null").select(F.col("row").alias("a"), F.col("root").alias("b")))
+    named = named.join(counts, "row", "left").join(groups.withColumnRenamed("id", "row"), "row", "left")
+    named = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("component"))
+    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return named.join(least, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(rows: DataFrame, dim: int, threshold: float, block: int, pivots: int) -> DataFrame:
-    """(vec_id, n, root): n counts links of a vector in a tile (root null), or a forest edge to root (n null)."""
-    spark = rows.sparkSession
+def _links(placed: DataFrame, dim: int, sizes: dict[int, int], threshold: float, pack: int, block_bytes: int) -> DataFrame:
+    """(row, n, root): n counts links of a vector in a task (root null), or a forest edge to root (n null)."""
     limit = np.arccos(min(max(threshold, -1.0), 1.0))
-    # pivots: a bounded sample, smallest hashes first; they steer the order only, results do not depend on them
-    pivots = max(1, min(pivots, rows.count() // block))
-    some = rows.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    base = np.array([r.embedding for r in some if r.embedding is not None and None not in r.embedding], np.float64).reshape(-1, dim)
-    base = base[np.isfinite(base).all(1)]
-    base = base[np.linalg.norm(base, axis=1) > 0]
-    base = base / np.linalg.norm(base, axis=1, keepdims=True) if len(base) else np.eye(1, dim)
-
-    def place(batches):
-        for batch in batches:
-            at, x = _clean(batch.column(1), dim)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            cos = unit @ base.T
-            pivot = cos.argmax(1) if len(x) else np.empty(0, np.int64)
-            ids = batch.column(0).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(pivot, pa.int32()), pa.array([v.tobytes() for v in x.astype(np.float64)], pa.binary())], names=["vec_id", "pivot", "x"]
-            )
-
-    placed = materialize(rows.mapInArrow(place, "vec_id long, pivot int, x binary"), "vectors")
-    sizes = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}  # one row per pivot
-    # blocks of about ``block`` vectors: a pivot's vectors are dealt by hash, so that a pivot may hold any share of them
-    deal = [-(-sizes.get(k, 0) // block) for k in range(len(base))]
-    first = np.concatenate([[0], np.cumsum(deal)]).tolist()
-    n_blocks = first[-1]
-    table = spark.createDataFrame([(k, first[k], max(deal[k], 1)) for k in range(len(base))], "pivot int, first int, n int")
-    blocked = placed.join(F.broadcast(table), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id", "x"), F.col("n")).cast("int"))
-
-    def pack(key, group):
+    # packs of about ``pack`` vectors: a pivot's vectors are dealt by hash, so that a pivot may hold any share of them
+    table, n_packs = [], 0
+    for k in sorted(sizes):
+        deal = -(-sizes[k] // pack)
+        table.append((k, n_packs, deal))
+        n_packs += deal
+    blocks = max(-(-sum(sizes.values()) * dim * 4 // block_bytes), min(4, n_packs))
+    table = F.broadcast(placed.sparkSession.createDataFrame(table, "pivot int, first int, deal int"))  # a row per pivot
+    dealt = placed.join(table, "pivot").withColumn("pack", F.col("first") + F.pmod(F.xxhash64("row"), F.col("deal")).cast("int"))
+
+    def gather_pack(key, group):
         x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float64).reshape(-1, dim)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        mean = unit.mean(0)
+        own = unit(x)
+        mean = own.mean(0)
         size = np.linalg.norm(mean)
-        centre = mean / size if size > 1e-9 else unit[0]
-        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) + 1e-7
-        return pa.Table.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([group.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([pack_exactly(x)], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
-            names=["block", "ids", "x", "centre", "radius"],
-        )
-
-    blocks = materialize(blocked.select("block", "vec_id", "x").groupBy("block").applyInArrow(pack, "block int, ids array<long>, x binary, centre binary, radius double"), "blocks")
-    # a block meets the blocks that the angles leave; the pairs of blocks are made where the block is, from centres alone
-    ends = blocks.select("block", "centre", "radius").collect()  # one row per ``block`` vectors; ``block`` times fewer than vectors
-    centres = np.zeros((n_blocks, dim))
-    radius = np.full(n_blocks, -np.inf)
-    for r in ends:
-        centres[r["block"]], radius[r["block"]] = np.frombuffer(r["centre"]), r["radius"]
-    sent = spark.sparkContext.broadcast((centres, radius))
-
-    def send(batches):
-        centres, radius = sent.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = batch.column("block")[k].as_py()
-                angle = np.arccos(np.clip(centres @ centres[b], -1, 1))
-                partners = np.flatnonzero(angle - radius - radius[b] <= limit)
-                lo, hi = np.minimum(partners, b), np.maximum(partners, b)
-                n = len(partners)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *(pa.array([batch.column(c)[k].as_py()] * n, batch.schema.field(c).type) for c in ("block", "ids", "x"))],
-                    names=["lo", "hi", "block", "ids", "x"],
-                )
+        centre = mean / size if size > 1e-9 else own[0]
+        radius = float(np.arccos(np.clip(own @ centre, -1, 1)).max()) + 1e-7
+        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([group.column("row").to_pylist()], pa.list_(pa.int64())), pa.array([pack_exactly(x)], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])]
+        return pa.Table.from_arrays(columns, names=["pack", "rows", "x", "centre", "radius"])
+
+    packs = materialize(dealt.select("pack", "row", "x").groupBy("pack").applyInArrow(gather_pack, "pack int, rows array<long>, x binary, centre binary, radius double"), "packs")
+    own = F.expr(f"pack * {blocks}L div {n_packs}")
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda i: F.least(i, F.col("block")) * blocks + F.greatest(i, F.col("block")))
+    sent = packs.withColumn("block", own).withColumn("tile", F.explode(tiles))
 
     def meet(key, group):
-        lo, hi = key[0].as_py(), key[1].as_py()
-        held = {}
-        for k in range(group.num_rows):
-            x = unpack(group.column("x")[k].as_py(), dim)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            held[group.column("block")[k].as_py()] = (np.array(group.column("ids")[k].values.to_pylist(), object), x, quantise(x))
-        (ids, x, a), (jds, y, b) = held[lo], held[hi]
-        same = lo == hi
-        offset = 0 if same else len(x)
-        n = np.zeros(offset + len(y), np.int64)
-        forest = Forest(len(n))
-        root = np.arange(len(n))
-        for i, j in tile(x, y, a, b, threshold, same):
-            j = j + offset
-            np.add.at(n, i, 1)
-            np.add.at(n, j, 1)
-            while True:  # join the links that still connect different trees; usually few of many
-                apart = np.flatnonzero(root[i] != root[j])
-                if not len(apart):
-                    break
-                pairs = np.unique(np.stack([root[i[apart]], root[j[apart]]]), axis=1)
-                for u, v in pairs.T.tolist():
-                    forest.union(u, v)
-                root = forest.roots()
-        every = list(ids) if same else [*ids, *jds]
-        some = np.flatnonzero(n)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.Table.from_arrays(
-            [
-                pa.array([every[k] for k in some] + [every[k] for k in moved], pa.int64()),
-                pa.array([int(n[k]) for k in some] + [None] * len(moved), pa.int64()),
-                pa.array([None] * len(some) + [every[root[k]] for k in moved], pa.int64()),
-            ],
-            names=["vec_id", "n", "root"],
-        )
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    tiles = blocks.mapInArrow(send, "lo int, hi int, block int, ids array<long>, x binary")
-    return tiles.groupBy("lo", "hi").applyInArrow(meet, "vec_id long, n long, root long")
+        lo, hi = divmod(key[0].as_py(), blocks)
+        held = []
+        start = 0
+        for k in np.argsort(group.column("pack").to_numpy()).tolist():
+            x = unit(unpack(group.column("x")[k].as_py(), dim))
+            held.append((group.column("block")[k].as_py(), start, x, quantise(x), np.frombuffer(group.column("centre")[k].as_py()), group.column("radius")[k].as_py()))
+            start += len(x)
+        rows = np.concatenate([group.column("rows")[k].values.to_numpy() for k in np.argsort(group.column("pack").to_numpy()).tolist()])
+        n, root = np.zeros(start, np.int64), np.arange(start)
+        for p, (a, at, x, qx, c, r) in enumerate(held):
+            for q in range(p, len(held)):
+                b, to, y, qy, d, s = held[q]
+                if (a, b) != (lo, hi) or np.arccos(np.clip(c @ d, -1, 1)) - r - s > limit:
+                    continue
+                for i, j in tile(x, y, qx, qy, threshold, p == q):
+                    n[at : at + len(x)] += np.bincount(i, minlength=len(x))
+                    n[to : to + len(y)] += np.bincount(j, minlength=len(y))
+                    root = merge(root, i + at, j + to)
+        some, moved = np.flatnonzero(n), np.flatnonzero(root != np.arange(start))
+        columns = [np.concatenate([rows[some], rows[moved]]), pa.array([*n[some].tolist(), *[None] * len(moved)], pa.int64()), pa.array([*[None] * len(some), *rows[root[moved]].tolist()], pa.int64())]
+        return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *columns[1:]], names=["row", "n", "root"])
+
+    return sent.groupBy("tile").applyInArrow(meet, "row long, n long, root long")
 
 
 def op10_embedding_near_dedup(spark, sf_dir):

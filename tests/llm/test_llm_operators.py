@@ -474,15 +474,16 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [8 << 20, 4096])
+def test_embeddings(spark, block):
     rng = np.random.default_rng(29)
     x = rng.normal(size=(300, 64)).astype(np.float32)
     x[50:100] = x[:50] + rng.normal(scale=0.2, size=(50, 64)).astype(np.float32)
     x[100:130] = x[0] * 3
     rows = [(k, [float(v) for v in r], 1) for k, r in enumerate(x)]
     rows += [(900, None, 0), (901, [], 0), (902, [0.0] * 64, 0), (903, [float("nan")] * 64, 0), (904, [float("inf")] * 64, 0), (905, [None] + [1.0] * 63, 0), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, block=64).collect()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, pack=16, block_bytes=block).collect()}
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     cos = unit @ unit.T
     links = [(a, b) for a in range(300) for b in range(a) if cos[a, b] >= 0.95]
@@ -494,6 +495,15 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.where("false")).count() == 0
 
 
+def test_repeated_and_extreme_vectors(spark):
+    """Every row is a vector of its own; finite vectors link whatever their size; the threshold itself links."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [3.0, 0.0]), (5, [0.0, 1e200]), (6, [0.0, 1e-200]), (7, [0.0, -5e-324]), (None, [-1.0, -1.0]), (8, [3.0, 4.0]), (9, [4.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, threshold=0.96, pack=2).collect())
+    one = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False)]
+    assert got == Counter([*one, (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (None, 0, None, True), (8, 1, 8, True), (9, 1, 8, False)])
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(31)
     x = rng.normal(size=(200, 64)) * np.exp(rng.normal(size=(200, 64)))
