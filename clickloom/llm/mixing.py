@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in hash order, are cut into blocks of ``block_bytes`` of text. Time is counted in blocks: the mix takes one in
+The documents of a source, in hash order, are cut into blocks of text. Time is counted in blocks: the mix takes one in
 each slot. Block i (from 1) of a source of weight w is released at floor((i - 1) / w) and due at ceil(i / w), and every slot
 takes the released block that is due first (ties: the heavier source, then the name). As the weights sum to 1, every block meets its
-window, so after any number of slots t each source has had w t blocks to within less than one.
+window, so after any number of slots t each source has had w t blocks to within less than one. Weights are exact: whole numbers in the
+proportion of the given or computed ones, never rounded to slots.
 
-Weights are whole numbers of slots in a period of ``period`` slots, so one period is scheduled once, on the driver, and repeats: the place of
-every block follows from it by arithmetic, however many blocks there are.
+A source that has run out drops out: the others go on by their renormalised weights, from that slot on, down to their last
+block. Windows and deviation then count from there.
 
-A source that has run out drops out: its turns are skipped, so the others share the slots by their renormalised weights down to their last
-block. Slots, releases and deadlines are counted without skipped turns, which keeps every block in its window.
+The schedule is made on the driver, slot by slot, so the number of slots is bounded: a block has ``block_bytes`` of text, or as many as cut the
+corpus into ``most_slots`` blocks if that is more (400 MB each at 100 TB). Every block is scheduled; documents find theirs by a join.
 
 By default weights are the sources' shares of bytes raised to ``power`` (tempered sampling), and every document is chosen. With given
-weights the mix ends where the first source would run out by these weights, unrounded, and not before that source's last block; what is left of
+weights the mix ends where the first source would run out by these weights, and not before that source's last block; what is left of
 the others is over-weight and not chosen, nor are sources without a weight. This loss is what the given weights ask for, not a cap.
 
 Running byte counts within a source are formed in two steps (hash ranges of bounded size, then inside each), so a
@@ -25,151 +26,94 @@ but those named like a result column give way to it.
 
 from __future__ import annotations
 
+import heapq
+import math
 from fractions import Fraction
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read, ship, without
-
-MOST_SOURCES = 100_000
-MOST_RANGES = 1 << 16  # beyond it ranges grow: to half a GB for a source of 33 TB
-
-
-def slots(weights: dict, period: int) -> dict:
-    """Whole slots of a period for each weight, at least one, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w).limit_denominator(10**12) / Fraction(total).limit_denominator(10**12) * period for s, w in weights.items()}
-    found = {s: max(int(x), 1) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (found[s] - exact[s], repr(s)))
-    k = 0
-    while (gap := period - sum(found.values())) > 0:
-        found[order[k % len(order)]] += min(gap, 1)
-        k += 1
-    while sum(found.values()) > period:
-        found[max(found, key=lambda s: (found[s] - exact[s] if found[s] > 1 else float("-inf"), repr(s)))] -= 1
-    return found
-
-
-def schedule(n: dict) -> list:
-    """The source of each slot of a period by earliest deadline first; n: slots of each source."""
-    import heapq
-
-    period = sum(n.values())
-    names = sorted(n, key=lambda s: (-n[s], repr(s)))
-    rank = {s: k for k, s in enumerate(names)}
-    waiting = [(0, rank[s], 1) for s in names]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, r, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-i * period // n[names[r]]), r, i))
-        _, r, i = heapq.heappop(ready)
-        out.append(names[r])
-        if i < n[names[r]]:
-            heapq.heappush(waiting, (i * period // n[names[r]], r, i + 1))
+from .common import inner, materialize, read, without
+
+MOST_SOURCES = 4096
+MOST_RANGES = 1 << 20  # beyond it (1 TB of a source) ranges grow
+
+
+def schedule(blocks: dict, weights: dict) -> list[tuple]:
+    """(source, block, release, deadline) for every slot, by earliest deadline first; blocks: how many each source has."""
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * common) for s, w in exact.items()}
+    names = sorted((s for s in blocks if blocks[s] > 0), key=lambda s: (-whole[s], repr(s)))
+    had = dict.fromkeys(names, 0)
+    out: list[tuple] = []
+    while names:  # until the next source runs out
+        start, total = len(out), sum(whole[s] for s in names)
+        waiting = [(0, r, 1) for r in range(len(names))]  # release, source, block since start
+        ready: list[tuple[int, int, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= len(out) - start:
+                _, r, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-i * total // whole[names[r]]), r, i))
+            due, r, i = heapq.heappop(ready)
+            s = names[r]
+            had[s] += 1
+            out.append((s, had[s], start + (i - 1) * total // whole[s], start + due))
+            if had[s] == blocks[s]:
+                break
+            heapq.heappush(waiting, (i * total // whole[s], r, i + 1))
+        names.remove(s)
     return out
 
 
-class Filled:
-    """Counts the turns that have a block; turn t of a period has one in the first lasts[t] periods."""
-
-    def __init__(self, lasts: np.ndarray):
-        self.period = len(lasts)
-        self.sorted = np.sort(lasts)
-        self.total = np.concatenate([[0], np.cumsum(self.sorted)])
-        self.values, rank = np.unique(lasts, return_inverse=True)
-        self.width = len(self.values) + 1
-        # level j: runs of 2**j turns, each sorted by how long the turns last
-        self.levels = [np.sort((np.arange(self.period) >> j) * self.width + rank) for j in range(self.period.bit_length())]
-
-    def before(self, turn: np.ndarray) -> np.ndarray:
-        """How many turns before each of these, counted over all periods, have a block."""
-        q, t = np.divmod(turn, self.period)
-        ended = np.searchsorted(self.sorted, q, side="right")
-        n = self.total[ended] + (self.period - ended) * q
-        rank = np.searchsorted(self.values, q, side="right")
-        for j, keys in enumerate(self.levels):  # turns before t: one run for each bit of t
-            run = (t >> (j + 1)) * 2
-            n += np.where((t >> j) & 1, ((run + 1) << j) - np.searchsorted(keys, run * self.width + rank), 0)
-        return n
-
-
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, period: int = 4096, range_bytes: int = 1 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, most_slots: int = 1 << 18, range_bytes: int = 1 << 20) -> DataFrame:
     """docs with block (from 1, in its source), release, deadline, slot (its place in the mix) and chosen."""
     docs = without(docs, "block", "release", "deadline", "slot", "chosen")
-    spark = docs.sparkSession
+    spark, p = docs.sparkSession, inner(docs)
+    own = F.col(f"`{source}`")
     size = F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long")
-    keyed = docs.withColumns({"__size": size, "__hash": F.xxhash64(doc_id, F.octet_length(text))})
-    keyed = keyed.withColumn("__tie", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    totals = keyed.groupBy(source).agg(F.sum("__size").alias("__bytes")).limit(MOST_SOURCES + 1).collect()
+    keyed = docs.withColumns({f"{p}size": size, f"{p}hash": F.xxhash64(doc_id, text), f"{p}tie": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
+    totals = keyed.groupBy(own.alias(f"{p}s")).agg(F.sum(f"{p}size").alias(f"{p}n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    held = {r[source]: r["__bytes"] for r in totals}
+    held = {r[0]: r[1] for r in totals}
     given = weights is not None
-    weights = {s: b**power for s, b in held.items()} if weights is None else {s: weights[s] for s in held if weights.get(s, 0) > 0}
-    period = max(period, 1 << (8 * len(weights) - 1).bit_length()) if weights else period
-    n = slots(weights, period) if weights else {}
-    line = schedule(n) if n else []
-    turns: dict = {s: [] for s in n}
-    for t, s in enumerate(line):
-        turns[s].append(t)
-    blocks = {s: -(-held[s] // block_bytes) for s in n}
-    lasts = np.zeros(len(line), np.int64)
-    for s in n:
-        lasts[turns[s]] = np.maximum(-(-(blocks[s] - np.arange(n[s])) // n[s]), 0)
-    ship(spark)
-    filled = spark.sparkContext.broadcast(Filled(lasts))  # some numbers for each slot of a period
-    end = None
-    if given and n:
-        total = sum(map(Fraction, weights.values()))
-        first = min(n, key=lambda s: (blocks[s] / Fraction(weights[s]), repr(s)))
-        last = (blocks[first] - 1) // n[first] * period + turns[first][(blocks[first] - 1) % n[first]]
-        end = max(-(-blocks[first] * total // Fraction(weights[first])), int(filled.value.before(np.array([last]))[0]) + 1)
-    table = spark.createDataFrame([(s, k, n[s], t) for s in n for k, t in enumerate(turns[s])], f"__s {docs.schema[source].dataType.simpleString()}, __slot int, __m long, __turn long")
-    table = F.broadcast(table)  # one row per slot of a period
+    weights = {s: weights[s] for s in held if weights.get(s, 0) > 0} if given else {s: b**power for s, b in held.items()}
+    block_bytes = max(block_bytes, -(-sum(held.values()) // most_slots))
+    blocks = {s: -(-held[s] // block_bytes) for s in weights}
+    line = schedule(blocks, weights)
+    end = len(line)
+    if given and line:
+        first = min(blocks, key=lambda s: (blocks[s] / Fraction(weights[s]), repr(s)))
+        last = next(t for t, x in enumerate(line) if x[:2] == (first, blocks[first]))
+        end = max(math.ceil(blocks[first] * sum(map(Fraction, weights.values())) / Fraction(weights[first])), last + 1)
+    number = {s: k for k, s in enumerate(blocks)}
+    kind = docs.schema[source].dataType.simpleString()
+    numbers = F.broadcast(spark.createDataFrame([(s, k) for s, k in number.items()], f"{p}name {kind}, {p}k int"))  # a row per source
+    columns = [[number[x[0]] for x in line], *([x[k] for x in line] for k in (1, 2, 3)), list(range(len(line)))]
+    names = [f"{p}{c}" for c in ("at", "block", "release", "deadline", "slot")]
+    table = F.broadcast(spark.createDataFrame(pa.Table.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)))  # at most most_slots + MOST_SOURCES rows
 
     ranges = max(1, min(-(-max(held.values(), default=1) // range_bytes), MOST_RANGES))
-    keyed = keyed.withColumn("__range", F.floor(F.shiftrightunsigned("__hash", 33).cast("double") / (1 << 31) * ranges).cast("int"))
-    sizes = materialize(keyed.groupBy(F.col(source).alias("__source"), "__range").agg(F.sum("__size").alias("bytes")), "mix-ranges")
-    before = F.sum("bytes").over(W.partitionBy("__source").orderBy("__range")) - F.col("bytes")
-    sizes = sizes.select("__source", F.col("__range").alias("__r"), before.alias("__before"))
-    inside = F.sum("__size").over(W.partitionBy(source, "__range").orderBy("__hash", doc_id, "__tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
-    placed = keyed.withColumn("__inside", inside).join(sizes, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__r")))
-    placed = placed.withColumn("__block", F.expr(f"(__before + __inside) div {block_bytes}") + 1)
-    counts = F.broadcast(spark.createDataFrame([(s, n[s]) for s in n], f"__t {docs.schema[source].dataType.simpleString()}, __n long"))
-    placed = placed.join(counts, F.col(source).eqNullSafe(F.col("__t")), "left").withColumn("__k", ((F.col("__block") - 1) % F.col("__n")).cast("int"))
-    turn = table.select("__s", "__slot", "__turn")
-    placed = placed.join(turn, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__slot")), "left")
-
-    @F.arrow_udf("long")
-    def without_skipped(turn: pa.Array) -> pa.Array:
-        return pa.array(filled.value.before(turn.to_numpy(zero_copy_only=False).astype(np.int64)))
-
-    def counted(turn):
-        return F.when(F.col("__n").isNotNull(), without_skipped(F.coalesce(turn, F.lit(0)).cast("long")))
-
-    placed = placed.withColumns(
-        {
-            "__release": counted(F.expr(f"((__block - 1) * {period}) div __n")),
-            "__deadline": counted(F.expr(f"(__block * {period} + __n - 1) div __n")),
-            "__at": counted(F.expr("(__block - 1) div __n") * period + F.col("__turn")),
-        }
-    )
+    keyed = keyed.withColumn(f"{p}range", F.floor(F.shiftrightunsigned(f"{p}hash", 33).cast("double") / (1 << 31) * ranges).cast("int"))
+    sizes = materialize(keyed.groupBy(own.alias(f"{p}source"), F.col(f"{p}range").alias(f"{p}r")).agg(F.sum(f"{p}size").alias(f"{p}bytes")), "mix-ranges")
+    before = F.sum(f"{p}bytes").over(W.partitionBy(f"{p}source").orderBy(f"{p}r")) - F.col(f"{p}bytes")
+    sizes = sizes.select(f"{p}source", f"{p}r", before.alias(f"{p}before"))
+    inside = F.sum(f"{p}size").over(W.partitionBy(own, f"{p}range").orderBy(f"{p}hash", doc_id, f"{p}tie").rowsBetween(W.unboundedPreceding, 0)) - F.col(f"{p}size")
+    placed = keyed.withColumn(f"{p}inside", inside).join(sizes, own.eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}range") == F.col(f"{p}r")))
+    placed = placed.withColumn(f"{p}b", F.expr(f"({p}before + {p}inside) div {block_bytes}") + 1)
+    placed = placed.join(numbers, own.eqNullSafe(F.col(f"{p}name")), "left")
+    placed = placed.join(table, (F.col(f"{p}k") == F.col(f"{p}at")) & (F.col(f"{p}b") == F.col(f"{p}block")), "left")
     return placed.select(
         *(F.col(f"`{c}`") for c in docs.columns),
-        F.col("__block").alias("block"),
-        F.col("__release").alias("release"),
-        F.col("__deadline").alias("deadline"),
-        F.col("__at").alias("slot"),
-        F.coalesce(F.col("__at") < end, F.lit(False)).alias("chosen") if given else F.lit(True).alias("chosen"),
+        F.col(f"{p}b").alias("block"),
+        *(F.col(f"{p}{c}").alias(c) for c in ("release", "deadline", "slot")),
+        F.coalesce(F.col(f"{p}slot") < end, F.lit(False)).alias("chosen"),
     )
 
 
 def op5_mixing(spark, sf_dir):
+    """Every document with its block, the block's window and its place; slots are gapless over the blocks."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "chosen")

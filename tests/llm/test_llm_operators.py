@@ -229,62 +229,68 @@ def test_short_and_letter_only_credentials_are_scored(spark):
 # mixing
 
 
-def test_schedule_is_proportionate():
-    n = mixing.slots({"a": 0.5, "b": 0.3, "c": 0.15, None: 0.05}, 64)
-    assert sum(n.values()) == 64 and min(n.values()) >= 1
-    line = mixing.schedule(n)
-    for s in n:
-        had = 0
-        for t, x in enumerate(line, 1):
-            had += x == s
-            assert abs(had - Fraction(n[s], 64) * t) < 1
-
-
-def test_mixing(spark):
-    texts = [" ".join(words_of(20 + k % 50, k)) for k in range(600)] + [None, ""]
-    docs = documents(spark, texts)
-    got = mixing.mix(docs, block_bytes=512, period=64, range_bytes=2048).collect()
-    assert len(got) == len(texts)
-    blocks = {(r.source, r.block): (r.release, r.deadline, r.slot, r.chosen) for r in got}
-    assert len(blocks) == len({(r.source, r.block, r.slot) for r in got}) == len({v[2] for v in blocks.values()})
-    assert all(a <= s < d for a, d, s, _ in blocks.values())
-    end = max(s for _, _, s, c in blocks.values() if c)
-    assert all(c == (s <= end) or not c for _, _, s, c in blocks.values()) and sum(r.chosen for r in got) > 0.5 * len(texts)
-    only = mixing.mix(docs, weights={"s1": 1, "s2": 1}, block_bytes=512).where("chosen").select("source").distinct().collect()
-    assert {r.source for r in only} == {"s1", "s2"}
-    assert mixing.mix(docs.where("false")).count() == 0
-
-
-def brute_slots(n, blocks):
-    """Earliest deadline first, turn by turn, over endless sources; turns of sources that have run out take no slot."""
-    period, had, found = sum(n.values()), dict.fromkeys(n, 0), {}
-    turn = 0
-    while len(found) < sum(blocks.values()):
-        ready = [s for s in n if had[s] * period // n[s] <= turn]
-        s = min(ready, key=lambda s: (-(-(had[s] + 1) * period // n[s]), -n[s], repr(s)))
+def test_schedule_keeps_to_the_target_weights():
+    """Over 100,000 slots no source is a block or more away from its target, whatever the weights."""
+    weights = {"a": Fraction(1, 3), "b": 2 / 3, "c": 1e-5, None: 0.1**0.7}
+    blocks = dict.fromkeys(weights, 10**6)
+    blocks["a"] = 40_000  # the others end with it here
+    line = mixing.schedule({**blocks, "b": 80_000, "c": 3, None: 25_000}, weights)
+    total = sum(map(Fraction, weights.values()))
+    target = {s: Fraction(w) / total for s, w in weights.items()}
+    had, full = dict.fromkeys(weights, 0), {"a": 40_000, "b": 80_000, "c": 3, None: 25_000}
+    for t, (s, i, release, deadline) in enumerate(line, 1):
+        had[s] += 1
+        assert had[s] == i and release <= t - 1 < deadline
+        assert all(abs(had[x] - target[x] * t) < 1 for x in weights)
+        if had[s] == full[s]:
+            break
+    assert t > 100_000 and had == full | had and len(line) == sum(full.values())
+
+
+def brute_schedule(blocks, weights):
+    """Earliest deadline first by its definition, turn by turn; windows start anew whenever a source runs out."""
+    had, since, start, out = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0), 0, {}
+    alive = {s for s in blocks if blocks[s]}
+    while alive:
+        total, t = sum(Fraction(weights[s]) for s in alive), len(out) - start
+        w = {s: Fraction(weights[s]) / total for s in alive}
+        ready = [s for s in alive if int((had[s] - since[s]) / w[s]) <= t]
+        s = min(ready, key=lambda s: (-(-(had[s] - since[s] + 1) // w[s]), -w[s], repr(s)))
         had[s] += 1
-        if had[s] <= blocks[s]:
-            found[s, had[s]] = len(found)
-        turn += 1
-    return found
+        out[s, had[s]] = len(out)
+        if had[s] == blocks[s]:
+            alive.remove(s)
+            since, start = dict(had), len(out)
+    return out
 
 
-def test_mixing_goes_on_when_a_source_runs_out(spark):
-    """A source of one document and a null source beside large ones end neither the mix nor each other."""
+def test_mixing(spark):
+    """Against brute force: blocks by running bytes in hash order, slots by the schedule's definition; a tiny and a null source end nothing."""
     rows = [(k, "x" * (90 + k % 21), s) for k, s in enumerate(["big"] * 700 + ["large"] * 400 + ["tiny"] + [None] * 3)]
+    rows += [(None, None, "large"), (None, "", None), (7, "é" * 10, "big"), (7, "é" * 10, "big")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    held = Counter()
-    for _, text, s in rows:
-        held[s] += len(text)
-    blocks = {s: -(-b // 128) for s, b in held.items()}
-    want = brute_slots(mixing.slots({s: b**0.7 for s, b in held.items()}, 64), blocks)
-    got = mixing.mix(docs, block_bytes=128, period=64, range_bytes=2048).collect()
-    assert len(got) == len(rows) and all(r.chosen for r in got)
-    assert all(r.slot == want[r.source, r.block] and r.release <= r.slot < r.deadline for r in got)
-    assert all(r.chosen for r in mixing.mix(docs).collect())
-    # given weights end the mix by themselves, not by their rounding to slots
-    ends = {r.doc_id: r.chosen for r in mixing.mix(docs.where("source in ('big', 'tiny')"), weights={"big": 499, "tiny": 1}, block_bytes=128, period=64).collect()}
+    for most in (1 << 18, 300):
+        got = mixing.mix(docs.withColumn("h", embeddings.F.xxhash64("doc_id", "text")), block_bytes=128, range_bytes=2048, most_slots=most).collect()
+        held = Counter()
+        for _, text, s in rows:
+            held[s] += max(len((text or "").encode()), 1)
+        size = max(128, -(-sum(held.values()) // most))
+        at, want, ranges = Counter(), {}, -(-max(held.values()) // 2048)
+        for r in sorted(got, key=lambda r: (((r.h >> 33) & 0x7FFFFFFF) * ranges >> 31, r.h)):
+            want.setdefault((r.doc_id, r.text, r.source), []).append(at[r.source] // size + 1)
+            at[r.source] += max(len((r.text or "").encode()), 1)
+        found = {}
+        for r in got:
+            found.setdefault((r.doc_id, r.text, r.source), []).append(r.block)
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+        slots = brute_schedule({s: -(-b // size) for s, b in held.items()}, {s: b**0.7 for s, b in held.items()})
+        assert all(r.chosen and r.slot == slots[r.source, r.block] and r.release <= r.slot < r.deadline for r in got)
+    # given weights end the mix by themselves
+    ends = {r.doc_id: r.chosen for r in mixing.mix(docs.where("source in ('big', 'tiny') and doc_id <> 7"), weights={"big": 499, "tiny": 1}, block_bytes=128).collect()}
     assert ends[1100] and 490 * 128 < sum(len(rows[k][1]) for k in ends if ends[k]) < 510 * 128
+    only = mixing.mix(docs, weights={"big": 1, "large": 1}).where("chosen").select("source").distinct().collect()
+    assert {r.source for r in only} == {"big", "large"}
+    assert mixing.mix(docs.where("false")).count() == 0
 
 
 # quality
