@@ -7,7 +7,7 @@ never meets another says nothing of itself; the classes are balanced beforehand,
 of a text's pattern is its label, and such labels train a hashed linear scorer on word shapes, which also judges texts on which
 no labeller spoke.
 
-Fitting the scorer reads at most ``most_rows`` texts, smallest hashes of doc_id first; pattern counts cover all
+Fitting the scorer reads at most ``most_rows`` different rows, smallest hashes of doc_id first; pattern counts cover all
 texts, and scoring reads every text whole.
 
 Defined cases: null texts and texts without words are rejected with score 0; repeated rows are judged alike; a corpus on which no
@@ -165,9 +165,10 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_rows
 
     def vote(batches):
         for batch in gather(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id).cast(pa.string()), pa.array(code(votes(Words(batch.column(text), whitespace_table()))))], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(code(votes(Words(batch.column(text), whitespace_table()))))], names=["id", "h", "pattern"])
 
-    seen = materialize(docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(vote, "doc_id string, pattern long"), "votes")
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias(text)).where(F.col(text).isNotNull())
+    seen = materialize(rows.mapInArrow(vote, "id string, h long, pattern long"), "votes")
     counts = seen.groupBy("pattern").count().collect()  # at most 3 ** len(LABELLERS) rows
     codes, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["count"] for r in counts], float)
     posterior, accuracy = estimate(codes, n)
@@ -175,7 +176,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_rows
     report = {"accuracy": dict(zip(LABELLERS, accuracy.tolist(), strict=True)), "posterior": known}
     # a half of the sample from each side, as far as there are so many: the rarer class must be seen; silent texts teach nothing
     picked = [
-        seen.where(F.col("pattern").isin(side) & F.col("doc_id").isNotNull()).select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows // 2)
+        seen.where(F.col("pattern").isin(side) & F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id", "h").limit(most_rows // 2)
         for side in ([c for c, p in known.items() if p < 0.5], [c for c, p in known.items() if p > 0.5])
     ]
 
@@ -190,9 +191,9 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_rows
             value = (n / np.maximum(words.counts, 1)[pairs >> BITS]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("pattern"), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (key, value))], names=["pattern", "keys", "counts"])
 
-    sample = F.broadcast(picked[0].unionByName(picked[1]).distinct())  # most_rows ids
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias(text)).join(sample, "doc_id").select(text, "pattern")
-    found = rows.mapInArrow(count, "pattern long, keys binary, counts binary").collect()  # most_rows rows
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # most_rows rows
+    rows = rows.join(sample, ["id", "h"]).groupBy("id", "h").agg(F.first(text).alias(text), F.first("pattern").alias("pattern"))  # equal rows are one
+    found = rows.select(text, "pattern").mapInArrow(count, "pattern long, keys binary, counts binary").collect()  # most_rows rows
     features = [(np.frombuffer(r["keys"], np.int32).astype(np.int64), np.frombuffer(r["counts"], np.float32).astype(float)) for r in found]
     label = np.array([known[r["pattern"]] for r in found])
     weight = np.where(label < 0.5, 1 / max((label < 0.5).sum(), 1), 1 / max((label >= 0.5).sum(), 1)) if len(label) else label
@@ -226,5 +227,6 @@ def judge(docs: DataFrame, model: tuple, text: str = "text", keep_text: bool = T
 
 
 def op6_quality(spark, sf_dir):
+    """Every document with its votes, posterior, score and whether it is kept."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, train(docs), keep_text=False)

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, read, without
+from .common import bound_batches, inner, materialize, read, without
 
 OVERHEAD = 8
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -150,28 +149,28 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str =
     first slot is known from the row counts at its cut, and its rows are numbered inside one task.
     """
     docs = without(docs, "shard", "slot")
-    bound_batches(docs.sparkSession)
-    keyed = docs.withColumns({"__hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW))})
+    spark, p = docs.sparkSession, inner(docs)
+    bound_batches(spark)
+    keyed = docs.withColumns({f"{p}hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), f"{p}id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW))})
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + OVERHEAD
-    keys = materialize(keyed.select(F.col("__hash").alias("hash"), F.col("__id").alias("doc_id"), size.alias("size")), "shard-keys")
+    keys = materialize(keyed.select(F.col(f"{p}hash").alias("hash"), F.col(f"{p}id").alias("doc_id"), size.alias("size")), "shard-keys")
     total = keys.agg(F.sum("size").alias("s")).first().s or 0
     each = max(-(-least_parts // n_shards), -(-total // (n_shards * part_bytes)))
     each = min(each, MOST_PARTS)
     cuts = splitters(keys, n_shards * each, total)
     first = [0, *(c[3] for c in cuts)]
-    place, bounds = _placer([(c[0], c[1]) for c in cuts]), [first[k // each * each] for k in range(n_shards * each)]
-
-    def locate(batches):
-        for batch in batches:
-            part = place(batch.column("__hash").to_numpy(), batch.column("__id").to_numpy())
-            shards = part // each
-            base = np.array(first, np.int64)[part] - np.array(bounds, np.int64)[part]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(shards, pa.int32()), pa.array(base, pa.int64())], names=[*batch.schema.names, "__part", "shard", "__base"])
-
-    schema = T.StructType([*keyed.schema.fields, *T.StructType.fromDDL("__part int, shard int, __base long").fields])
-    moved = keyed.mapInArrow(locate, schema)
-    slot = F.row_number().over(W.partitionBy("__part").orderBy("__hash", "__id")) - 1
-    return moved.withColumn("slot", F.col("__base") + slot).drop("__hash", "__id", "__part", "__base")
+    place = _placer([(c[0], c[1]) for c in cuts])
+
+    @F.arrow_udf("int")
+    def part(h: pa.Array, d: pa.Array) -> pa.Array:  # reads keys only: texts stay in the JVM
+        return pa.array(place(h.to_numpy(zero_copy_only=False), d.to_numpy(zero_copy_only=False)))
+
+    parts = n_shards * each
+    moved = keyed.withColumn(f"{p}part", part(f"{p}hash", f"{p}id")).repartitionById(parts, f"{p}part")  # a range, a task
+    slot = F.row_number().over(W.partitionBy(f"{p}part").orderBy(f"{p}hash", f"{p}id")) - 1
+    base = F.broadcast(spark.createDataFrame([(k, k // each, first[k] - first[k // each * each]) for k in range(parts)], f"{p}k int, shard int, {p}base long"))  # a row per range
+    moved = moved.withColumn(f"{p}slot", slot).join(base, F.col(f"{p}part") == F.col(f"{p}k"), "left")
+    return moved.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", (F.col(f"{p}base") + F.col(f"{p}slot")).alias("slot"))
 
 
 def _placer(cuts: list[tuple[int, int]]):

@@ -10,7 +10,7 @@ beside it are compact lists: each chunk sends its distinct seeds (later: its dis
 hash buckets, once each with a mark if the chunk itself holds two, and gets back one bit each. A passage that a third of all documents
 share is thus one entry a chunk, and no group of its occurrences ever meets in a task.
 
-Windows are compared by 96 bits of two independent hashes of their words' 64-bit hashes, seeds by 64 (a false seed only makes work).
+Windows are compared by 96 bits of two independent hashes of their words' 128 bits, seeds by 64 (a false seed only makes work).
 
 Defined cases: null and empty texts have no words; texts shorter than the window are kept whole; repeated rows are documents
 of their own, so their long texts remove each other; null doc_ids are allowed; an empty table gives no rows; extra columns are kept, but
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, read, without
+from .common import bound_batches, inner, read, without
 from .textnum import Words, mix, whitespace_table
 
-CHUNK = "__chunk"
 #: Bounds of the numbers of chunks and buckets; between them both follow the input. At the upper bounds chunks and buckets grow
 #: instead: at 100 TB to 25 MB of text and, with every window near a shared seed, 2 GB of hashes.
 LEAST, MOST_CHUNKS, MOST_BUCKETS = 64, 4 << 20, 1 << 16
@@ -56,7 +55,7 @@ class Chunk:
 
     def __init__(self, texts, window: int, seed: int):
         self.words = Words(texts, whitespace_table())
-        hashes = self.words.hashes()
+        hashes, self.check = self.words.keys()
         self.window, self.seed = window, seed
         runs, at = self.words.windows(hashes, seed)
         chosen = select(runs, at, window - seed + 1)
@@ -66,7 +65,7 @@ class Chunk:
     def around(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, second hashes and first words of the windows that hold a seed for which ``shared`` is true."""
         runs, at = self.words.windows(self.hashes, self.window)
-        check, _ = self.words.windows(mix(self.hashes ^ np.uint64(0x27220A95FE4F3B1D)), self.window)
+        check, _ = self.words.windows(self.check, self.window)
         near = np.zeros(len(self.words) + 1, np.int64)
         starts = self.seed_at[shared]
         begin = np.repeat(self.words.first[:-1], self.words.counts)  # not before the text: other texts' order is arbitrary
@@ -154,9 +153,10 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     chunks = max(LEAST, min(-(-total // chunk_bytes), MOST_CHUNKS))
     buckets = max(LEAST, min(-(-total // bucket_bytes), MOST_BUCKETS))
-    salted = docs.withColumn(CHUNK, F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(chunks)).cast("int"))
+    chunk = f"{inner(docs)}chunk"
+    salted = docs.withColumn(chunk, F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int"))
     parts = min(chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4))
-    dealt = salted.repartition(parts, CHUNK)
+    dealt = salted.repartition(parts, chunk)
     kept = [c for c in docs.columns if c != text]
 
     def seeds(key, group):
@@ -210,10 +210,10 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
             names.append("kept")
         return pa.Table.from_arrays(columns, names=names)
 
-    sent = dealt.groupBy(CHUNK).applyInArrow(seeds, LISTS)
+    sent = dealt.groupBy(chunk).applyInArrow(seeds, LISTS)
     first = sent.groupBy("bucket").applyInArrow(_shared, REPLY)
     first = first.repartition(parts, "chunk")
-    sent = dealt.groupBy(CHUNK).cogroup(first.groupBy("chunk")).applyInArrow(windows, LISTS)
+    sent = dealt.groupBy(chunk).cogroup(first.groupBy("chunk")).applyInArrow(windows, LISTS)
     second = sent.groupBy("bucket").applyInArrow(_shared, REPLY)
     both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
 
@@ -224,7 +224,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
         return remove(key, group, replies.filter(pa.array(step == 1)), replies.filter(pa.array(step == 2)))
 
     empty = to_arrow_schema(out)
-    return dealt.groupBy(CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(last, out)
+    return dealt.groupBy(chunk).cogroup(both.groupBy("chunk")).applyInArrow(last, out)
 
 
 def op3_substring_dedup(spark, sf_dir):

@@ -12,7 +12,7 @@ texts of any label; labels come from rows outside the held-out fold alone, and n
 of at least ``least_df`` positives the ``most_keys`` that differ most, in standard errors, from the class-prior-corrected negatives are kept. Scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and get the score of the bias; documents without a label are scored alike;
-with no confirmed toxic text every score is 0; repeated rows are scored alike; extra columns are kept, but those named like a result column give way to it.
+with no confirmed toxic text every score is next to 0; repeated rows are scored alike; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -167,7 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1000, most_un
             value = np.log2(1 + n).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (h, value)], names=["keys", "counts"])
 
-    found = text.join(F.broadcast(toxic), "doc_id").select("text").mapInArrow(every, "keys binary, counts binary").collect()  # most_positive rows
+    def of(ids: DataFrame) -> DataFrame:
+        """One text for each of the ids: of several the one with the least hash."""
+        return text.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
+
+    found = of(toxic).mapInArrow(every, "keys binary, counts binary").collect()  # most_positive rows
     lists = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.float32)) for r in found]
     keys, df = np.unique(np.concatenate([*(k for k, _ in lists), np.empty(0, np.uint64)]), return_counts=True)
     keys = keys[df >= min(least_df, max(len(lists), 1))]
@@ -184,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1000, most_un
             cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (k.astype(np.int32), value.astype(np.float32))], names=["keys", "counts"])
 
-    rows = text.join(F.broadcast(sample), "doc_id").select("text").mapInArrow(some, "keys binary, counts binary").collect()  # most_unlabelled rows
+    rows = of(sample).mapInArrow(some, "keys binary, counts binary").collect()  # most_unlabelled rows
     unlabelled = [(np.frombuffer(r["keys"], np.int32).astype(np.int64), np.frombuffer(r["counts"], np.float32).astype(float)) for r in rows]
     P, U = Rows(positive, len(keys)), Rows(unlabelled, len(keys))
     chosen = choose(P, U, prior, min(least_df, max(len(lists), 1)), most_keys)
@@ -207,6 +211,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
 
 
 def op7_toxicity(spark, sf_dir):
+    """Every document with its fold, score and prediction; trained on labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, read(spark, sf_dir, "labels")), keep_text=False)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
