@@ -16,8 +16,8 @@ centre, give a pair with it, and equal pairs are one with a count.
 Only sets of such pairs are looked at further, their texts fetched once. Each set is compared with the centre with which it shares most keys, then,
 where classes still differ, with its other centres; groups of one centre whose sets are still in different classes are last compared
 all with all. If a group is of one class already, no pair of it can add anything. Comparisons take place in bins of about ``bin_shingles``
-shingles: a bin has an R-tree over its points, a query's survivors are verified, and links are joined to a forest. Large groups are split into
-blocks, with their centre in every block, or for all pairs into pairs of blocks. So a group of copies costs no pairs, a link in a class is a verified
+shingles, twice: first points alone meet in a bin's R-tree, then the full texts of the sets that survive there are fetched, the tree's
+survivors verified, and links joined to a forest. Large groups are split into blocks, with their centre in every block, or for all pairs into pairs of blocks. So a group of copies costs no pairs, a link in a class is a verified
 one, and nothing is capped.
 
 Identical sets are one set from the start, told apart by 128 bits of hashes of cryptographic word hashes.
@@ -115,6 +115,20 @@ class Points:
         return fits
 
 
+def packed(counts: np.ndarray) -> list[bytes]:
+    return [narrow(row).tobytes() for row in counts]
+
+
+def unpacked(blobs: list[bytes], groups: int) -> np.ndarray:
+    """The rows that packed() made bytes of; their lengths tell how many bytes a count has."""
+    out = np.zeros((len(blobs), groups), np.uint32)
+    length = np.array([len(b) for b in blobs])
+    for size, kind in ((1, "u1"), (2, "<u2"), (4, "<u4")):
+        at = np.flatnonzero(length == size * groups)
+        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), kind).reshape(-1, groups)
+    return narrow(out)
+
+
 class Bands:
     """Bands of set sizes, and the cells of each."""
 
@@ -271,43 +285,74 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
     reps = materialize(reps.select("sig", "n", "t.h", "t.c"), "nodes")
     some, _ = split_by_keys(rows.select("text"), text_id["h"], reps.select("h"))
     once = some.where("text is not null").withColumns(text_id).groupBy("h", "c").agg(F.first("text").alias("text"))
-    texts = materialize(once.join(reps.hint("merge"), ["h", "c"]).select("sig", "n", "text"), "texts")
+
+    def pointed(batches):
+        for batch in gather(batches, "text"):
+            values, first, sigs = named(batch)
+            points = points_of(values, first, similarity)
+            fine = np.array([b"", *packed(points.fine)], object)[points.row + 1]
+            found = pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("text"), pa.array(packed(points.coarse), pa.binary()), pa.array(fine, pa.binary())], names=["sig", "text", "coarse", "fine"])
+            yield found.filter(pa.array(sigs == batch.column("sig").to_numpy()))  # no other text of equal hashes
+
+    joined = once.join(reps.hint("merge"), ["h", "c"]).select("sig", "text")
+    texts = materialize(joined.mapInArrow(pointed, "sig long, text string, coarse binary, fine binary"), "texts")
     sizes = reps.select("sig", "n")
 
+    def ordered_by_sig(group):  # so that the root of a tree is its least signature
+        return group.take(pa.array(np.argsort(group.column("sig").to_numpy())))
+
+    def sift(group):
+        """The sets that may link with one of another class, by the bounds of the tree."""
+        group = ordered_by_sig(group)
+        fine = group.column("fine").to_pylist()
+        long = np.array([len(b) > 0 for b in fine])
+        points = Points(unpacked(group.column("coarse").to_pylist(), GROUPS), similarity, unpacked([b for b in fine if b], FINE), np.where(long, np.cumsum(long) - 1, -1))
+        tree, label, keep = Tree(points), group.column("label").to_numpy(), np.zeros(len(fine), bool)
+        for a in np.flatnonzero(group.column("query").to_numpy()).tolist():
+            near = tree.near(a)
+            near = near[label[near] != label[a]]
+            keep[near] = True
+            keep[a] |= len(near) > 0
+        return group.select(["sig", "label", "query", "bin"]).filter(pa.array(keep))
+
     def check(group):
-        group = group.take(pa.array(np.argsort(group.column("sig").to_numpy())))  # so that the root of a tree is its least signature
+        """Verified links between sets of different classes."""
+        group = ordered_by_sig(group)
         values, first, sigs = named(group)
-        right = sigs == group.column("sig").to_numpy()  # no other text of equal hashes
         label: dict[int, int] = {}
         forest = Forest(len(sigs))
         for k, x in enumerate(group.column("label").to_pylist()):
             forest.union(label.setdefault(x, k), k)
         before = forest.roots()
-        root = verified(values, first, similarity, np.flatnonzero(group.column("query").to_numpy() & right), forest).roots()
-        moved = np.flatnonzero((root != before) & right)
+        root = verified(values, first, similarity, np.flatnonzero(group.column("query").to_numpy()), forest).roots()
+        moved = np.flatnonzero(root != before)
         return pa.Table.from_arrays([pa.array(sigs[moved], pa.int64()), pa.array(sigs[root[moved]], pa.int64())], names=["a", "b"])
 
     def dealt(members: DataFrame, copies) -> tuple[DataFrame, int]:
-        """members (sig, group, n) with k, the number of blocks of their group, and home, the block of each; and all shingles to load."""
+        """members (sig, group, n) with k, the number of blocks of their group, and home, the block of each; and how many bins to compare in."""
         k = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / bin_shingles)).cast("int")
         groups = materialize(members.groupBy("group").agg(k.alias("k"), F.count("*").alias("rows"), F.sum("n").alias("n")), "groups")
-        shingles = int(groups.agg(F.sum(F.col("n") * copies).alias("n")).first().n or 0)
-        return members.join(groups.select("group", "k"), "group").withColumn("home", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")), shingles
+        most = groups.agg(F.sum(F.col("n") * copies).alias("n"), F.sum(F.col("rows") * copies).alias("rows")).first()
+        bins = max(-(-int(most.n or 0) // bin_shingles), -(-int(most["rows"] or 0) // block), 1)
+        return members.join(groups.select("group", "k"), "group").withColumn("home", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")), bins
+
+    def compare(places: DataFrame, bins: int, name: str) -> DataFrame:
+        """Links (a, b) found in bins of blocks. places: sig, label, query, and group and part, which name the block.
 
-    def compare(places: DataFrame, shingles: int, name: str) -> DataFrame:
-        """Links (a, b) found in bins of blocks. places: sig, label, query, and group and part, which name the block."""
-        bins = max(1, -(-shingles // bin_shingles))
+        Points are compared first; texts go only where a bound lets sets of different classes link.
+        """
         placed = places.select("sig", "label", "query", F.pmod(F.xxhash64("group", "part"), F.lit(bins)).cast("int").alias("bin"))
         placed = placed.groupBy("sig", "bin").agg(F.min("label").alias("label"), F.bool_or("query").alias("query"))
-        loaded = placed.join(texts.select("sig", "text").hint("merge"), "sig")
-        return materialize(loaded.groupBy("bin").applyInArrow(check, "a long, b long"), name)
+        near = placed.join(texts.select("sig", "coarse", "fine").hint("merge"), "sig").groupBy("bin").applyInArrow(sift, "sig long, label long, query boolean, bin int")
+        near = materialize(near, "survivors")
+        return materialize(near.join(texts.select("sig", "text").hint("merge"), "sig").groupBy("bin").applyInArrow(check, "a long, b long"), name)
 
     def star(pairs: DataFrame, name: str) -> DataFrame:
         """Compare each set with its centre, which goes to every block of its group."""
-        members, shingles = dealt(pairs.join(sizes, "sig").select("sig", F.col("centre").alias("group"), "n"), 1 + F.col("k") / F.col("rows"))
+        members, bins = dealt(pairs.join(sizes, "sig").select("sig", F.col("centre").alias("group"), "n"), 1 + F.col("k") / F.col("rows"))
         own = members.select("sig", "group", F.col("home").alias("part"), F.lit(False).alias("query"))
         hub = members.groupBy("group").agg(F.max("k").alias("k")).select(F.col("group").alias("sig"), "group", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(True).alias("query"))
-        return compare(own.unionByName(hub).withColumn("label", F.col("sig")), shingles, name)
+        return compare(own.unionByName(hub).withColumn("label", F.col("sig")), bins, name)
 
     def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
         found = labels.select(F.col("id").alias(column), F.col("component").alias("found"))
@@ -327,10 +372,10 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
     open_ = members.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
     members = materialize(members.join(open_, "group", "left_semi").join(sizes, "sig").select("sig", "group", "label", "n"), "open")
     if not members.isEmpty():
-        tiled, shingles = dealt(members, F.col("k"))
+        tiled, bins = dealt(members, F.col("k"))
         tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws(" ", F.least(i, F.col("home")), F.greatest(i, F.col("home"))))
         tiled = tiled.select("sig", "group", "label", F.explode(tiles).alias("part"), F.lit(True).alias("query"))
-        labels = components(links.unionByName(compare(tiled, shingles, "links")))
+        labels = components(links.unionByName(compare(tiled, bins, "links")))
     return labelled(sets, labels, "sig", "root").select("doc_id", "h", "c", "n", "root")
 
 
