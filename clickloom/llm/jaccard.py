@@ -13,7 +13,7 @@ larger, and a set whose empty cells could hide the equal one adds those. What is
 the set's signature, whatever the number of partitions. Spark sorts these rows by key; all sets of a key but the smallest signature, the key's
 centre, give a pair with it, and equal pairs are one with a count.
 
-Only sets of such pairs are looked at further, their texts fetched once. Each set is compared with the centre with which it shares most keys, then,
+Only sets of such pairs are looked at further. Each set is compared with the centre with which it shares most keys, then,
 where classes still differ, with its other centres; groups of one centre whose sets are still in different classes are last compared
 all with all. If a group is of one class already, no pair of it can add anything. Comparisons take place in bins of about ``bin_shingles``
 shingles, twice: first points alone meet in a bin's R-tree, then the full texts of the sets that survive there are fetched, the tree's
@@ -241,11 +241,13 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
 
     def describe(batches):
         for batch in gather(batches, "text"):
-            _, second, first, s = shingle_sets(batch.column("text"), width)
-            columns = [batch.column("doc_id"), batch.column("h"), batch.column("c"), pa.array(np.diff(first).astype(np.int64)), pa.array(s), pa.array(signatures(second, first))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "c", "n", "s", "t"])
+            values, second, first, s = shingle_sets(batch.column("text"), width)
+            points = points_of(values, first, similarity)
+            fine = np.array([b"", *packed(points.fine)], object)[points.row + 1]
+            columns = [batch.column("doc_id"), batch.column("h"), batch.column("c"), pa.array(points.sizes), pa.array(s), pa.array(signatures(second, first))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed(points.coarse), pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "h", "c", "n", "s", "t", "coarse", "fine"])
 
-    described = materialize(rows.withColumns(text_id).mapInArrow(describe, "doc_id long, h long, c long, n long, s long, t long"), "sets")
+    described = materialize(rows.withColumns(text_id).mapInArrow(describe, "doc_id long, h long, c long, n long, s long, t long, coarse binary, fine binary"), "sets")
     # two different sets may have one first signature: by chance alone, so these are a handful in 10^10 sets; they go by their second one
     clash = described.where("n > 0").groupBy("s").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.sum("n").alias("n")).where("x <> y")
     clashes = frozenset(r["s"] for r in clash.collect())
@@ -279,25 +281,19 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
     keyed = keyed.select("sig", F.first("sig").over(order).alias("centre"), F.lag("sig").over(order).alias("before"))
     stars = materialize(keyed.where("sig <> centre and sig <> before").groupBy("sig", "centre").agg(F.count("*").alias("keys")), "stars")
 
-    # the texts of the sets that share a key with another, one for each set
+    # the points of the sets that share a key with another, one for each set
     nodes = stars.select("sig").unionByName(stars.select(F.col("centre").alias("sig"))).distinct()
-    reps = sets.where("n > 0").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "c")).alias("t"), F.max("n").alias("n"))
-    reps = materialize(reps.select("sig", "n", "t.h", "t.c"), "nodes")
-    some, _ = split_by_keys(rows.select("text"), text_id["h"], reps.select("h"))
-    once = some.where("text is not null").withColumns(text_id).groupBy("h", "c").agg(F.first("text").alias("text"))
-
-    def pointed(batches):
-        for batch in gather(batches, "text"):
-            values, first, sigs = named(batch)
-            points = points_of(values, first, similarity)
-            fine = np.array([b"", *packed(points.fine)], object)[points.row + 1]
-            found = pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("text"), pa.array(packed(points.coarse), pa.binary()), pa.array(fine, pa.binary())], names=["sig", "text", "coarse", "fine"])
-            yield found.filter(pa.array(sigs == batch.column("sig").to_numpy()))  # no other text of equal hashes
-
-    joined = once.join(reps.hint("merge"), ["h", "c"]).select("sig", "text")
-    texts = materialize(joined.mapInArrow(pointed, "sig long, text string, coarse binary, fine binary"), "texts")
+    reps = sets.where("n > 0").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "c", "n", "coarse", "fine")).alias("t"))
+    reps = materialize(reps.select("sig", "t.*"), "nodes")
     sizes = reps.select("sig", "n")
 
+    def texts_of(sigs: DataFrame) -> DataFrame:
+        """sig and text of these sets: one text each, so that copies are not sent."""
+        wanted = materialize(reps.select("sig", "h", "c").join(sigs.distinct(), "sig", "left_semi"), "wanted")
+        some, _ = split_by_keys(rows.select("text"), text_id["h"], wanted.select("h"))
+        once = some.where("text is not null").withColumns(text_id).groupBy("h", "c").agg(F.first("text").alias("text"))
+        return once.join(wanted.hint("merge"), ["h", "c"]).select("sig", "text")
+
     def ordered_by_sig(group):  # so that the root of a tree is its least signature
         return group.take(pa.array(np.argsort(group.column("sig").to_numpy())))
 
@@ -316,7 +312,7 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
         return group.select(["sig", "label", "query", "bin"]).filter(pa.array(keep))
 
     def check(group):
-        """Verified links between sets of different classes."""
+        """Verified links between sets of different classes; signatures are those of the texts that came."""
         group = ordered_by_sig(group)
         values, first, sigs = named(group)
         label: dict[int, int] = {}
@@ -343,9 +339,9 @@ def _linked(docs: DataFrame, similarity: int, width: int, text: str, doc_id: str
         """
         placed = places.select("sig", "label", "query", F.pmod(F.xxhash64("group", "part"), F.lit(bins)).cast("int").alias("bin"))
         placed = placed.groupBy("sig", "bin").agg(F.min("label").alias("label"), F.bool_or("query").alias("query"))
-        near = placed.join(texts.select("sig", "coarse", "fine").hint("merge"), "sig").groupBy("bin").applyInArrow(sift, "sig long, label long, query boolean, bin int")
+        near = placed.join(reps.select("sig", "coarse", "fine").hint("merge"), "sig").groupBy("bin").applyInArrow(sift, "sig long, label long, query boolean, bin int")
         near = materialize(near, "survivors")
-        return materialize(near.join(texts.select("sig", "text").hint("merge"), "sig").groupBy("bin").applyInArrow(check, "a long, b long"), name)
+        return materialize(near.join(texts_of(near.select("sig")).hint("merge"), "sig").groupBy("bin").applyInArrow(check, "a long, b long"), name)
 
     def star(pairs: DataFrame, name: str) -> DataFrame:
         """Compare each set with its centre, which goes to every block of its group."""
