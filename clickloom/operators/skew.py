@@ -26,9 +26,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 10, spr
     return left.withColumn("__salt", salt).join(many, [on, "__salt"]).drop("__salt")
 
 
-def hot_keys(rows: DataFrame, key: str, n: int = 1, fraction: float = 0.1, seed: int = 9) -> DataFrame:
-    """The n most frequent keys of a Bernoulli sample, with their counts in it."""
-    return rows.sample(fraction, seed=seed).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
+def hot_keys(rows: DataFrame, key: str, n: int = 1, fraction: float = 0.1, seed: int = 9, by: str | None = None) -> DataFrame:
+    """The n most frequent keys of a sample, with their counts in it.
+
+    With ``by``, a column that tells rows apart, a row is drawn if the first 16 bits of a hash of the seed and that column are below the fraction:
+    the same rows whatever the partitions, and in any engine. Without, it is a Bernoulli sample.
+    """
+    if by is None:
+        drawn = rows.sample(fraction, seed=seed)
+    else:
+        first = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string")).cast("binary")), 1, 4)
+        drawn = rows.where(first < f"{int(fraction * 65536):04x}") if fraction < 1 else rows
+    return drawn.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: str, hot: list, salts: int = 100) -> DataFrame:

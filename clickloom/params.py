@@ -85,6 +85,7 @@ class Settings:
     top_ads: int = 3
     batch_interval: str = "5 seconds"
     trend_window: str = "60 minutes"
+    trend_slide: str = "10 seconds"
     seed: int = 9
 
     @classmethod
@@ -99,5 +100,5 @@ class Settings:
                     return 0
             return str(value)
 
-        kinds = {"batch_interval": str, "trend_window": str}
+        kinds = {"batch_interval": str, "trend_window": str, "trend_slide": str}
         return cls(**{k: read(kinds.get(k, int), v) for k, v in values.items() if k in cls.__dataclass_fields__})

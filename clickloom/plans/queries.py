@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from clickloom.functions import columns as C
 from clickloom.operators import ads, pageflow, product, session, skew
 from clickloom.params import Settings, TaskParams
+from clickloom.sources.sinks import EpochStore, append
 from clickloom.sources.tables import fixtures
-from clickloom.streaming.ads_stream import AdStream
+from clickloom.streaming.ads_stream import AdStream, sliding_trend
 
 TASK = TaskParams.from_json(
     '{"startDate": ["2024-01-01"], "endDate": ["2024-01-31"], "startAge": ["10"], "endAge": ["50"], "sex": ["male"], '
@@ -176,14 +177,21 @@ def ad_click_trend(spark, sf_dir):
     return ads.click_trend(_clicks(spark, sf_dir))
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> AdStream:
-    """The whole stream over the log, written as files and taken batch by batch."""
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and the master is local, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:  # as in tests
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="clickloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         shared = f"file://{folder}"
-    base = f"{shared.rstrip('/')}/ads-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> AdStream:
+    """The whole stream over the log, written as files and taken batch by batch."""
+    base = f"{_shared(spark)}/ads-{uuid.uuid4().hex}"
     fixtures(spark, sf_dir).ad_log.write.text(f"{base}/in")
     stream = AdStream(spark, f"{base}/out", Settings(blacklist_threshold=THRESHOLD))
     stream.start(spark.readStream.text(f"{base}/in"), f"{base}/checkpoint", once=True).awaitTermination()
@@ -264,8 +272,79 @@ def two_stage_count(spark, sf_dir):
 
 
 def skew_sample(spark, sf_dir):
-    """The most frequent key of a Bernoulli sample; sampling has no equal in SQL."""
-    return skew.hot_keys(_sessions_with_users(spark, sf_dir)[0], "user_id", n=10)
+    """The most frequent keys of a sample drawn by a hash of the session."""
+    return skew.hot_keys(_sessions_with_users(spark, sf_dir)[0], "user_id", n=10, by="session_id")
+
+
+def task_params(spark, sf_dir):
+    """A task found by its id, and its parameters: element 0 of each array, empty where absent."""
+    text = '{"startDate": [], "endDate": ["2024-01-31", "x"], "startAge": ["10"], "endAge": ["50"], "sex": [" "], "cities": ["a, b"], "categoryIds": ["3,4"]}'
+    tasks = spark.createDataFrame([(1, "{}"), (2, text)], "task_id long, task_param string")
+    t = TaskParams.from_table(tasks, 2)
+    row = (t.task_id, t.start_date, t.end_date, t.start_age, t.end_age, t.sex, ",".join(t.cities), ",".join(map(str, t.category_ids)), ",".join(t.keywords))
+    return spark.createDataFrame([row], "task_id long, start_date string, end_date string, start_age int, end_age int, sex string, cities string, category_ids string, keywords string")
+
+
+def settings_values(spark, sf_dir):
+    """Settings from text: numbers that cannot be read become 0, names not given keep their defaults."""
+    s = Settings.from_mapping({"blacklist_threshold": "7", "top_ads": "many", "trend_window": "30 minutes", "unknown": 1})
+    return spark.createDataFrame([(s.blacklist_threshold, s.top_ads, s.trend_window, s.top_categories)], "blacklist_threshold int, top_ads int, trend_window string, top_categories int")
+
+
+def json_items(spark, sf_dir):
+    """A field of an object in a JSON array."""
+    p = fixtures(spark, sf_dir).products
+    text = F.concat(F.lit('[{"name": "first", "id": 1}, {"name": "'), F.col("product_name"), F.lit('", "id": '), F.col("product_id").cast("string"), F.lit("}]"))
+    return p.select("product_id", C.json_array_item(text, 1, "name").alias("name"), C.json_array_item(text, 2, "name").alias("beyond"))
+
+
+def date_functions(spark, sf_dir):
+    """Date and time as text, and that yesterday is a day before today."""
+    t = C.as_time(F.col("action_time"))
+    days = F.datediff(C.today().cast("date"), C.yesterday().cast("date")).alias("days")
+    return fixtures(spark, sf_dir).actions.select("event_id", C.format_date(t).alias("date_text"), C.format_time(t).alias("time_text"), days)
+
+
+def session_filter_all(spark, sf_dir):
+    """Sessions by profession, city and clicked category."""
+    t = fixtures(spark, sf_dir)
+    cities = tuple(r.city for r in t.users.select("city").distinct().orderBy("city").limit(15).collect())  # of 25
+    task = TaskParams(professionals=("BUILDING", "MACHINERY", "FURNITURE"), cities=cities, category_ids=tuple(range(60)))
+    return session.filtered_sessions(t.actions, t.users, task)
+
+
+def ad_blacklist_100(spark, sf_dir):
+    """Users with 100 or more clicks on one ad a day; the derived clicks count forty times here."""
+    counts = ads.user_click_counts(_clicks(spark, sf_dir)).withColumn("click_count", F.col("click_count") * 40)
+    return ads.blacklisted_users(counts)
+
+
+def ad_sliding_trend(spark, sf_dir):
+    """Clicks by windows of an hour every ten minutes, event minute and ad."""
+    return sliding_trend(_clicks(spark, sf_dir), slide="10 minutes")
+
+
+def _store(spark: SparkSession, name: str, schema: str) -> EpochStore:
+    return EpochStore(spark, f"{_shared(spark)}/{name}-{uuid.uuid4().hex}", schema)
+
+
+def store_latest(spark, sf_dir):
+    """A keyed store in which later epochs replace values; writing an epoch again changes nothing."""
+    counts = ads.province_counts(ads.click_stat(_clicks(spark, sf_dir))).groupBy("date", "ad_id").agg(F.sum("click_count").alias("click_count"))
+    store = _store(spark, "latest", "date string, ad_id long, click_count long")
+    store.write(counts, 0)
+    for _ in range(2):
+        store.write(counts.where("ad_id < 5").withColumn("click_count", F.col("click_count") * 10), 1)
+    return store.latest(["date", "ad_id"], "click_count")
+
+
+def append_twice(spark, sf_dir):
+    """Rows appended to a table in two writes."""
+    path = f"{_shared(spark)}/append-{uuid.uuid4().hex}"
+    products = fixtures(spark, sf_dir).products.select("product_id", "product_name")
+    append(products.where("product_id % 2 = 0"), path)
+    append(products.where("product_id % 3 = 0"), path)
+    return spark.read.schema(products.schema).parquet(path)
 
 
 def grade_demo(spark, sf_dir):
@@ -284,6 +363,7 @@ QUERIES = {
         session_random_extract, session_random_extract_detail, session_detail, category_counts, top10_category, top10_session, top10_session_detail, page_slice_counts, page_start_pv,
         page_split_convert_rate, page_convert_rate_text, area_product_clicks, area_top3_product, ad_log, ad_user_click_count, ad_blacklist, ad_stat, ad_province_count, ad_province_top3,
         ad_click_trend, stream_ad_blacklist, stream_ad_stat, stream_ad_province_top3, stream_ad_click_trend, scalar_functions, category_ids_distinct, join_broadcast, join_salted,
-        join_split_skew, two_stage_count, skew_sample, grade_demo,
+        join_split_skew, two_stage_count, skew_sample, grade_demo, task_params, settings_values, json_items, date_functions, session_filter_all, ad_blacklist_100, ad_sliding_trend,
+        store_latest, append_twice,
     )
 }

@@ -33,7 +33,13 @@ class EpochStore:
     schema: str
 
     def write(self, rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        """Replace an epoch; its rows lie by date where the store has one, so that readers of some days skip the others."""
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy("date") if self.dated else writer).parquet(f"{self.path}/epoch={epoch}")
+
+    @property
+    def dated(self) -> bool:
+        return self.schema.startswith("date ")
 
     def rows(self) -> DataFrame:
         """Everything written, with its epoch; no rows if nothing was."""

@@ -62,18 +62,23 @@ class AdStream:
         """One micro-batch."""
         clicks = ads.parse_log(lines).persist()
         try:
+            # the stores are partitioned by date, so a batch reads the days it has clicks of and no others
+            days = [r.date for r in clicks.select("date").distinct().collect()]  # a few days, however large the batch
+            of_days = F.col("date").isin(*days) if days else F.lit(False)
             listed = self.blacklist.rows().where(F.col("epoch") < epoch).select("user_id").distinct()
             allowed = ads.without_blacklisted(clicks, listed)
             self.user_clicks.write(ads.user_click_counts(allowed), epoch)
             # only users of this batch can pass the threshold now
-            seen = self.spark.read.parquet(f"{self.user_clicks.path}/epoch={epoch}")
-            totals = self.user_clicks.rows().where(F.col("epoch") <= epoch).join(seen.select(*CLICK_KEYS), CLICK_KEYS, "left_semi")
+            stored = self.user_clicks.rows().where(of_days)
+            seen = stored.where(F.col("epoch") == epoch)
+            totals = stored.where(F.col("epoch") <= epoch).join(seen.select(*CLICK_KEYS), CLICK_KEYS, "left_semi")
             totals = totals.groupBy(*CLICK_KEYS).agg(F.sum("click_count").alias("click_count"))
             fresh = ads.blacklisted_users(totals, self.settings.blacklist_threshold).join(listed, "user_id", "left_anti")
             self.blacklist.write(fresh, epoch)
             self.stat.write(ads.click_stat(allowed), epoch)
-            groups = self.spark.read.parquet(f"{self.stat.path}/epoch={epoch}").select("date", "province").distinct()
-            stat = self.stat.rows().where(F.col("epoch") <= epoch).join(F.broadcast(groups), ["date", "province"], "left_semi")
+            stored = self.stat.rows().where(of_days)
+            groups = stored.where(F.col("epoch") == epoch).select("date", "province").distinct()
+            stat = stored.where(F.col("epoch") <= epoch).join(groups, ["date", "province"], "left_semi")
             self.top.write(ads.province_top(stat, self.settings.top_ads), epoch)
             self.trend.write(ads.click_trend(allowed if self.filter_trend else clicks), epoch)
         finally:
@@ -85,6 +90,15 @@ class AdStream:
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.batch_interval)
         return writer.start()
 
+    def start_trend(self, lines: DataFrame, checkpoint: str, once: bool = False, late: str = "1 hour") -> StreamingQuery:
+        """Start the sliding trend as a query of its own: windows of settings.trend_window every settings.trend_slide, by event time.
+
+        Finished windows are appended to the store ``ad_sliding_trend`` once the watermark passes their end; later clicks than that are dropped.
+        """
+        rows = sliding_trend(ads.parse_log(lines), self.settings.trend_window, self.settings.trend_slide, late)
+        writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{self.folder}/ad_sliding_trend").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.batch_interval)).start()
+
     # what the stores hold
 
     def user_click_totals(self) -> DataFrame:
@@ -122,4 +136,5 @@ def minute_trend(clicks: DataFrame, late: str = "1 hour") -> DataFrame:
 def sliding_trend(clicks: DataFrame, window: str = "60 minutes", slide: str = "10 seconds", late: str = "1 hour") -> DataFrame:
     """Clicks by sliding window, event minute and ad: every row counts in window / slide windows, so prefer minute_trend."""
     minute = F.date_trunc("minute", "ts")
-    return clicks.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"), minute.alias("minute"), "ad_id").agg(F.count("*").alias("click_count"))
+    counted = clicks.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"), minute.alias("minute"), "ad_id").agg(F.count("*").alias("click_count"))
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "minute", "ad_id", "click_count")
