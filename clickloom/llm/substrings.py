@@ -1,9 +1,10 @@
 """Substring dedup: remove words covered by long passages that occur elsewhere too, by seed and extend.
 
 Seeds are winnowed anchors: of every ``span`` consecutive runs of ``seed`` words the one with the smallest hash is
-selected, so any ``window`` = seed + span - 1 words hold a selected seed, the same one wherever those words stand. Documents are
-joined on seeds; only around seeds that occur at least twice are matches extended, a word at a time to both sides, as far as the
-window that holds the seed still occurs elsewhere. The maximal repeats are the unions of those windows.
+selected, so any ``window`` = seed + span - 1 words hold a selected seed, the same one wherever those words stand. Documents meet on
+seeds that occur at least twice. Around each of these, to both sides, every window that holds the seed is looked up among the
+windows around all other shared seeds; those that occur elsewhere make up, in union, the maximal repeats. Pairs of documents are not extended word by word:
+in a group of n copies that would be n * n extensions.
 
 The texts are exchanged once, into chunks by a hash of doc_id; each step reads that same exchange. What travels
 beside it are compact lists: each chunk sends its distinct seeds (later: its distinct windows around shared seeds) to
@@ -32,8 +33,8 @@ from .common import bound_batches, inner, read, without
 from .textnum import Words, mix, whitespace_table
 
 #: Bounds of the numbers of chunks and buckets; between them both follow the input. At the upper bounds chunks and buckets grow
-#: instead: at 100 TB to 25 MB of text and, with every window near a shared seed, 2 GB of hashes.
-LEAST, MOST_CHUNKS, MOST_BUCKETS = 64, 4 << 20, 1 << 16
+#: instead: at 100 TB to 25 MB of text and, with every window near a shared seed, some 200 MB of hashes.
+LEAST, MOST_CHUNKS, MOST_BUCKETS = 64, 4 << 20, 1 << 20
 
 
 def select(hashes: np.ndarray, inside: np.ndarray, span: int) -> np.ndarray:
