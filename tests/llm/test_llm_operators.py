@@ -145,6 +145,21 @@ def test_substrings(spark, corpus):
     assert {r.doc_id: r.n_removed for r in short} == {k: x[1] for k, x in enumerate(brute_removed(corpus[4:7], 12))}
 
 
+def test_repeated_rows_in_bulk(spark):
+    """Equal rows, ids and all, and rows without an id: whole in the result, whatever chunk or range they fall into."""
+    text = " ".join(words_of(45, 77))
+    texts = [text] * 600 + [" ".join(words_of(50, 500 + k)) for k in range(60)]
+    docs = documents(spark, texts, ids=[7] * 400 + [None] * 200 + list(range(100, 160)))
+    got = substrings.repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(7, 45, 45)] * 400 + [(None, 45, 45)] * 200 + [(k, 50, 0) for k in range(100, 160)])
+    placed = shard.shard(docs, n_shards=8).collect()
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter((None if 400 <= k < 600 else 7 if k < 400 else k - 500, t) for k, t in enumerate(texts))
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # secrets
 
 
@@ -331,6 +346,35 @@ def test_label_model_finds_the_better_labeller():
     assert np.mean([(p[c] > 0.5) == (t == 1) for c, t in zip(quality.code(v).tolist(), y, strict=True)]) > 0.93
 
 
+def test_label_model_and_scorer_equal_plain_versions():
+    """EM text by text over the votes, and the score word by word."""
+    rng = np.random.default_rng(13)
+    v = rng.integers(0, 3, (300, len(quality.LABELLERS)))
+    codes, counts = np.unique(quality.code(v.astype(np.int8)), return_counts=True)
+    posterior, accuracy = quality.estimate(codes, counts.astype(float), rounds=4)
+    a = [quality.PRIOR] * v.shape[1]
+    for _ in range(4):
+        p = []
+        for row in v:
+            odds = sum((1 if x == quality.GOOD else -1) * np.log(a[k] / (1 - a[k])) for k, x in enumerate(row) if x != quality.NONE)
+            p.append(1 / (1 + np.exp(-odds)))
+        for k in range(len(a)):
+            right = sum(q if row[k] == quality.GOOD else 1 - q for row, q in zip(v, p, strict=True) if row[k] != quality.NONE)
+            n = sum(row[k] != quality.NONE for row in v)
+            a[k] = min(max((right + quality.PRIOR * (quality.WEIGHT * n + 1)) / ((1 + quality.WEIGHT) * n + 1), 0.5), 0.999)
+    assert np.allclose(accuracy, a)
+    assert np.allclose([dict(zip(codes.tolist(), posterior, strict=True))[c] for c in quality.code(v).tolist()], p)
+    texts = ["Hello hello HELLO world 12", "a", "", None, "x " * 50 + "Yy9"]
+    words = quality.Words(quality.pa.array(texts), quality.whitespace_table())
+    w = rng.normal(size=1 << quality.BITS)
+    doc, key = quality.shapes(words)
+    for k, got in enumerate(quality.score(words, w, 0.3)):
+        own = [w[j] for d, j in zip(doc, key, strict=True) if d == k]
+        assert np.isclose(got, 1 / (1 + np.exp(-(np.mean(own) + 0.3))) if own else 0)
+    same = quality.shapes(quality.Words(quality.pa.array(["Abc Xyzw 12 987 Q"]), quality.whitespace_table()))[1].tolist()
+    assert same[0] == same[1] and same[2] == same[3] and len(set(same)) == 3
+
+
 # toxicity
 
 
@@ -365,6 +409,55 @@ def test_the_risk_never_goes_below_zero():
     assert w[0] + b > 0 > w[1] + b
 
 
+def sparse(dense):
+    return toxicity.Rows([(np.flatnonzero(r), r[r != 0]) for r in dense], dense.shape[1])
+
+
+def test_the_gradient_is_that_of_the_risk():
+    """One step from the start against the risk written out over dense rows, differentiated by differences."""
+    rng = np.random.default_rng(3)
+    P, U = (rng.integers(0, 3, (n, 4)).astype(float) for n in (6, 30))
+
+    def risk(x, prior=0.2, decay=1e-3):
+        def loss(rows, y):
+            return np.logaddexp(0, -y * (rows @ x[:-1] + x[-1])).mean()
+
+        negative = loss(U, -1) - prior * loss(P, -1)
+        return prior * loss(P, 1) + negative + decay / 2 * (x[:-1] ** 2).sum() if negative >= 0 else -negative
+
+    at = np.append(np.zeros(4), -2.0)
+    slope = np.array([(risk(at + e) - risk(at - e)) / 2e-6 for e in np.eye(5) * 1e-6])
+    w, b = toxicity.fit(sparse(P), sparse(U), 0.2, steps=1, rate=0.05)
+    assert np.allclose(np.append(w, b) - at, -0.05 * np.sign(slope), atol=1e-5)  # Adam's first step is the sign
+
+
+def test_features_count_words_and_beginnings():
+    texts = toxicity.pa.array(["Moron morons, moron! x", "", None, "moron"])
+    pieces = list(toxicity.features(texts))
+    doc, h, n = toxicity.counted(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]))
+    want = Counter()
+    for k, t in enumerate(texts.to_pylist()):
+        for w in re.findall("[0-9a-z]+", (t or "").lower()):
+            want.update([(k, w, "word"), *((k, w[:i], "beginning") for i in toxicity.PREFIXES if len(w) > i)])
+    assert sorted(Counter(k for k, *_ in want.elements()).items()) == [(int(k), int(n[doc == k].sum())) for k in np.unique(doc)]
+    assert Counter((k, c) for (k, *_), c in want.items()) == Counter(zip(doc.tolist(), n.tolist(), strict=True))
+    assert set(h[doc == 3]) <= set(h[doc == 0])
+
+
+def test_the_best_cut_is_that_of_all_cuts():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        zp, zu = rng.normal(1, 1, 20).round(1), rng.normal(-1, 1, 60).round(1)
+        cut = toxicity.best_cut(zp, zu)
+
+        def worth(z, zp=zp, zu=zu):
+            return np.mean(zp >= z) ** 2 / max(np.sum(zu >= z), 1)
+
+        assert np.isclose(worth(cut), max(worth(z) for z in zp))
+    few = [(np.array([k]), np.array([1.0])) for k in range(3)]
+    assert toxicity.calibrated(few, few, 3, 0.1, 1, 10, -1.5) == -1.5  # a part without positives: as it was
+
+
 # token files
 
 
