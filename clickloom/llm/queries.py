@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, embeddings, jaccard, mixing, quality, secrets, shard, substrings, tokens, toxicity
+from . import codes, decontaminate, embeddings, jaccard, language, mixing, quality, secrets, shard, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_language": language.op13_language,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
