@@ -196,9 +196,13 @@ def train(docs: DataFrame, each: int = 400, most_languages: int = 64, parts: int
     languages = sorted(r.lang for r in counts)
     if not languages:
         return Model([], np.empty((BUCKETS, 0)), np.empty(0))
-    # ids first, so that texts are not sorted; Spark keeps the first of each language in every task before it exchanges them
+    # ids first, so that texts are not sorted; of each language only hashes low enough for some twice as many as wanted are ranked
+    low = F.lit(-(1 << 63))
+    for r in counts:
+        share = min(1.0, (2 * each + 100) / r.n)
+        low = F.when(F.col("lang") == r.lang, F.lit(int(share * ((1 << 64) - 1)) - (1 << 63))).otherwise(low)
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").where(F.col("lang").isin(*languages)).withColumn("k", order).where(F.col("k") <= each).select("doc_id", "lang").distinct()
+    ids = known.select("doc_id", "lang").where(F.col("lang").isin(*languages) & (F.xxhash64("doc_id") <= low)).withColumn("k", order).where(F.col("k") <= each).select("doc_id", "lang").distinct()
     text = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # at most each * most_languages rows
     text = text.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, embeddings, jaccard, language, mixing, quality, secrets, shard, substrings, tokens, toxicity
+from . import codes, decontaminate, embeddings, jaccard, language, mixing, quality, secrets, shard, spelling, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_ids": tokens.op8_token_ids,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_vector_codes": codes.op12_vector_codes,
     "op13_language": language.op13_language,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": substrings.OP3_SQL,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op12_vector_codes": codes.OP12_SQL,
 }
