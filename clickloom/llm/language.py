@@ -200,7 +200,7 @@ def train(docs: DataFrame, each: int = 400, most_languages: int = 64, parts: int
     low = F.lit(-(1 << 63))
     for r in counts:
         share = min(1.0, (2 * each + 100) / r.n)
-        low = F.when(F.col("lang") == r.lang, F.lit(int(share * ((1 << 64) - 1)) - (1 << 63))).otherwise(low)
+        low = F.when(F.col("lang") == r.lang, F.lit(min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63))).otherwise(low)
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.select("doc_id", "lang").where(F.col("lang").isin(*languages) & (F.xxhash64("doc_id") <= low)).withColumn("k", order).where(F.col("k") <= each).select("doc_id", "lang").distinct()
     text = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # at most each * most_languages rows
