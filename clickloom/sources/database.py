@@ -68,9 +68,11 @@ class Database:
             change = {c: f"COALESCE({table}.{name[c]}, 0) + (SELECT s.{name[c]} FROM {source} s WHERE {_match(table, name, keys)})" for c in values}
             self._merge(run, rows.columns, table, source, name, keys, change)
 
-    def replace_groups(self, rows: DataFrame, table: str, keys: list[str]) -> None:
-        """Delete all rows of the groups that rows has, then insert rows."""
+    def replace_groups(self, rows: DataFrame, table: str, keys: list[str], also: list[tuple] = ()) -> None:
+        """Delete all rows of the groups that rows has, and of those given by the values of their keys in ``also``, then insert rows."""
         with self._staged(rows, table, keys) as (source, name), self._transaction() as run:
+            for values in also:
+                run(f"DELETE FROM {table} WHERE {' AND '.join(f'{name[k]} = ?' for k in keys)}", *values)
             run(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {source} s WHERE {_match(table, name, keys)})")
             columns = ", ".join(name[c] for c in rows.columns)
             run(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {source}")

@@ -1,120 +1,190 @@
 """The ad-click stream.
 
-``AdStream`` runs the whole job in foreachBatch: the blacklist grows from batch to batch and each batch is filtered by the list as it stood
-before, which no single streaming plan expresses. ``cumulative_counts`` and ``minute_trend`` are the same counts as plain
-streaming aggregations, for streams that need no dynamic blacklist.
+``AdStream`` is one streaming query: the blacklist is state keyed by user (``state.Blacklist``), and each batch's judged clicks go as deltas to
+snapshot stores, and from there to a database if there is one. ``start_trend`` and ``start_arrivals`` are the sliding trend as queries of their own, by event
+time and by arrival. ``cumulative_counts`` and ``minute_trend`` are plain streaming aggregations, for streams that need no dynamic blacklist.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.operators import ads
+from clickloom.operators import ads, trend
 from clickloom.params import Settings
-from clickloom.sources.sinks import EpochStore
+from clickloom.shipping import ship
+from clickloom.sources.database import Database
+from clickloom.sources.snapshots import SnapshotStore
+from clickloom.streaming import state
 
-CLICK_KEYS = ["date", "user_id", "ad_id"]
-STAT_KEYS = ["date", "province", "city", "ad_id"]
-TREND_KEYS = ["date", "hour", "minute", "ad_id"]
+CLICK_KEYS = ("date", "user_id", "ad_id")
+STAT_KEYS = ("date", "province", "city", "ad_id")
+TREND_KEYS = ("date", "hour", "minute", "ad_id")
 
 
 @dataclass(frozen=True)
 class AdStream:
-    """The job's stores under one folder.
+    """The job and its stores under one folder.
 
-    Every store is written under the batch's epoch, and each batch reads earlier epochs only, so a batch that is replayed after a
-    failure writes what it wrote before.
+    Everything a batch does is bound to its epoch: the state store goes back to the batch's own version when it is replayed, snapshot stores replace
+    the batch's segment, and the database notes added epochs, so a batch that is run again changes nothing. A batch reads no store but the counts
+    of the provinces that it touches.
     """
 
     spark: SparkSession
     folder: str
     settings: Settings = Settings()
     filter_trend: bool = False
+    database: Database | None = None
+    fanout: int = 8
+    keep_ms: int = 3 * state.DAY_MS
 
-    def store(self, name: str, schema: str) -> EpochStore:
-        return EpochStore(self.spark, f"{self.folder}/{name}", schema)
+    def store(self, name: str, schema: str, keys: tuple[str, ...], kind: str = "sum") -> SnapshotStore:
+        return SnapshotStore(self.spark, f"{self.folder}/{name}", schema, keys, kind, self.fanout)
 
     @property
-    def user_clicks(self) -> EpochStore:
-        return self.store("ad_user_click_count", "date string, user_id long, ad_id long, click_count long")
+    def user_clicks(self) -> SnapshotStore:
+        return self.store("ad_user_click_count", "date string, user_id long, ad_id long, click_count long", CLICK_KEYS)
 
     @property
-    def blacklist(self) -> EpochStore:
-        return self.store("ad_blacklist", "user_id long")
+    def blacklist(self) -> SnapshotStore:
+        return self.store("ad_blacklist", "user_id long", ("user_id",), "last")
 
     @property
-    def stat(self) -> EpochStore:
-        return self.store("ad_stat", "date string, province string, city string, ad_id long, click_count long")
+    def stat(self) -> SnapshotStore:
+        return self.store("ad_stat", "date string, province string, city string, ad_id long, click_count long", STAT_KEYS)
 
     @property
-    def top(self) -> EpochStore:
-        return self.store("ad_province_top3", "date string, province string, ad_id long, click_count long")
+    def top(self) -> SnapshotStore:
+        return self.store("ad_province_top3", "date string, province string, ad_id long, click_count long", ("date", "province"), "groups")
 
     @property
-    def trend(self) -> EpochStore:
-        return self.store("ad_click_trend", "date string, hour string, minute string, ad_id long, click_count long")
+    def trend(self) -> SnapshotStore:
+        return self.store("ad_click_trend", "date string, hour string, minute string, ad_id long, click_count long", TREND_KEYS)
 
-    def process(self, lines: DataFrame, epoch: int) -> None:
-        """One micro-batch."""
-        clicks = ads.parse_log(lines).persist()
-        try:
-            # the stores are partitioned by date, so a batch reads the days it has clicks of and no others
-            days = [r.date for r in clicks.select("date").distinct().collect()]  # a few days, however large the batch
-            of_days = F.col("date").isin(*days) if days else F.lit(False)
-            listed = self.blacklist.rows().where(F.col("epoch") < epoch).select("user_id").distinct()
-            allowed = ads.without_blacklisted(clicks, listed)
-            self.user_clicks.write(ads.user_click_counts(allowed), epoch)
-            # only users of this batch can pass the threshold now
-            stored = self.user_clicks.rows().where(of_days)
-            seen = stored.where(F.col("epoch") == epoch)
-            totals = stored.where(F.col("epoch") <= epoch).join(seen.select(*CLICK_KEYS), CLICK_KEYS, "left_semi")
-            totals = totals.groupBy(*CLICK_KEYS).agg(F.sum("click_count").alias("click_count"))
-            fresh = ads.blacklisted_users(totals, self.settings.blacklist_threshold).join(listed, "user_id", "left_anti")
-            self.blacklist.write(fresh, epoch)
-            self.stat.write(ads.click_stat(allowed), epoch)
-            stored = self.stat.rows().where(of_days)
-            groups = stored.where(F.col("epoch") == epoch).select("date", "province").distinct()
-            stat = stored.where(F.col("epoch") <= epoch).join(groups, ["date", "province"], "left_semi")
-            self.top.write(ads.province_top(stat, self.settings.top_ads), epoch)
-            self.trend.write(ads.click_trend(allowed if self.filter_trend else clicks), epoch)
-        finally:
-            clicks.unpersist()
+    @property
+    def panes(self) -> SnapshotStore:
+        return self.store("ad_trend_panes", "pane timestamp, minute timestamp, ad_id long, click_count long", ("pane", "minute", "ad_id"))
+
+    @property
+    def arrivals(self) -> SnapshotStore:
+        return self.store("ad_arrival_trend", "minute timestamp, ad_id long, window_end timestamp, click_count long", ("minute", "ad_id"), "last")
 
     def start(self, lines: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Start the stream; once: take what is there, batch by batch, and end."""
-        writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.process)
-        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.batch_interval)
-        return writer.start()
+        found = state.judged(ads.parse_log(lines), self.settings.blacklist_threshold, self.keep_ms)
+        return self._run(found, self.process, checkpoint, once)
+
+    def process(self, rows: DataFrame, epoch: int) -> None:
+        """Write one batch of judged clicks."""
+        rows = rows.persist()  # else every store would run the batch's state again
+        try:
+            days = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()  # runs the batch's state, before anything else reads it
+            clicks = rows.where("not listed")
+            allowed = clicks.where("allowed")
+
+            def ranked() -> None:
+                self.stat.write(_counted(allowed, STAT_KEYS), epoch)
+                touched = self._touched(allowed, self.stat, ("date", "province"), epoch, days)
+                self.top.write(ads.province_top(touched, self.settings.top_ads), epoch)
+
+            _together(
+                ranked,
+                lambda: self.user_clicks.write(_counted(allowed, CLICK_KEYS), epoch),
+                lambda: self.blacklist.write(rows.where("listed").select("user_id"), epoch),
+                lambda: self.trend.write(_counted(allowed if self.filter_trend else clicks, TREND_KEYS), epoch),
+            )
+            if self.database is not None:
+                self._publish(rows, epoch, days)
+        finally:
+            rows.unpersist()
+
+    def _touched(self, rows: DataFrame, store: SnapshotStore, keys: tuple[str, ...], epoch: int, days) -> DataFrame:
+        """The store's rows after the batch, of the keys that the batch has."""
+        held = store.rows(epoch).where(F.col("date").between(days.a, days.b) if days.a is not None else F.lit(False))  # files of other days are skipped
+        touched = held.join(_counted(rows, keys).select(*keys), list(keys), "left_semi")
+        return touched.groupBy(*store.keys).agg(F.sum("click_count").alias("click_count"))
+
+    def _publish(self, rows: DataFrame, epoch: int, days) -> None:
+        """The batch's results as keyed writes: counts of users are added, once an epoch; totals and trend replace theirs; tops replace their group."""
+        db, clicks = self.database, rows.where("not listed")
+        allowed = clicks.where("allowed")
+        db.add(_counted(allowed, CLICK_KEYS), "ad_user_click_count", list(CLICK_KEYS), epoch)
+        db.upsert(rows.where("listed").select("user_id").distinct(), "ad_blacklist", ["user_id"])
+        db.upsert(self._touched(allowed, self.stat, STAT_KEYS, epoch, days), "ad_stat", list(STAT_KEYS))
+        db.upsert(self._touched(_counted(allowed if self.filter_trend else clicks, TREND_KEYS), self.trend, TREND_KEYS, epoch, days), "ad_click_trend", list(TREND_KEYS))
+        groups = _counted(allowed, ("date", "province")).select("date", "province")
+        db.replace_groups(self.top.snapshot(epoch).join(groups, ["date", "province"], "left_semi"), "ad_province_top3", ["date", "province"])
 
     def start_trend(self, lines: DataFrame, checkpoint: str, once: bool = False, late: str = "1 hour") -> StreamingQuery:
-        """Start the sliding trend as a query of its own: windows of settings.trend_window every settings.trend_slide, by event time.
+        """Start the sliding trend by event time: panes of settings.trend_slide, each written once the watermark has passed it; later clicks are dropped."""
+        found = trend.panes(ads.parse_log(lines).withWatermark("ts", late), self.settings.trend_slide)
+        return self._run(found, lambda rows, epoch: self.panes.write(rows, epoch), checkpoint, once, "append")
+
+    def start_arrivals(self, lines: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Start the sliding trend by arrival: clicks of the last settings.trend_window, late ones in their own event minute. It goes on without
+        new clicks, as counts fall with time, until it is stopped."""
+        found = state.arrival_trend(ads.parse_log(lines), self.settings.trend_window, self.settings.trend_slide)
 
-        Finished windows are appended to the store ``ad_sliding_trend`` once the watermark passes their end; later clicks than that are dropped.
-        """
-        rows = sliding_trend(ads.parse_log(lines), self.settings.trend_window, self.settings.trend_slide, late)
-        writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{self.folder}/ad_sliding_trend").option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.batch_interval)).start()
+        def write(rows: DataFrame, epoch: int) -> None:
+            # a key may change several times in a batch: what holds is the change of the last window
+            last = F.max_by(F.struct("window_end", "click_count"), "window_end").alias("v")
+            self.arrivals.write(rows.groupBy("minute", "ad_id").agg(last).select("minute", "ad_id", "v.*"), epoch)
+
+        return self._run(found, write, checkpoint)
+
+    def _run(self, rows: DataFrame, write, checkpoint: str, once: bool = False, mode: str = "update") -> StreamingQuery:
+        ship(self.spark)
+        writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.batch_interval)
+        with state.use_rocksdb(self.spark):
+            return writer.start()
 
     # what the stores hold
 
     def user_click_totals(self) -> DataFrame:
-        return self.user_clicks.summed(CLICK_KEYS, "click_count")
+        return self.user_clicks.snapshot()
 
     def blacklisted(self) -> DataFrame:
-        return self.blacklist.rows().select("user_id").distinct()
+        return self.blacklist.snapshot()
 
     def stat_totals(self) -> DataFrame:
-        return self.stat.summed(STAT_KEYS, "click_count")
+        return self.stat.snapshot()
 
     def province_top(self) -> DataFrame:
-        return self.top.latest_groups(["date", "province"])
+        return self.top.snapshot()
 
     def trend_totals(self) -> DataFrame:
-        return self.trend.summed(TREND_KEYS, "click_count")
+        return self.trend.snapshot()
+
+    def trend_intervals(self) -> DataFrame:
+        """The event-time trend so far, as runs of windows of equal count."""
+        return trend.trend_intervals(self.panes.snapshot(), self.settings.trend_window, self.settings.trend_slide)
+
+    def arrival_counts(self) -> DataFrame:
+        """Clicks that arrived within the window, by event minute and ad, as of the last change."""
+        return self.arrivals.snapshot().where("click_count > 0")
+
+
+def _together(*writes) -> None:
+    """Run small jobs side by side; all have ended when this returns or raises."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
+            done.result()
+
+
+def _counted(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Judged or counted clicks added up by keys; hour and minute become texts of the event minute."""
+    if "n" in rows.columns:
+        rows = rows.select("*", F.col("n").alias("click_count"))
+        if "hour" in keys:
+            rows = rows.withColumns({"hour": F.date_format("minute", "HH"), "minute": F.date_format("minute", "mm")})
+    return rows.groupBy(*keys).agg(F.sum("click_count").alias("click_count"))
 
 
 def cumulative_counts(clicks: DataFrame, expire: str | None = None) -> DataFrame:
@@ -134,7 +204,7 @@ def minute_trend(clicks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def sliding_trend(clicks: DataFrame, window: str = "60 minutes", slide: str = "10 seconds", late: str = "1 hour") -> DataFrame:
-    """Clicks by sliding window, event minute and ad: every row counts in window / slide windows, so prefer minute_trend."""
+    """Clicks by sliding window, event minute and ad, counted directly: every click in window / slide windows. ``trend`` gives the same from panes."""
     minute = F.date_trunc("minute", "ts")
     counted = clicks.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"), minute.alias("minute"), "ad_id").agg(F.count("*").alias("click_count"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "minute", "ad_id", "click_count")
