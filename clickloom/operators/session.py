@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,20 +116,43 @@ def _count_in(c: str, low: int, high: int | None) -> Column:
     return F.count_if(F.col(c) >= low if high is None else F.col(c).between(low, high))
 
 
-def session_histogram(sessions: DataFrame) -> DataFrame:
-    """One row: session_count and the sessions in each visit and step bin."""
+def _histogram() -> list[Column]:
     visit = [_count_in("visit_length", *b).alias(name) for name, b in VISIT_BINS.items()]
     step = [_count_in("step_length", *b).alias(name) for name, b in STEP_BINS.items()]
-    return sessions.agg(F.count("*").alias("session_count"), *visit, *step)
+    return [F.count("*").alias("session_count"), *visit, *step]
 
 
-def session_aggr_stat(sessions: DataFrame, task_id: int = 0) -> DataFrame:
-    """The histogram as shares of all sessions to two decimals; null without sessions."""
-    counts = session_histogram(sessions)
+def session_histogram(sessions: DataFrame) -> DataFrame:
+    """One row: session_count and the sessions in each visit and step bin."""
+    return sessions.agg(*_histogram())
+
+
+def observed_histogram(sessions: DataFrame) -> tuple[DataFrame, Observation]:
+    """The sessions, and their histogram as metrics of the pass that writes them: no pass of its own.
+
+    ``get`` of the observation has the counts once the first action over the returned sessions has ended. Write them with nothing behind
+    that exchanges rows: then the counts come from the tasks that write, each of which Spark counts once however often it was tried.
+    """
+    seen = Observation("session_histogram")
+    return sessions.observe(seen, *_histogram()), seen
+
+
+def _shares(counts: DataFrame, task_id: int) -> DataFrame:
     shares = [round_half_up(ratio(F.col(n), F.col("session_count"))).alias(f"{n}_ratio") for n in (*VISIT_BINS, *STEP_BINS)]
     return counts.select(F.lit(task_id).cast("long").alias("task_id"), "session_count", *shares)
 
 
+def session_aggr_stat(sessions: DataFrame, task_id: int = 0) -> DataFrame:
+    """The histogram as shares of all sessions to two decimals; null without sessions."""
+    return _shares(session_histogram(sessions), task_id)
+
+
+def observed_aggr_stat(spark: SparkSession, counts: dict[str, int], task_id: int = 0) -> DataFrame:
+    """The same from an observed histogram."""
+    names = ["session_count", *VISIT_BINS, *STEP_BINS]
+    return _shares(spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names)), task_id)
+
+
 def sessions_per_hour(sessions: DataFrame) -> DataFrame:
     """date, hour, session_count by start time."""
     return sessions.groupBy(F.substring("start_time", 1, 10).alias("date"), F.substring("start_time", 12, 2).alias("hour")).agg(F.count("*").alias("session_count"))

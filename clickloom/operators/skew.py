@@ -6,6 +6,8 @@ groupBy are the default. These forms serve where keys are known to be skewed bey
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def hot_keys(rows: DataFrame, key: str, n: int = 1, fraction: float = 0.1, seed:
     return drawn.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
 
 
+def heavy_hitters(rows: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """(key, n): every key that holds at least ``share`` of the rows with a key, with its exact count, most frequent first.
+
+    A mergeable sketch of frequent items over all rows, one a task and merged by Spark, keeps at most ``tracked`` keys; it misses none whose count is
+    above 3.5 / tracked of the rows, which is less than half the share. What it keeps is counted exactly in a second pass, in which every task
+    adds up a bounded number of keys.
+    """
+    if not 1e-5 <= share <= 1:
+        raise ValueError("share lies between 0.00001 and 1")
+    tracked = 1 << (math.ceil(8 / share) - 1).bit_length()
+    own = rows.where(F.col(key).isNotNull()).select(key)
+    total = own.count()
+    likely = own.agg(F.expr(f"approx_top_k(`{key}`, {tracked * 3 // 4}, {tracked})").alias("t")).select(F.explode("t").alias("t")).select(F.col("t.item").alias(key)).distinct()
+    counted = own.join(F.broadcast(likely), key, "left_semi").groupBy(key).agg(F.count("*").alias("n"))  # at most tracked keys
+    return counted.where(F.col("n") >= share * total).orderBy(F.desc("n"), key)
+
+
+def balanced(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt anew into partitions of Spark's advisory size, near their keys where keys are given: what is known to be wide or skewed is
+    split, and small parts are joined. For writes and for inputs of costly steps; a join or an aggregation by the same keys exchanges for itself."""
+    return rows.hint("rebalance", *keys)
+
+
 def split_join(left: DataFrame, right: DataFrame, on: str, hot: list, salts: int = 100) -> DataFrame:
     """Inner join in which only the hot keys are salted; the union of both halves is the plain join."""
     is_hot = F.coalesce(F.col(on).isin(*hot), F.lit(False)) if hot else F.lit(False)

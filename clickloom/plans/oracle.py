@@ -117,7 +117,34 @@ _LOG = """clicks AS (
   SELECT date, province, ad_id, click_count FROM (SELECT *, row_number() OVER (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r FROM by_province) AS x WHERE r <= 3
 )"""
 _ALLOWED = _LOG.format(clicks="clicks WHERE user_id NOT IN (SELECT user_id FROM blacklist)")
-_FIRST_BATCH = _LOG.format(clicks="clicks")  # one batch of the stream: the list is still empty
+_EVERY = _LOG.format(clicks="clicks")
+#: The stream replayed: five batches by event id; a user is listed from the batch on after the one in which clicks on an ad in a day reach 3.
+_REPLAY = """clicks AS (
+  SELECT event_id % 5 AS batch, ts, replace(r_name, ' ', '-') AS province, replace(replace(n_name, '_', '-'), ' ', '-') AS city, user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 10 AS ad_id, strftime(ts, '%Y-%m-%d') AS date
+  FROM (SELECT * REPLACE (date_trunc('milliseconds', ts) AS ts) FROM events) AS e JOIN nation ON user_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), so_far AS (
+  SELECT user_id, batch, sum(count(*)) OVER (PARTITION BY date, user_id, ad_id ORDER BY batch) AS n FROM clicks GROUP BY date, user_id, ad_id, batch
+), blacklist AS (
+  SELECT user_id, min(batch) AS last_batch FROM so_far WHERE n >= 3 GROUP BY user_id
+), allowed AS (
+  SELECT clicks.* FROM clicks LEFT JOIN blacklist USING (user_id) WHERE last_batch IS NULL OR batch <= last_batch
+), stat AS (
+  SELECT date, province, city, ad_id, count(*) AS click_count FROM allowed GROUP BY ALL
+), by_province AS (
+  SELECT date, province, ad_id, CAST(sum(click_count) AS BIGINT) AS click_count FROM stat GROUP BY ALL
+), top AS (
+  SELECT date, province, ad_id, click_count FROM (SELECT *, row_number() OVER (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r FROM by_province) AS x WHERE r <= 3
+)"""
+#: Windows of an hour every ten seconds, each click in all of its 360, then runs of windows of equal count.
+_INTERVALS = """direct AS (
+  SELECT start, minute, ad_id, count(*) AS click_count FROM (
+    SELECT time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(10 * unnest(range(360))) AS start, date_trunc('minute', ts) AS minute, ad_id FROM {clicks}
+  ) GROUP BY ALL
+), marked AS (
+  SELECT *, lag(start) OVER w IS DISTINCT FROM start - INTERVAL 10 SECOND OR lag(click_count) OVER w <> click_count AS fresh FROM direct WINDOW w AS (PARTITION BY minute, ad_id ORDER BY start)
+), numbered AS (
+  SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY minute, ad_id ORDER BY start) AS run FROM marked
+) SELECT minute, ad_id, min(start) AS first_window, max(start) AS last_window, any_value(click_count) AS click_count FROM numbered GROUP BY minute, ad_id, run"""
 _TREND = "SELECT date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count FROM clicks GROUP BY ALL"
 _AREA = f"""{_ACTIONS}, {_CITIES}, area_clicks AS (
   SELECT area, click_product_id AS product_id, count(*) AS click_count, array_to_string(list_sort(list(DISTINCT city_id || ':' || city_name)), ',') AS city_infos
@@ -135,11 +162,15 @@ ORACLE_SQL = {
     "session_filter": f"WITH {_FILTERED} SELECT * FROM sessions",
     "session_histogram": f"WITH {_ACTIONS}, {_ALL} SELECT count(*) AS session_count, {', '.join(f'{e} AS {n}' for n, e in _COUNTS)} FROM all_sessions",
     "session_aggr_stat": f"WITH {_FILTERED} SELECT CAST(1 AS BIGINT) AS task_id, count(*) AS session_count, {', '.join(f'floor({e} / CAST(nullif(count(*), 0) AS DOUBLE) * 100.0 + 0.5) / 100.0 AS {n}_ratio' for n, e in _COUNTS)} FROM sessions",
+    "observed_session_aggr_stat": f"WITH {_FILTERED} SELECT CAST(1 AS BIGINT) AS task_id, count(*) AS session_count, {', '.join(f'floor({e} / CAST(nullif(count(*), 0) AS DOUBLE) * 100.0 + 0.5) / 100.0 AS {n}_ratio' for n, e in _COUNTS)} FROM sessions",
     "sessions_per_hour": f"WITH {_SAMPLE} SELECT * FROM hours",
     "session_sample_quotas": f"WITH {_SAMPLE} SELECT * FROM quotas",
     "session_random_extract": f"WITH {_SAMPLE} SELECT CAST(1 AS BIGINT) AS task_id, * FROM drawn",
     "session_random_extract_detail": f"WITH {_SAMPLE} SELECT {_DETAIL_COLUMNS} FROM actions WHERE date BETWEEN '2024-01-01' AND '2024-01-31' AND session_id IN (SELECT session_id FROM drawn)",
     "session_detail": f"WITH {_DETAIL} SELECT * FROM detail",
+    "bucketed_session_detail": f"WITH {_DETAIL} SELECT * FROM detail",
+    "bloom_session_detail": f"WITH {_DETAIL} SELECT * FROM detail",
+    "heavy_hitters": f"WITH {_ACTIONS} SELECT user_id, count(*) AS n FROM actions WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) >= 0.002 * (SELECT count(user_id) FROM actions)",
     "category_counts": f"WITH {_DETAIL} SELECT * FROM counts",
     "top10_category": f"WITH {_DETAIL} SELECT CAST(1 AS BIGINT) AS task_id, * FROM top_categories",
     "top10_session": f"WITH {_DETAIL} SELECT CAST(1 AS BIGINT) AS task_id, * FROM top_sessions",
@@ -157,10 +188,13 @@ ORACLE_SQL = {
     "ad_province_count": f"WITH {_ALLOWED} SELECT * FROM by_province",
     "ad_province_top3": f"WITH {_ALLOWED} SELECT * FROM top",
     "ad_click_trend": f"WITH {_ALLOWED} {_TREND}",
-    "stream_ad_blacklist": f"WITH {_FIRST_BATCH} SELECT * FROM blacklist",
-    "stream_ad_stat": f"WITH {_FIRST_BATCH} SELECT * FROM stat",
-    "stream_ad_province_top3": f"WITH {_FIRST_BATCH} SELECT * FROM top",
-    "stream_ad_click_trend": f"WITH {_FIRST_BATCH} {_TREND}",
+    "stream_ad_blacklist": f"WITH {_REPLAY} SELECT user_id FROM blacklist",
+    "stream_ad_user_click_count": f"WITH {_REPLAY} SELECT date, user_id, ad_id, count(*) AS click_count FROM allowed GROUP BY ALL",
+    "stream_ad_stat": f"WITH {_REPLAY} SELECT * FROM stat",
+    "stream_ad_province_top3": f"WITH {_REPLAY} SELECT * FROM top",
+    "stream_ad_click_trend": f"WITH {_REPLAY} {_TREND}",
+    "ad_trend_intervals": f"WITH {_EVERY}, {_INTERVALS.format(clicks='clicks')}",
+    "stream_trend_intervals": f"WITH {_EVERY}, passed AS (SELECT * FROM clicks WHERE time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= (SELECT max(ts) FROM clicks) - INTERVAL 1 HOUR), {_INTERVALS.format(clicks='passed')}",
     "scalar_functions": f"""WITH {_ACTIONS} SELECT event_id,
       search_keyword IS NULL OR search_keyword = '' AS no_keyword, coalesce(order_category_ids, '') AS trimmed, '0' || page_id AS two_digits, CAST(page_id AS VARCHAR) AS page,
       CAST(NULL AS VARCHAR) AS empty_field, CAST(NULL AS VARCHAR) AS bad_field, 'session=' || session_id || '|page=x|empty=|bad=1=2' AS changed,
@@ -186,6 +220,6 @@ ORACLE_SQL = {
     "ad_sliding_trend": f"""WITH {_ALLOWED}, starts AS (
       SELECT time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * unnest(range(6))) AS window_start, date_trunc('minute', ts) AS minute, ad_id FROM clicks
     ) SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, minute, ad_id, count(*) AS click_count FROM starts GROUP BY ALL""",
-    "store_latest": f"WITH {_FIRST_BATCH} SELECT date, ad_id, CAST(sum(click_count) * CASE WHEN ad_id < 5 THEN 10 ELSE 1 END AS BIGINT) AS click_count FROM stat GROUP BY date, ad_id",
+    "store_latest": f"WITH {_EVERY} SELECT date, ad_id, CAST(sum(click_count) * CASE WHEN ad_id < 5 THEN 10 ELSE 1 END AS BIGINT) AS click_count FROM stat GROUP BY date, ad_id",
     "append_twice": "SELECT p_partkey AS product_id, p_name AS product_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import columns as C
-from clickloom.operators import ads, pageflow, product, session, skew
+from clickloom.operators import ads, bloom, pageflow, product, session, skew, trend
 from clickloom.params import Settings, TaskParams
+from clickloom.sources import catalog
 from clickloom.sources.sinks import EpochStore, append
-from clickloom.sources.tables import fixtures
-from clickloom.streaming.ads_stream import AdStream, sliding_trend
+from clickloom.sources.tables import file_lines, fixtures
+from clickloom.streaming.ads_stream import AdStream
+from clickloom.streaming.state import DAY_MS
 
 TASK = TaskParams.from_json(
     '{"startDate": ["2024-01-01"], "endDate": ["2024-01-31"], "startAge": ["10"], "endAge": ["50"], "sex": ["male"], '
@@ -189,12 +192,21 @@ def _shared(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+BATCHES = 5
+
+
+def _log_files(spark: SparkSession, sf_dir: str, base: str, batch, files: int = 4) -> DataFrame:
+    """The log as a stream of files in batches, in order; batch: the number of an event's batch."""
+    for k in range(BATCHES):
+        fixtures(spark, sf_dir, batch == k).ad_log.repartition(files).write.mode("append").text(f"{base}/in")
+    return file_lines(spark, f"{base}/in", files)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> AdStream:
-    """The whole stream over the log, written as files and taken batch by batch."""
+    """The whole stream over the log, batch by batch; every batch has clicks of every day."""
     base = f"{_shared(spark)}/ads-{uuid.uuid4().hex}"
-    fixtures(spark, sf_dir).ad_log.write.text(f"{base}/in")
-    stream = AdStream(spark, f"{base}/out", Settings(blacklist_threshold=THRESHOLD))
-    stream.start(spark.readStream.text(f"{base}/in"), f"{base}/checkpoint", once=True).awaitTermination()
+    stream = AdStream(spark, f"{base}/out", Settings(blacklist_threshold=THRESHOLD), fanout=4, keep_ms=31 * DAY_MS)
+    stream.start(_log_files(spark, sf_dir, base, F.col("event_id") % BATCHES), f"{base}/checkpoint", once=True).awaitTermination()
     return stream
 
 
@@ -214,6 +226,19 @@ def stream_ad_click_trend(spark, sf_dir):
     return _streamed(spark, sf_dir).trend_totals()
 
 
+def stream_ad_user_click_count(spark, sf_dir):
+    return _streamed(spark, sf_dir).user_click_totals()
+
+
+def stream_trend_intervals(spark, sf_dir):
+    """The sliding trend of the log streamed in order of time, an hour every ten seconds: the panes that the watermark has passed, an hour behind, as
+    runs of windows of equal count."""
+    base = f"{_shared(spark)}/trend-{uuid.uuid4().hex}"
+    stream = AdStream(spark, f"{base}/out", fanout=4)
+    stream.start_trend(_log_files(spark, sf_dir, base, F.floor((F.dayofmonth("ts") - 1) / 6)), f"{base}/checkpoint", once=True).awaitTermination()
+    return stream.trend_intervals()
+
+
 def scalar_functions(spark, sf_dir):
     a = fixtures(spark, sf_dir).actions
     time, c = C.as_time(F.col("action_time")), F.col
@@ -276,6 +301,45 @@ def skew_sample(spark, sf_dir):
     return skew.hot_keys(_sessions_with_users(spark, sf_dir)[0], "user_id", n=10, by="session_id")
 
 
+def heavy_hitters(spark, sf_dir):
+    """Users with at least one in five hundred of the actions, found by a sketch and counted exactly."""
+    return skew.heavy_hitters(fixtures(spark, sf_dir).actions, "user_id", 0.002)
+
+
+def _drop(spark: SparkSession, *tables: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        catalog.drop(spark, *tables)
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Actions and the filtered sessions as catalog tables in the same buckets."""
+    t, name = fixtures(spark, sf_dir), f"clickloom_{uuid.uuid4().hex}"
+    tables = (f"{name}_actions", f"{name}_sessions")
+    atexit.register(_drop, spark, *tables)
+    actions = catalog.save_actions(t.actions, tables[0], 8, f"{_shared(spark)}/{tables[0]}")
+    sessions = session.filtered_sessions(actions, t.users, TASK)
+    return actions, catalog.save_sessions(sessions, tables[1], 8, f"{_shared(spark)}/{tables[1]}")
+
+
+def bucketed_session_detail(spark, sf_dir):
+    """All actions of the filtered sessions, by a join that exchanges neither side."""
+    actions, sessions = _laid_out(spark, sf_dir)
+    return session.session_detail(session.in_date_range(actions, TASK.start_date, TASK.end_date), sessions)
+
+
+def bloom_session_detail(spark, sf_dir):
+    """The same with a Bloom filter of the sessions below the exchange of the actions."""
+    t, sessions = _filtered(spark, sf_dir)
+    return bloom.bloom_semi_join(session.in_date_range(t.actions, TASK.start_date, TASK.end_date), sessions, "session_id")
+
+
+def observed_session_aggr_stat(spark, sf_dir):
+    """The histogram's shares from metrics of the pass that writes the sessions."""
+    sessions, counts = session.observed_histogram(_filtered(spark, sf_dir)[1])
+    sessions.write.parquet(f"{_shared(spark)}/sessions-{uuid.uuid4().hex}")
+    return session.observed_aggr_stat(spark, counts.get, TASK.task_id)
+
+
 def task_params(spark, sf_dir):
     """A task found by its id, and its parameters: element 0 of each array, empty where absent."""
     text = '{"startDate": [], "endDate": ["2024-01-31", "x"], "startAge": ["10"], "endAge": ["50"], "sex": [" "], "cities": ["a, b"], "categoryIds": ["3,4"]}'
@@ -320,8 +384,17 @@ def ad_blacklist_100(spark, sf_dir):
 
 
 def ad_sliding_trend(spark, sf_dir):
-    """Clicks by windows of an hour every ten minutes, event minute and ad."""
-    return sliding_trend(_clicks(spark, sf_dir), slide="10 minutes")
+    """Clicks by windows of an hour every ten minutes, event minute and ad, from panes."""
+    return trend.sliding_windows(_trend_intervals(spark, sf_dir, "10 minutes"), slide="10 minutes")
+
+
+def _trend_intervals(spark: SparkSession, sf_dir: str, slide: str) -> DataFrame:
+    return trend.trend_intervals(trend.panes(_clicks(spark, sf_dir), slide), slide=slide)
+
+
+def ad_trend_intervals(spark, sf_dir):
+    """Clicks by windows of an hour every ten seconds, event minute and ad: runs of windows of equal count."""
+    return _trend_intervals(spark, sf_dir, "10 seconds")
 
 
 def _store(spark: SparkSession, name: str, schema: str) -> EpochStore:
@@ -362,7 +435,7 @@ QUERIES = {
         actions_in_range, user_info, product_info, city_info, session_aggregates, session_filter, session_histogram, session_aggr_stat, sessions_per_hour, session_sample_quotas,
         session_random_extract, session_random_extract_detail, session_detail, category_counts, top10_category, top10_session, top10_session_detail, page_slice_counts, page_start_pv,
         page_split_convert_rate, page_convert_rate_text, area_product_clicks, area_top3_product, ad_log, ad_user_click_count, ad_blacklist, ad_stat, ad_province_count, ad_province_top3,
-        ad_click_trend, stream_ad_blacklist, stream_ad_stat, stream_ad_province_top3, stream_ad_click_trend, scalar_functions, category_ids_distinct, join_broadcast, join_salted,
+        ad_click_trend, stream_ad_blacklist, stream_ad_stat, stream_ad_province_top3, stream_ad_click_trend, stream_ad_user_click_count, stream_trend_intervals, ad_trend_intervals, heavy_hitters, bucketed_session_detail, bloom_session_detail, observed_session_aggr_stat, scalar_functions, category_ids_distinct, join_broadcast, join_salted,
         join_split_skew, two_stage_count, skew_sample, grade_demo, task_params, settings_values, json_items, date_functions, session_filter_all, ad_blacklist_100, ad_sliding_trend,
         store_latest, append_twice,
     )

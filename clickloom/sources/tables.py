@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ACTION_SCHEMA = (
@@ -43,11 +43,15 @@ def _pick(c, values):
     return out
 
 
-def fixtures(spark: SparkSession, sf_dir: str) -> Tables:
+def fixtures(spark: SparkSession, sf_dir: str, of: Column | None = None) -> Tables:
+    """All input tables; with ``of``, actions and log of the events for which it holds."""
+
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     events = table("events").select("event_id", "user_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    if of is not None:
+        events = events.where(of)
     return Tables(
         actions=actions(events),
         users=table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
