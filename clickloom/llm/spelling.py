@@ -8,7 +8,7 @@ one error; a pair that both directions find (an insertion beside equal letters a
 The vocabulary is spread over tasks by those exact halves: a word of L code points goes to the groups of its two halves, and, as a word
 one longer, to those of words of L - 1. Groups are packed by hash, and a task builds one automaton for its groups of one length and direction. A
 group of more than ``most`` words is split, however often the half occurs: the half with the error is halved again, and words
-meet in groups that agree on all but a quarter, and so on down to a single place, where a group can hold no more words than there are letters
+meet in groups that agree on all but a quarter (errors away from the start are looked up forward), and so on down to a single place, where a group can hold no more words than there are letters
 (squared for the longer ones). Tasks send back, for each word, the number of its near words and the most frequent of them, never pairs.
 
 Counting words reads every text whole, in batches, and sends a row for each distinct word of a batch. With ``one_in`` every run h of which that
@@ -235,7 +235,8 @@ def _reversed(codes: np.ndarray) -> np.ndarray:
 def near_in_group(words: list[str], n: np.ndarray, base: int, a: np.ndarray, b: np.ndarray, backward: bool):
     """(distinct words in order, near words of each, frequency and index of the most frequent near word).
 
-    Rows are words of base code points and of one more; near pairs count whose first difference lies in a row's own range a to b.
+    Rows are words of base code points and of one more; near pairs count whose first difference lies in a row's own range a to b. Backward serves
+    ranges from 0 only: elsewhere a letter inserted beside its equals may have its last place before a.
     """
     texts, first, at = np.unique(np.array(words, dtype=f"U{base + 1}"), return_index=True, return_inverse=True)
     codes, n = texts.view(np.uint32).reshape(len(texts), base + 1), n[first]
@@ -297,7 +298,7 @@ def near_words(words: DataFrame, most: int = 50_000, task_words: int = 100_000)
         level = split.select("word", "n", "base", "h.a", "h.b")
     done = materialize(done, "word-lookups")
     tasks = max(1, -(-done.count() // task_words))
-    placed = done.withColumns({"backward": F.col("a") < F.col("base") - F.col("b"), "task": F.pmod("key", F.lit(tasks))})
+    placed = done.withColumns({"backward": F.col("a") == 0, "task": F.pmod("key", F.lit(tasks))})
 
     def look_up(key, table):
         base, backward = key[0].as_py(), key[1].as_py()
