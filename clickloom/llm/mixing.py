@@ -12,8 +12,10 @@ block. Windows and deviation then count from there.
 The schedule is made on the driver, slot by slot, so the number of slots is bounded: a block has ``block_bytes`` of text, or as many as cut the
 corpus into ``most_slots`` blocks if that is more (400 MB each at 100 TB). Every block is scheduled; documents find theirs by a join.
 
-By default weights are the sources' shares of bytes raised to ``power`` (tempered sampling), and every document is chosen. With given
-weights the mix ends where the first source would run out by these weights, and not before that source's last block; what is left of
+By default weights are the sources' shares of bytes raised to ``power`` (tempered sampling), and every document is chosen (``fill``). Without
+``fill`` the mix ends with the last block of the first source to run out, so that what is chosen has the target weights, to within a block of each source; what is left
+of the others is over-weight and not chosen. Only sources of at least ``LEAST`` of the mean size can end it: smaller ones drop out, so that a tiny source does not
+cost the corpus. With given weights the mix ends where the first source would run out by these weights, and not before that source's last block; what is left of
 the others is over-weight and not chosen, nor are sources without a weight. This loss is what the given weights ask for, not a cap.
 
 Running byte counts within a source are formed in two steps (hash ranges of bounded size, then inside each), so a
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import inner, materialize, read, without
 
 MOST_SOURCES = 4096
+LEAST = 0.1
 MOST_RANGES = 1 << 20  # beyond it (1 TB of a source) ranges grow
 
 
@@ -68,7 +71,7 @@ def schedule(blocks: dict, weights: dict) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, most_slots: int = 1 << 18, range_bytes: int = 1 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, fill: bool = True, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_384, most_slots: int = 1 << 18, range_bytes: int = 1 << 20) -> DataFrame:
     """docs with block (from 1, in its source), release, deadline, slot (its place in the mix) and chosen."""
     docs = without(docs, "block", "release", "deadline", "slot", "chosen")
     spark, p = docs.sparkSession, inner(docs)
@@ -89,6 +92,9 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, source
         first = min(blocks, key=lambda s: (blocks[s] / Fraction(weights[s]), repr(s)))
         last = next(t for t, x in enumerate(line) if x[:2] == (first, blocks[first]))
         end = max(math.ceil(blocks[first] * sum(map(Fraction, weights.values())) / Fraction(weights[first])), last + 1)
+    elif not fill and line:
+        large = [s for s in blocks if held[s] * len(held) >= LEAST * sum(held.values())]
+        end = min(t for t, x in enumerate(line) if x[0] in large and x[1] == blocks[x[0]]) + 1
     number = {s: k for k, s in enumerate(blocks)}
     kind = docs.schema[source].dataType.simpleString()
     numbers = F.broadcast(spark.createDataFrame([(s, k) for s, k in number.items()], f"{p}name {kind}, {p}k int"))  # a row per source

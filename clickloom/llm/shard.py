@@ -8,8 +8,10 @@ a single hash; then equal texts stay together unless their group is too large fo
 Only probes and their counts (a number fixed by the shard count and the target part size) come to the driver.
 The documents then move once, straight to their ranges.
 
-Defined cases: a null text has no bytes and counts as size 8; null doc_ids order first; rows with equal text and doc_id
-cannot be told apart and stay on one side of a cut; an empty table gives no rows; columns beside doc_id and text are kept, but
+Where a cut falls among rows of equal text and doc_id, which the key does not tell apart, the documents are first written once with a row number of their own, and
+the search goes on by that inside the group. So a group of any size is cut anywhere.
+
+Defined cases: a null text has no bytes and counts as size 8; null doc_ids order first; an empty table gives no rows; columns beside doc_id and text are kept, but
 those named like a result column give way to it.
 """
 
@@ -48,8 +50,12 @@ def _counts(keys: DataFrame, column: str, probes: np.ndarray) -> tuple[np.ndarra
     return np.cumsum(size)[:-1], np.cumsum(rows)[:-1]
 
 
-def _between(keys: DataFrame, column: str, spans: list[tuple[int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """The rows (hash, doc_id, size) whose key lies in one of the disjoint spans [lo, hi), by lo."""
+class _Repeated(Exception):
+    """A cut falls among rows that the key does not tell apart."""
+
+
+def _between(keys: DataFrame, column: str, spans: list[tuple[int, int]]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """The rows (hash, doc_id, row, size) whose key lies in one of the disjoint spans [lo, hi), by lo."""
     lo, hi = np.array([x[0] for x in spans], np.int64), np.array([x[1] for x in spans], np.int64)
     where = keys.columns.index(column)
 
@@ -59,13 +65,13 @@ def _between(keys: DataFrame, column: str, spans: list[tuple[int, int]]) -> dict
             at = np.searchsorted(lo, key, side="right") - 1
             yield batch.filter(pa.array((at >= 0) & (key < hi[at])))
 
-    found: dict[int, list[tuple[int, int, int]]] = {x[0]: [] for x in spans}
+    found: dict[int, list[tuple[int, int, int, int]]] = {x[0]: [] for x in spans}
     for r in keys.mapInArrow(run, keys.schema).collect():  # at most FEW rows a span
-        found[int(lo[np.searchsorted(lo, r[column], side="right") - 1])].append((r["hash"], r["doc_id"], r["size"]))
+        found[int(lo[np.searchsorted(lo, r[column], side="right") - 1])].append((r["hash"], r["doc_id"], r["row"] if "row" in keys.columns else LOW, r["size"]))
     return found
 
 
-def _refine(keys: DataFrame, column: str, targets: list[float], tolerance: float, each: int, low: int = LOW, high: int = HIGH) -> list[tuple[int, int, int, int] | dict]:
+def _refine(keys: DataFrame, column: str, targets: list[float], tolerance: float, each: int, low: int = LOW, high: int = HIGH) -> list[tuple[int, ...] | dict]:
     """For each target the cut with the bytes below nearest to it, or its interval if that is one key of many rows."""
     edges = [{"lo": low, "lo_size": 0, "lo_rows": 0, "hi": None} for _ in targets]
     out: list = [None] * len(targets)
@@ -87,7 +93,7 @@ def _refine(keys: DataFrame, column: str, targets: list[float], tolerance: float
             below, above = target - e["lo_size"], e["hi_size"] - target
             if min(below, above) <= tolerance:
                 side = "lo" if below <= above else "hi"
-                out[i] = (e[side], LOW, e[side + "_size"], e[side + "_rows"])
+                out[i] = (e[side], LOW, LOW, e[side + "_size"], e[side + "_rows"])
             elif e["hi_rows"] - e["lo_rows"] <= FEW:
                 few[e["lo"]] = e["hi"]
             elif e["hi"] - e["lo"] <= 1:
@@ -104,42 +110,62 @@ def _refine(keys: DataFrame, column: str, targets: list[float], tolerance: float
     return out
 
 
-def _nearest(rows: list[tuple[int, int, int]], e: dict, target: float, tolerance: float, column: str) -> tuple[int, int, int, int]:
-    """The cut before or after one of the rows; by hash, one between different hashes if that is within tolerance."""
-    size, n, cuts = e["lo_size"], e["lo_rows"], []
-    for k, (h, d, s) in enumerate(rows):
-        if not k or rows[k - 1][:2] != (h, d):
-            whole = not k or rows[k - 1][0] != h
-            cuts.append((d, LOW, size, n) if column == "doc_id" else (h, LOW if whole else d, size, n))
+def _nearest(rows: list[tuple[int, int, int, int]], e: dict, target: float, tolerance: float, column: str) -> tuple[int, ...]:
+    """The cut before or after one of the rows; by hash, one between different hashes if that is within tolerance.
+
+    A cut is (value of the column, doc_id, row, bytes below, rows below); LOW where a column does not matter.
+    """
+    size, n, cuts, equal = e["lo_size"], e["lo_rows"], [], 0
+    for k, (h, d, r, s) in enumerate(rows):
+        before = rows[k - 1] if k else (None,) * 3
+        if before[:3] != (h, d, r):
+            if column == "hash":
+                cuts.append((h, LOW if before[0] != h else d, LOW if before[:2] != (h, d) else r, size, n))
+            else:
+                cuts.append((d if column == "doc_id" else r, LOW, LOW if column == "row" or before[1] != d else r, size, n))
+        else:
+            equal = max(equal, s)
         size, n = size + s, n + 1
-    cuts.append((e["hi"], LOW, size, n))
-    best = min((c for c in cuts if c[1] == LOW), key=lambda c: abs(c[2] - target))
-    return best if abs(best[2] - target) <= tolerance else min(cuts, key=lambda c: abs(c[2] - target))
+    cuts.append((e["hi"], LOW, LOW, size, n))
+    best = min((c for c in cuts if c[1:3] == (LOW, LOW)), key=lambda c: abs(c[3] - target))
+    if abs(best[3] - target) <= tolerance:
+        return best
+    best = min(cuts, key=lambda c: abs(c[3] - target))
+    if equal and abs(best[3] - target) > max(tolerance, equal / 2):
+        raise _Repeated
+    return best
 
 
-def splitters(keys: DataFrame, n_parts: int, total: int, tolerance: float = 0.005, each: int = 16) -> list[tuple[int, int, int, int]]:
-    """n_parts - 1 cuts (hash, doc_id, bytes below, rows below), in order; tolerance is a share of a part.
+def splitters(keys: DataFrame, n_parts: int, total: int, tolerance: float = 0.005, each: int = 16) -> list[tuple[int, int, int, int, int]]:
+    """n_parts - 1 cuts (hash, doc_id, row, bytes below, rows below), in order; tolerance is a share of a part.
 
-    A row lies below a cut if its hash is smaller, or equal with a smaller doc_id.
+    A row lies below a cut if its hash is smaller, or equal with a smaller doc_id, or both equal with a smaller row. keys: hash, doc_id, size and, if
+    rows are numbered, row; without it _Repeated says that a cut needs it.
     """
     share = total / n_parts
     targets = [share * k for k in range(1, n_parts)]
-    cuts = _refine(keys, "hash", targets, tolerance * share, each)
+    return sorted(_cuts(keys, ["hash", "doc_id", "row"], targets, tolerance * share, each, {"lo_size": 0, "lo_rows": 0}, LOW, HIGH))
+
+
+def _cuts(keys: DataFrame, columns: list[str], targets: list[float], tolerance: float, each: int, base: dict, low: int, high: int) -> list[tuple[int, ...]]:
+    """Cuts as values of the columns, bytes and rows below; targets and results count from base on."""
+    column, *rest = columns
+    found = _refine(keys, column, [t - base["lo_size"] for t in targets], tolerance, each, low, high)
+    out: list = []
     inside: dict[int, list[int]] = {}
-    for k, c in enumerate(cuts):
+    for k, c in enumerate(found):
         if isinstance(c, dict):
             inside.setdefault(c["lo"], []).append(k)
-    for h, ks in inside.items():  # a group of equal texts larger than the tolerance lies across these targets
-        e = cuts[ks[0]]
-        group = keys.where(F.col("hash") == h)
-        ids = group.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-        found = _refine(group, "doc_id", [targets[k] - e["lo_size"] for k in ks], tolerance * share, each, max(ids.a - 1, LOW), min(ids.b + 1, HIGH))
-        for k, d in zip(ks, found, strict=True):
-            if isinstance(d, dict):  # many rows of one doc_id
-                side = "lo" if targets[k] - e["lo_size"] - d["lo_size"] <= d["hi_size"] + e["lo_size"] - targets[k] else "hi"
-                d = (d[side], LOW, d[side + "_size"], d[side + "_rows"])
-            cuts[k] = (h, d[0], e["lo_size"] + d[2], e["lo_rows"] + d[3])
-    return sorted(cuts)
+        else:  # the values found, without those of columns that this level has fixed
+            out.append((*((c[0], *c[1:3])[: len(columns)] if column == "hash" else (c[0], c[2])[: len(columns)]), base["lo_size"] + c[3], base["lo_rows"] + c[4]))
+    for value, ks in inside.items():  # a group of equal values larger than the tolerance lies across these targets
+        if not rest or rest[0] not in keys.columns:
+            raise _Repeated
+        e, group = found[ks[0]], keys.where(F.col(column) == value)
+        ends = group.agg(F.min(rest[0]).alias("a"), F.max(rest[0]).alias("b")).first()
+        down = {"lo_size": base["lo_size"] + e["lo_size"], "lo_rows": base["lo_rows"] + e["lo_rows"]}
+        out += [(value, *c) for c in _cuts(group, rest, [targets[k] for k in ks], tolerance, each, down, max(ends.a - 1, LOW), min(ends.b + 1, HIGH))]
+    return out
 
 
 def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str = "doc_id", part_bytes: int = 64 << 20, least_parts: int = 96) -> DataFrame:
@@ -157,31 +183,37 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str =
     total = keys.agg(F.sum("size").alias("s")).first().s or 0
     each = max(-(-least_parts // n_shards), -(-total // (n_shards * part_bytes)))
     each = min(each, MOST_PARTS)
-    cuts = splitters(keys, n_shards * each, total)
-    first = [0, *(c[3] for c in cuts)]
-    place = _placer([(c[0], c[1]) for c in cuts])
+    try:
+        cuts, number = splitters(keys, n_shards * each, total), F.lit(0).cast("long")
+    except _Repeated:
+        keyed = materialize(keyed.withColumn(f"{p}row", F.monotonically_increasing_id()), "numbered-documents")
+        keys = materialize(keyed.select(F.col(f"{p}hash").alias("hash"), F.col(f"{p}id").alias("doc_id"), F.col(f"{p}row").alias("row"), size.alias("size")), "shard-keys")
+        cuts, number = splitters(keys, n_shards * each, total), F.col(f"{p}row")
+    first = [0, *(c[4] for c in cuts)]
+    place = _placer([c[:3] for c in cuts])
 
     @F.arrow_udf("int")
-    def part(h: pa.Array, d: pa.Array) -> pa.Array:  # reads keys only: texts stay in the JVM
-        return pa.array(place(h.to_numpy(zero_copy_only=False), d.to_numpy(zero_copy_only=False)))
+    def part(h: pa.Array, d: pa.Array, r: pa.Array) -> pa.Array:  # reads keys only: texts stay in the JVM
+        return pa.array(place(*(x.to_numpy(zero_copy_only=False) for x in (h, d, r))))
 
     parts = n_shards * each
-    moved = keyed.withColumn(f"{p}part", part(f"{p}hash", f"{p}id")).repartitionById(parts, f"{p}part")  # a range, a task
+    moved = keyed.withColumn(f"{p}part", part(F.col(f"{p}hash"), F.col(f"{p}id"), number)).repartitionById(parts, f"{p}part")  # a range, a task
     slot = F.row_number().over(W.partitionBy(f"{p}part").orderBy(f"{p}hash", f"{p}id")) - 1
     base = F.broadcast(spark.createDataFrame([(k, k // each, first[k] - first[k // each * each]) for k in range(parts)], f"{p}k int, shard int, {p}base long"))  # a row per range
     moved = moved.withColumn(f"{p}slot", slot).join(base, F.col(f"{p}part") == F.col(f"{p}k"), "left")
     return moved.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", (F.col(f"{p}base") + F.col(f"{p}slot")).alias("slot"))
 
 
-def _placer(cuts: list[tuple[int, int]]):
-    hashes = np.array([c[0] for c in cuts], np.int64)
-    ids = np.array([c[1] for c in cuts], np.int64)
+def _placer(cuts: list[tuple[int, int, int]]):
+    hashes, ids, rows = (np.array([c[k] for c in cuts], np.int64) for k in range(3))
 
-    def place(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    def place(h: np.ndarray, d: np.ndarray, r: np.ndarray) -> np.ndarray:
         part = np.searchsorted(hashes, h, side="left")  # cuts with a smaller hash
-        end = np.searchsorted(hashes, h, side="right")
-        for row in np.flatnonzero(end > part):  # a cut inside or right before this hash
-            part[row] += np.searchsorted(ids[part[row] : end[row]], d[row], side="right")
+        at = np.flatnonzero(np.searchsorted(hashes, h, side="right") > part)  # rows with a cut inside or right before their hash
+        for value in np.unique(h[at]).tolist():
+            own = at[h[at] == value]
+            for k in range(np.searchsorted(hashes, value, side="left"), np.searchsorted(hashes, value, side="right")):
+                part[own] += (d[own] > ids[k]) | ((d[own] == ids[k]) & (r[own] >= rows[k]))
         return part.astype(np.int32)
 
     return place

@@ -112,6 +112,24 @@ def test_sharding(spark, corpus):
     assert shard.shard(docs.where("false"), n_shards=8).count() == 0
 
 
+def test_rows_that_are_equal_are_cut_too(spark):
+    """Four in five rows are one row without an id: bytes of the shards stay equal, and slots gapless."""
+    many = [(None, "a text that is everywhere " * 8)] * 20_000
+    rows = many + [(k, f"other {k} " * (1 + k % 9)) for k in range(5_000)] + [(3, "of one id")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = shard.shard(docs, n_shards=24).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    size, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        size[r.shard] += len(r.text.encode()) + 8
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, longest = sum(size.values()) / 24, max(len(t.encode()) for _, t in rows) + 8
+    assert len(size) == 24 and all(abs(n - mean) <= 0.01 * mean + longest for n in size.values())
+    few = spark.createDataFrame([(1, "x" * 10_000)] * 48, "doc_id long, text string")
+    assert set(Counter(r.shard for r in shard.shard(few).collect()).values()) == {2}
+
+
 # substrings
 
 
@@ -300,6 +318,20 @@ def test_mixing(spark):
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
         slots = brute_schedule({s: -(-b // size) for s, b in held.items()}, {s: b**0.7 for s, b in held.items()})
         assert all(r.chosen and r.slot == slots[r.source, r.block] and r.release <= r.slot < r.deadline for r in got)
+    # without fill the mix ends with the first source of some size: "tiny" and null do not end it
+    cut = mixing.mix(docs, block_bytes=128, range_bytes=2048, fill=False).collect()
+    held = Counter()
+    for _, text, s in rows:
+        held[s] += max(len((text or "").encode()), 1)
+    blocks = {s: -(-b // 128) for s, b in held.items()}
+    slots = brute_schedule(blocks, {s: b**0.7 for s, b in held.items()})
+    end = min(slots[s, blocks[s]] for s in ("big", "large")) + 1
+    assert all(r.chosen == (slots[r.source, r.block] < end) for r in cut) and not all(r.chosen for r in cut)
+    got = Counter()
+    for r in cut:
+        got[r.source] += r.chosen * max(len((r.text or "").encode()), 1)
+    share = held["big"] ** 0.7 / (held["big"] ** 0.7 + held["large"] ** 0.7)
+    assert abs(got["big"] - share * (got["big"] + got["large"])) <= 2 * 128 and got["tiny"] == held["tiny"]
     # given weights end the mix by themselves
     ends = {r.doc_id: r.chosen for r in mixing.mix(docs.where("source in ('big', 'tiny') and doc_id <> 7"), weights={"big": 499, "tiny": 1}, block_bytes=128).collect()}
     assert ends[1100] and 490 * 128 < sum(len(rows[k][1]) for k in ends if ends[k]) < 510 * 128

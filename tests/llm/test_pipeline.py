@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from clickloom.llm import quality
+from clickloom.llm import mixing, quality
 from clickloom.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tab
 
 def test_stages(spark):
     import corpus_pipeline as p
-    from test_llm_operators import brute_hits, shingles
+    from test_llm_operators import brute_hits, brute_schedule, shingles
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -49,7 +49,14 @@ def test_stages(spark):
         elif k == 2:
             assert set(now) == {d for d in was if not brute_hits(was[d].text, items)[4]}
         elif k == 3:
-            assert len(now) > 0.5 * len(was)
+            held, block = {}, {r.doc_id: (r.source, r.block) for r in mixing.mix(before, fill=False, block_bytes=4096).collect()}
+            for r in was.values():
+                held[r.source] = held.get(r.source, 0) + max(len((r.text or "").encode()), 1)
+            blocks = {s: -(-b // 4096) for s, b in held.items()}
+            slots = brute_schedule(blocks, {s: b**0.7 for s, b in held.items()})
+            end = min(slots[s, n] for s, n in blocks.items() if 10 * len(held) * held[s] >= sum(held.values())) + 1
+            assert set(now) == {d for d, b in block.items() if slots[b] < end}
+            assert 0.5 * len(was) < len(now) < len(was)  # over-weight sources lose documents
         else:
             assert set(now) == set(was)
             by = {}
