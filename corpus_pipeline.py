@@ -33,8 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose blocks the mix takes."""
-    return mixing.mix(docs).where("chosen").select(*docs.columns)
+    """Keep the documents whose blocks the mix takes: sources weigh their bytes to the power 0.7, so large ones lose what is beyond that, and the mix
+    ends with the first source to run out (one far below the mean size does not end it)."""
+    return mixing.mix(docs, fill=False, block_bytes=4096).where("chosen").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
