@@ -40,9 +40,6 @@ HEX = re.compile(r"[0-9a-f]+")
 #: What a text must hold before the patterns above are tried, for a linear-time automaton.
 HINT_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)"
 HINT_HEX = r"[0-9a-f]{24}"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")  # as short as a credential of an assignment
-LETTER = re.compile("[A-Za-z]")
-HINT_CANDIDATE = r"[A-Za-z0-9+/_.=-]{6}"
 FULL = 16  # characters from which the threshold holds as it is; for shorter candidates it grows with the square of what they lack
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 BACKGROUND = 4  # the kind of ordinary words in training
@@ -78,8 +75,6 @@ N_CLASSES = 6
 END = N_CLASSES
 
 
-_PATTERN = {ord(c): str(k) for c, k in _CLASS.items()}
-
 
 def classes(value: str) -> list[int]:
     return [_CLASS.get(c, 5) for c in value]
@@ -260,20 +255,18 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.35, sample: i
 
     def run(batches):
         formats = sent.value
-        known: dict[str, float] = {}
+        known: dict[bytes, float] = {}
         for batch in gather(batches, text):
             texts = pc.fill_null(batch.column(text), "")
             assign = pc.match_substring_regex(texts, HINT_ASSIGN).to_numpy(zero_copy_only=False)
             access = pc.match_substring(texts, "AKIA").to_numpy(zero_copy_only=False)
             hexes = pc.match_substring_regex(texts, HINT_HEX).to_numpy(zero_copy_only=False)
-            some = pc.match_substring_regex(texts, HINT_CANDIDATE).to_numpy(zero_copy_only=False) if formats else np.zeros(len(texts), bool)
+            more = learned(texts, formats, threshold, known) if formats else {}
             out: list[list[dict]] = [[] for _ in range(len(texts))]
-            for k in np.flatnonzero(assign | access | hexes | some):
-                row = texts[int(k)].as_py()
-                base = base_spans(row, bool(assign[k]), bool(hexes[k]))
+            for k in sorted({*np.flatnonzero(assign | access | hexes).tolist(), *more}):
+                base = base_spans(texts[k].as_py(), bool(assign[k]), bool(hexes[k])) if assign[k] or access[k] or hexes[k] else []
                 spans = [(s, kind, e, None) for s, kind, e in base]
-                if some[k]:
-                    spans += learned(row, base, formats, threshold, known)
+                spans += [x for x in more.get(k, ()) if not any(s < x[2] and x[0] < e for s, _, e in base)]
                 out[k] = [{"kind": KINDS[kind], "start": s, "end": e, "score": score} for s, kind, e, score in sorted(spans, key=lambda x: x[:3])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, kind_type)], names=[*kept, "spans"])
 
@@ -283,23 +276,43 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.35, sample: i
     return docs.mapInArrow(run, schema)
 
 
-def learned(row: str, base: list[tuple[int, int, int]], formats: list[Automaton], threshold: float, known: dict[str, float]) -> list[tuple[int, int, int, float]]:
-    """Candidates of a text whose format likelihood beats the background, clear of base spans; known holds the advantages of short patterns."""
-    found = []
-    for m in CANDIDATE.finditer(row):
-        if not LETTER.search(m[0]):
-            continue
-        pattern = m[0].translate(_PATTERN)
+def candidate_table() -> np.ndarray:
+    """Candidates are runs of credential characters; each counts as its class plus 1."""
+    table = np.zeros(256, np.uint8)
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
+        table[ord(c)] = _CLASS[c] + 1
+    return table
+
+
+def learned(texts: pa.Array, formats: list[Automaton], threshold: float, known: dict[bytes, float]) -> dict[int, list[tuple[int, int, int, float]]]:
+    """By text, the candidates (start, kind, end, advantage) whose format likelihood beats the background.
+
+    Every distinct pattern of classes of a batch is scored once; known holds the advantages, less what each length asks for, of short ones.
+    """
+    words = Words(texts, candidate_table())
+    patterns, at = words.distinct()
+    over = np.full(len(patterns), -np.inf)
+    value = np.zeros(len(patterns))
+    for k, pattern in enumerate(patterns.to_pylist()):
         score = known.get(pattern)
         if score is None:
-            kinds = [int(c) for c in pattern]
-            score = max(a.score(kinds) for a in formats[:-1]) - formats[-1].score(kinds)
+            score = -np.inf
+            if len(pattern) >= LEAST_ASSIGN and any(1 < c < 6 for c in pattern):
+                kinds = [c - 1 for c in pattern]
+                score = max(a.score(kinds) for a in formats[:-1]) - formats[-1].score(kinds)
             if len(pattern) <= 2 * FULL:
                 if len(known) >= MOST_KNOWN:
                     known.clear()
                 known[pattern] = score
-        if score >= threshold * max(FULL / len(pattern), 1) ** 2 and not any(s < m.end() and m.start() < e for s, _, e in base):
-            found.append((m.start(), 3, m.end(), score))
+        value[k] = score
+        over[k] = score - threshold * max(FULL / len(pattern), 1) ** 2
+    hit = np.flatnonzero(over[at] >= 0) if len(at) else np.empty(0, np.int64)
+    points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])  # code points before each byte
+    doc = words.doc()[hit]
+    base = points[words.offsets[doc]]
+    found: dict[int, list] = {}
+    for d, s, e, x in zip(doc.tolist(), (points[words.start[hit]] - base).tolist(), (points[words.end[hit]] - base).tolist(), value[at[hit]].tolist(), strict=True):
+        found.setdefault(d, []).append((s, 3, e, x))
     return found
 
 

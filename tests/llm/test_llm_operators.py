@@ -256,7 +256,12 @@ def test_short_and_letter_only_credentials_are_scored(spark):
     assert not any(got[k] for k in range(461))
     upper = ["".join("GHJKLMNPQR"[int(c)] for c in f"{k * 7919:012d}") for k in range(60)]
     formats = [secrets.infer([secrets.classes(v) for v in x]) for x in (upper, re.findall("[A-Za-z]+", " ".join(texts[60:460])))]
-    assert [x[:3] for x in secrets.learned("and QRSTUVWXYZGH there", [], formats, 0.35, {})] == [(4, 3, 16)]
+    rows = secrets.pa.array(["and QRSTUVWXYZGH there", None, "é 中 QRSTUVWXYZGH", ""])
+    for known in ({}, {b"\x05" * 6: -1.0}):
+        found = secrets.learned(rows, formats, 0.35, known)
+        assert {k: [x[:3] for x in v] for k, v in found.items()} == {0: [(4, 3, 16)], 2: [(4, 3, 16)]}  # code points
+        score = max(a.score(secrets.classes("QRSTUVWXYZGH")) for a in formats[:-1]) - formats[-1].score(secrets.classes("QRSTUVWXYZGH"))
+        assert found[0][0][3] == found[2][0][3] == score
 
 
 # mixing
