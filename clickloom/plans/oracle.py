@@ -207,10 +207,10 @@ ORACLE_SQL = {
     "join_salted": _JOIN,
     "join_split_skew": _JOIN,
     "two_stage_count": f"WITH {_DETAIL} SELECT click_category_id, count(*) AS click_count FROM detail WHERE click_category_id IS NOT NULL GROUP BY ALL",
-    "grade_demo": "SELECT class, grade, CASE WHEN grade >= 90 THEN 'A' WHEN grade >= 80 THEN 'B' WHEN grade >= 70 THEN 'C' ELSE 'D' END AS level, CASE WHEN grade >= 80 THEN 'GOOD' ELSE 'BAD' END AS verdict, CAST(row_number() OVER (PARTITION BY class ORDER BY grade DESC) AS INTEGER) AS rank FROM (VALUES ('class1', CAST(85 AS INTEGER)), ('class2', 90), ('class1', 60), ('class2', 73)) AS v(class, grade)",
+    "customer_grades": """SELECT user_id, class, grade, CASE WHEN grade >= 90 THEN 'A' WHEN grade >= 80 THEN 'B' WHEN grade >= 70 THEN 'C' ELSE 'D' END AS level, CASE WHEN grade >= 80 THEN 'GOOD' ELSE 'BAD' END AS verdict,
+      CAST(row_number() OVER (PARTITION BY class ORDER BY grade DESC, user_id) AS INTEGER) AS rank FROM (SELECT c_custkey AS user_id, c_nationkey AS class, CAST(floor(c_acctbal / 100) AS BIGINT) AS grade FROM customer) AS c""",
     "skew_sample": f"WITH {_ACTIONS}, {_ALL} SELECT user_id, count(*) AS n FROM all_sessions WHERE substr(md5('9:' || session_id), 1, 4) < '1999' AND user_id IS NOT NULL GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
-    "task_params": "SELECT CAST(2 AS BIGINT) AS task_id, CAST(NULL AS VARCHAR) AS start_date, '2024-01-31' AS end_date, CAST(10 AS INTEGER) AS start_age, CAST(50 AS INTEGER) AS end_age, CAST(NULL AS VARCHAR) AS sex, 'a,b' AS cities, '3,4' AS category_ids, '' AS keywords",
-    "settings_values": "SELECT CAST(7 AS INTEGER) AS blacklist_threshold, CAST(0 AS INTEGER) AS top_ads, '30 minutes' AS trend_window, CAST(10 AS INTEGER) AS top_categories",
+    "task_session_filter": f"WITH {_ACTIONS}, {_USERS}, {_SESSIONS.format(where="WHERE date BETWEEN '2024-01-05' AND '2024-01-25'")} SELECT s.*, age, professional, city, sex FROM all_sessions AS s JOIN users USING (user_id) WHERE age BETWEEN 10 AND 50 AND city = (SELECT n_name FROM nation WHERE n_nationkey = 11)",
     "json_items": "SELECT p_partkey AS product_id, p_name AS name, CAST(NULL AS VARCHAR) AS beyond FROM part",
     "date_functions": f"WITH {_ACTIONS} SELECT event_id, strftime(t, '%Y-%m-%d') AS date_text, strftime(t, '%Y-%m-%d %H:%M:%S') AS time_text, CAST(1 AS INTEGER) AS days FROM actions",
     "session_filter_all": f"""WITH {_ACTIONS}, {_USERS}, {_ALL} SELECT s.*, age, professional, city, sex FROM all_sessions AS s JOIN users USING (user_id)

@@ -11,7 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clickloom.functions import columns as C
 from clickloom.operators import ads, bloom, pageflow, product, session, skew, trend
@@ -192,6 +191,19 @@ def _shared(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_remove, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+def _remove(where, files) -> None:
+    with contextlib.suppress(Exception):  # the gateway may have ended before
+        files.delete(where, True)
+
+
 BATCHES = 5
 
 
@@ -204,7 +216,7 @@ def _log_files(spark: SparkSession, sf_dir: str, base: str, batch, files: int =
 
 def _streamed(spark: SparkSession, sf_dir: str) -> AdStream:
     """The whole stream over the log, batch by batch; every batch has clicks of every day."""
-    base = f"{_shared(spark)}/ads-{uuid.uuid4().hex}"
+    base = _scratch(spark, "ads")
     stream = AdStream(spark, f"{base}/out", Settings(blacklist_threshold=THRESHOLD), fanout=4, keep_ms=31 * DAY_MS)
     stream.start(_log_files(spark, sf_dir, base, F.col("event_id") % BATCHES), f"{base}/checkpoint", once=True).awaitTermination()
     return stream
@@ -233,7 +245,7 @@ def stream_ad_user_click_count(spark, sf_dir):
 def stream_trend_intervals(spark, sf_dir):
     """The sliding trend of the log streamed in order of time, an hour every ten seconds: the panes that the watermark has passed, an hour behind, as
     runs of windows of equal count."""
-    base = f"{_shared(spark)}/trend-{uuid.uuid4().hex}"
+    base = _scratch(spark, "trend")
     stream = AdStream(spark, f"{base}/out", fanout=4)
     stream.start_trend(_log_files(spark, sf_dir, base, F.floor((F.dayofmonth("ts") - 1) / 6)), f"{base}/checkpoint", once=True).awaitTermination()
     return stream.trend_intervals()
@@ -316,9 +328,9 @@ def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t, name = fixtures(spark, sf_dir), f"clickloom_{uuid.uuid4().hex}"
     tables = (f"{name}_actions", f"{name}_sessions")
     atexit.register(_drop, spark, *tables)
-    actions = catalog.save_actions(t.actions, tables[0], 8, f"{_shared(spark)}/{tables[0]}")
+    actions = catalog.save_actions(t.actions, tables[0], 8, _scratch(spark, "actions"))
     sessions = session.filtered_sessions(actions, t.users, TASK)
-    return actions, catalog.save_sessions(sessions, tables[1], 8, f"{_shared(spark)}/{tables[1]}")
+    return actions, catalog.save_sessions(sessions, tables[1], 8, _scratch(spark, "sessions"))
 
 
 def bucketed_session_detail(spark, sf_dir):
@@ -336,23 +348,16 @@ def bloom_session_detail(spark, sf_dir):
 def observed_session_aggr_stat(spark, sf_dir):
     """The histogram's shares from metrics of the pass that writes the sessions."""
     sessions, counts = session.observed_histogram(_filtered(spark, sf_dir)[1])
-    sessions.write.parquet(f"{_shared(spark)}/sessions-{uuid.uuid4().hex}")
+    sessions.write.parquet(_scratch(spark, "sessions"))
     return session.observed_aggr_stat(spark, counts.get, TASK.task_id)
 
 
-def task_params(spark, sf_dir):
-    """A task found by its id, and its parameters: element 0 of each array, empty where absent."""
-    text = '{"startDate": [], "endDate": ["2024-01-31", "x"], "startAge": ["10"], "endAge": ["50"], "sex": [" "], "cities": ["a, b"], "categoryIds": ["3,4"]}'
-    tasks = spark.createDataFrame([(1, "{}"), (2, text)], "task_id long, task_param string")
-    t = TaskParams.from_table(tasks, 2)
-    row = (t.task_id, t.start_date, t.end_date, t.start_age, t.end_age, t.sex, ",".join(t.cities), ",".join(map(str, t.category_ids)), ",".join(t.keywords))
-    return spark.createDataFrame([row], "task_id long, start_date string, end_date string, start_age int, end_age int, sex string, cities string, category_ids string, keywords string")
-
-
-def settings_values(spark, sf_dir):
-    """Settings from text: numbers that cannot be read become 0, names not given keep their defaults."""
-    s = Settings.from_mapping({"blacklist_threshold": "7", "top_ads": "many", "trend_window": "30 minutes", "unknown": 1})
-    return spark.createDataFrame([(s.blacklist_threshold, s.top_ads, s.trend_window, s.top_categories)], "blacklist_threshold int, top_ads int, trend_window string, top_categories int")
+def task_session_filter(spark, sf_dir):
+    """The sessions of a task found by its id in a table of tasks, one for each nation: its city, a range of days and of ages."""
+    text = F.concat(F.lit('{"startDate": ["2024-01-05"], "endDate": ["2024-01-25", "x"], "startAge": ["10"], "endAge": ["50"], "sex": [" "], "cities": ["'), "n_name", F.lit('"]}'))
+    tasks = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("task_id"), text.alias("task_param"))
+    t = fixtures(spark, sf_dir)
+    return session.filtered_sessions(t.actions, t.users, TaskParams.from_table(tasks, 11))
 
 
 def json_items(spark, sf_dir):
@@ -398,7 +403,7 @@ def ad_trend_intervals(spark, sf_dir):
 
 
 def _store(spark: SparkSession, name: str, schema: str) -> EpochStore:
-    return EpochStore(spark, f"{_shared(spark)}/{name}-{uuid.uuid4().hex}", schema)
+    return EpochStore(spark, _scratch(spark, name), schema)
 
 
 def store_latest(spark, sf_dir):
@@ -413,20 +418,20 @@ def store_latest(spark, sf_dir):
 
 def append_twice(spark, sf_dir):
     """Rows appended to a table in two writes."""
-    path = f"{_shared(spark)}/append-{uuid.uuid4().hex}"
+    path = _scratch(spark, "append")
     products = fixtures(spark, sf_dir).products.select("product_id", "product_name")
     append(products.where("product_id % 2 = 0"), path)
     append(products.where("product_id % 3 = 0"), path)
     return spark.read.schema(products.schema).parquet(path)
 
 
-def grade_demo(spark, sf_dir):
-    """Searched CASE, IF and row_number on known grades."""
-    rows = spark.createDataFrame([("class1", 85), ("class2", 90), ("class1", 60), ("class2", 73)], T.StructType.fromDDL("class string, grade int"))
+def customer_grades(spark, sf_dir):
+    """Searched CASE, IF and row_number: customers graded by balance and ranked within their nation."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("class"), F.floor(F.col("c_acctbal") / 100).cast("long").alias("grade"))
     g = F.col("grade")
     level = F.when(g >= 90, "A").when(g >= 80, "B").when(g >= 70, "C").otherwise("D")
-    rank = F.row_number().over(W.partitionBy("class").orderBy(F.desc("grade")))
-    return rows.select("class", "grade", level.alias("level"), F.when(g >= 80, "GOOD").otherwise("BAD").alias("verdict"), rank.alias("rank"))
+    rank = F.row_number().over(W.partitionBy("class").orderBy(F.desc("grade"), "user_id"))
+    return rows.select("user_id", "class", "grade", level.alias("level"), F.when(g >= 80, "GOOD").otherwise("BAD").alias("verdict"), rank.alias("rank"))
 
 
 QUERIES = {
@@ -436,7 +441,7 @@ QUERIES = {
         session_random_extract, session_random_extract_detail, session_detail, category_counts, top10_category, top10_session, top10_session_detail, page_slice_counts, page_start_pv,
         page_split_convert_rate, page_convert_rate_text, area_product_clicks, area_top3_product, ad_log, ad_user_click_count, ad_blacklist, ad_stat, ad_province_count, ad_province_top3,
         ad_click_trend, stream_ad_blacklist, stream_ad_stat, stream_ad_province_top3, stream_ad_click_trend, stream_ad_user_click_count, stream_trend_intervals, ad_trend_intervals, heavy_hitters, bucketed_session_detail, bloom_session_detail, observed_session_aggr_stat, scalar_functions, category_ids_distinct, join_broadcast, join_salted,
-        join_split_skew, two_stage_count, skew_sample, grade_demo, task_params, settings_values, json_items, date_functions, session_filter_all, ad_blacklist_100, ad_sliding_trend,
+        join_split_skew, two_stage_count, skew_sample, customer_grades, task_session_filter, json_items, date_functions, session_filter_all, ad_blacklist_100, ad_sliding_trend,
         store_latest, append_twice,
     )
 }

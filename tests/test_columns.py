@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
@@ -71,3 +72,15 @@ def test_json_and_slices(spark):
     days = one(spark, a=F.datediff(C.today().cast("date"), C.yesterday().cast("date")))
     assert days == {"a": 1}
     assert C.page_slices((1, 2, 3)) == ["1_2", "2_3"] and C.page_slices((1,)) == []
+
+
+def test_grades_with_known_answers(spark):
+    """Searched CASE, IF and row_number."""
+    rows = spark.createDataFrame([(85,), (90,), (60,), (73,)], "grade int")
+    g = F.col("grade")
+    level = F.when(g >= 90, "A").when(g >= 80, "B").when(g >= 70, "C").otherwise("D")
+    got = {r.grade: (r.level, r.verdict) for r in rows.select("grade", level.alias("level"), F.when(g >= 80, "GOOD").otherwise("BAD").alias("verdict")).collect()}
+    assert got == {85: ("B", "GOOD"), 90: ("A", "GOOD"), 60: ("D", "BAD"), 73: ("C", "BAD")}
+    ranked = spark.createDataFrame([("class1", 80), ("class1", 75), ("class1", 90), ("class1", 60)], "class string, grade int")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("grade")))
+    assert {r.grade: r.rank for r in ranked.select("grade", rank.alias("rank")).collect()} == {80: 2, 75: 3, 90: 1, 60: 4}
