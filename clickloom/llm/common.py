@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, list[str]] = {}
+_made: dict[str, list[tuple]] = {}
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -31,12 +31,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,19 +41,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def remember(spark: SparkSession, path: str) -> None:
-    """Have cleanup() remove a path, at the latest when the driver ends."""
+    """Have cleanup() remove a path, at the latest when the driver ends, also after the session has been stopped."""
     owner = spark.sparkContext.applicationId
     if owner not in _made:
         _made[owner] = []
-        atexit.register(cleanup, spark)
-    _made[owner].append(path)
+        atexit.register(_clear, owner)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made[owner].append((where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
+
+
+def _clear(owner: str) -> None:
+    for where, files in _made.pop(owner, []):
+        with contextlib.suppress(Exception):  # the driver's JVM may have ended before
+            files.delete(where, True)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Remove the tables that this session's operators wrote into the shared folder; call it once their results are used."""
-    with contextlib.suppress(Exception):
-        for path in _made.pop(spark.sparkContext.applicationId, []):
-            _remove(spark, path)
+    _clear(spark.sparkContext.applicationId)
 
 
 def ship(spark: SparkSession) -> None:

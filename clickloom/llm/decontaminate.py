@@ -10,7 +10,8 @@ The automaton is broadcast. Its size follows the benchmark, not the corpus, and
 ``max_windows`` windows the benchmark is scanned in several automata, one pass over the documents each.
 
 Defined cases: null and empty texts have no words and no hits; null or word-less items never match; items with
-null ids match but are not listed; repeated documents each get their own row; extra columns are kept, but those named like a result column give way to it.
+null ids match but are not listed; repeated documents each get their own row; a text of any length is
+scanned whole; an empty table gives no rows; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ vector and a spanning forest of its links, never the links themselves, so large
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors
 of different dimension; very large and very small finite components are scaled before norms are taken; every row is a vector of its own, so rows
 that share a vec_id link with each other and count each other; rows without a vec_id link like others but name no component; an empty table
-gives no rows; extra columns are dropped.
+gives no rows; a pair at the threshold itself links; extra columns are dropped.
 """
 
 from __future__ import annotations

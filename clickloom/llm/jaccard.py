@@ -24,7 +24,8 @@ Identical sets are one set from the start, told apart by 128 bits of hashes of c
 
 Defined cases: null and empty texts have an empty set, size 0, and are classes of their own; a text of fewer words than a shingle is one
 shingle; rows with null doc_id link like others, but
-do not name a class: one of such rows alone has a null component_id; repeated rows are identical sets; an empty table gives no rows.
+do not name a class: one of such rows alone has a null component_id; repeated rows are identical sets; a text of any length is one set; a pair
+at the similarity itself links; extra columns, whatever their names, are not read by the join and kept by representatives(); an empty table gives no rows.
 """
 
 from __future__ import annotations

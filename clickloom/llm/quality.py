@@ -10,7 +10,7 @@ no labeller spoke.
 Fitting the scorer reads at most ``most_rows`` different rows, smallest hashes of doc_id first; pattern counts cover all
 texts, and scoring reads every text whole.
 
-Defined cases: null texts and texts without words are rejected with score 0; repeated rows are judged alike; a corpus on which no
+Defined cases: null texts and texts without words are rejected with score 0; repeated rows are judged alike; a text of any length is read whole; a corpus on which no
 labeller tells classes apart is kept; an empty table gives no rows; extra columns are kept, but those
 named like a result column give way to it.
 """

@@ -13,7 +13,7 @@ Training reads at most ``sample`` // 4 distinct labelled credentials of each kin
 (smallest hashes first, so a bounded sample that is the same for every layout of the rows); scanning covers every character of every text.
 
 Defined cases: null text counts as empty; with no credentials to learn from nothing is learned and only base spans
-are reported; extra columns are kept, but those named like a result column give way to it.
+are reported; a text of any length is scanned whole; repeated rows are scanned alike; an empty table gives no rows; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The documents then move once, straight to their ranges.
 Where a cut falls among rows of equal text and doc_id, which the key does not tell apart, the documents are first written once with a row number of their own, and
 the search goes on by that inside the group. So a group of any size is cut anywhere.
 
-Defined cases: a null text has no bytes and counts as size 8; null doc_ids order first; an empty table gives no rows; columns beside doc_id and text are kept, but
+Defined cases: a null text has no bytes and counts as size 8; null doc_ids order first; a text of any length is one row's size; an empty table gives no rows; columns beside doc_id and text are kept, but
 those named like a result column give way to it.
 """
 

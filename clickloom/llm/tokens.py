@@ -13,7 +13,7 @@ leaves no half-written block.
 Words that the tokenizer's rules separate are encoded once each by a worker; see Encoder.
 
 Defined cases: a null or empty text has only the end id; null doc_ids order first; repeated doc_ids are ordered by checksum;
-a text of any length is one document of one or more blocks' size; columns other than doc_id and text are not read; an empty table gives no rows.
+a text of any length is one document of one or more blocks' size; columns other than doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ texts of any label; labels come from rows outside the held-out fold alone, and n
 of at least ``least_df`` positives the ``most_keys`` that differ most, in standard errors, from the class-prior-corrected negatives are kept. Scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and get the score of the bias; documents without a label are scored alike;
-with no confirmed toxic text every score is next to 0; repeated rows are scored alike; extra columns are kept, but those named like a result column give way to it.
+with no confirmed toxic text every score is next to 0; repeated rows are scored alike; a text of any length is read whole; a score of
+CUT itself counts as toxic; an empty table gives no rows; extra columns are kept, but those named like a result column give way to it.
 """
 
 from __future__ import annotations

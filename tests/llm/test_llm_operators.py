@@ -689,3 +689,40 @@ def test_clashing_columns_and_null_rows(spark, corpus):
         assert len(found.collect()) == 15
     assert set(jaccard.representatives(docs).columns) == set(docs.columns)
     assert tokens.tokenize(docs, pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")).count() == 15
+
+
+# very long texts and empty tables
+
+
+def test_texts_beyond_a_megabyte(spark):
+    """Two copies of a text of 1.6 MB, one with a word changed at its end, among short ones: read whole by every operator."""
+    long = " ".join(words_of(220_000, 21, 30_000)) + " token = 'abc123xyz9' and the end"
+    assert len(long) > 1_400_000
+    texts = [long, long[: -len("the end")] + "a start", "short one", None]
+    docs = documents(spark, texts)
+    item = " ".join(long.split()[-14:-3])
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.digest(decontaminate.decontaminate(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))).collect()}
+    want = {k: brute_hits(t, [(5, item)]) for k, t in enumerate(texts)}
+    assert hits == {k: w[:2] for k, w in want.items()} and hits[0][1] >= 10
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind != "learned"] for r in secrets.scan(docs).collect()}
+    at = long.index("token = ")
+    assert found[0] == found[1] == [("assign", at, at + len("token = 'abc123xyz9"))] and found[2] == found[3] == []
+    classes = {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()}
+    assert classes[0] == classes[1] == 0 and classes[2] == 2
+    removed = {r.doc_id: r.n_removed for r in substrings.repeats(docs).collect()}
+    assert removed[0] == removed[1] == len(split_ws(long)) - 2 and removed[2] == 0
+    placed = shard.shard(docs, n_shards=2).collect()
+    assert Counter(r.text for r in placed) == Counter(texts)
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 4 and quality.judge(docs, quality.train(docs)).count() == 4
+
+
+def test_empty_tables(spark):
+    none = documents(spark, ["x"]).where("false")
+    items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert decontaminate.digest(decontaminate.decontaminate(none, items)).count() == 0
+    assert secrets.scan(none).count() == 0
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+    assert quality.judge(none, quality.train(none)).count() == 0
+    assert jaccard.classes(none).count() == 0 and jaccard.representatives(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mix(none, fill=False).count() == 0

@@ -1,15 +1,18 @@
 """The registered queries on a small folder of tables, against their SQL or brute force."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from clickloom.llm import jaccard
+from clickloom.llm import jaccard, quality, toxicity
 from clickloom.llm.queries import ORACLE_SQL, QUERIES
+from clickloom.llm.textnum import Words, whitespace_table
 
 
 def thue_morse(n):
@@ -62,10 +65,22 @@ def test_op2_columns(spark, tables):
 
 def test_op4_columns(spark, tables):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    kinds = ("assign", "access", "hex", "learned")
     for r in QUERIES["op4_secrets"](spark, tables[0]).collect():
         t = tables[1][r.doc_id] or ""
-        want = [sum(len(m[2]) >= 6 for m in pattern.finditer(t)), sum(len(m[0]) >= 20 for m in re.finditer("AKIA[A-Z0-9]+", t)), sum(len(m[0]) >= 24 for m in re.finditer("[0-9a-f]+", t))]
-        assert [r.n_assign, r.n_access, r.n_hex] == want
+        found = [[m.span() for m in pattern.finditer(t) if len(m[2]) >= 6], [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20], [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]]
+        assert [r.n_assign, r.n_access, r.n_hex] == [len(x) for x in found]
+        base = [f"{kinds[k]}:{s}:{e}" for s, k, e in sorted((s, k, e) for k, x in enumerate(found) for s, e in x)]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [":".join(x) for x in spans if x[0] != "learned"] == base
+        assert spans == sorted(spans, key=lambda x: (int(x[1]), kinds.index(x[0])))
+        taken = [(int(s), int(e)) for k, s, e in spans if k != "learned"]
+        for k, s, e in spans:
+            if k == "learned":
+                s, e = int(s), int(e)
+                assert re.fullmatch("[A-Za-z0-9+/_.=-]{6,}", t[s:e]) and re.search("[A-Za-z]", t[s:e]) and not any(a < e and s < b for a, b in taken)
+                assert not re.match("[A-Za-z0-9+/_.=-]", t[s - 1 : s] if s else "") and not re.match("[A-Za-z0-9+/_.=-]", t[e : e + 1])
 
 
 def test_op5_op6_op7_give_every_document_a_row(spark, tables):
@@ -78,6 +93,20 @@ def test_op5_op6_op7_give_every_document_a_row(spark, tables):
             assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_op6_op7_equal_their_models_text_by_text(spark, tables):
+    """What the queries return is what the trained models say of each text alone."""
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{tables[0]}/labels.parquet"))
+    for r in QUERIES["op7_toxicity"](spark, tables[0]).collect():
+        assert abs(r.score - model.score(pa.array([tables[1][r.doc_id]], pa.string()))[0]) < 1e-9
+        assert r.predicted == int(r.score >= 0.7)
+    w, b, _ = quality.train(docs)
+    for r in QUERIES["op6_quality"](spark, tables[0]).collect():
+        text = tables[1][r.doc_id]
+        alone = quality.score(Words(pa.array([text], pa.string()), whitespace_table()), w, b)[0] if (text or "").split() else 0.0
+        assert abs(r.score - alone) < 1e-6, r.doc_id
+
+
 def test_op8_equals_the_tokenizer(spark, tables):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
