@@ -38,7 +38,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(k, k % 2, int(k % 4 == 0)) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     x = rng.normal(size=(40, 16)).astype(np.float32)
     x[20:] = x[:20] + rng.normal(scale=0.05, size=(20, 16)).astype(np.float32)
-    spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(k, [float(c) for c in v], k % 4 or None) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder, texts
 
 
