@@ -6,8 +6,8 @@ seeds that occur at least twice. Around each of these, to both sides, every wind
 windows around all other shared seeds; those that occur elsewhere make up, in union, the maximal repeats. Pairs of documents are not extended word by word:
 in a group of n copies that would be n * n extensions.
 
-The texts are exchanged once, into chunks by a hash of doc_id; each step reads that same exchange. What travels
-beside it are compact lists: each chunk sends its distinct seeds (later: its distinct windows around shared seeds) to
+The texts are exchanged once, into chunks by a hash of doc_id and text (repeated rows with more text than a chunk holds go to several); each
+step reads that same exchange. What travels beside it are compact lists: each chunk sends its distinct seeds (later: its distinct windows around shared seeds) to
 hash buckets, once each with a mark if the chunk itself holds two, and gets back one bit each. A passage that a third of all documents
 share is thus one entry a chunk, and no group of its occurrences ever meets in a task.
 
@@ -24,12 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, inner, read, without
+from .common import bound_batches, inner, materialize, read, without
 from .textnum import Words, mix, whitespace_table
 
 #: Bounds of the numbers of chunks and buckets; between them both follow the input. At the upper bounds chunks and buckets grow
@@ -144,6 +144,34 @@ REPLY = "chunk int, bucket int, shared binary"
 LISTS = "chunk int, bucket int, hashes binary, checks binary, twice binary"
 
 
+def _salted(docs: DataFrame, text: str, doc_id: str, chunk: str, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+    """docs with the number of each row's chunk, the number of chunks, and the bytes of all texts.
+
+    Rows go by a hash of doc_id and text, those of equal doc_id and text so to one chunk. Where such a group has more text than a chunk,
+    its rows are dealt over as many chunks as hold it: chunks count what they share, so a passage is found whichever chunks have it. Groups of that size are at most as many as
+    there are chunks (MOST_CHUNKS), so their table is broadcast.
+    """
+    if docs.isEmpty():  # nothing would be observed
+        return docs.withColumn(chunk, F.lit(0)), LEAST, 0
+    total = Observation()
+    size = F.octet_length(text)
+    rows = docs.select(F.xxhash64(doc_id, text).alias("h"), size.alias("n")).observe(total, F.sum("n").alias("n"))
+    groups = rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    groups = materialize(groups.where((F.col("rows") > 1) & (F.col("n") > chunk_bytes)).select("h", "n"), "repeated")
+    total = total.get["n"] or 0
+    chunks = max(LEAST, min(-(-total // chunk_bytes), MOST_CHUNKS))
+    own = F.xxhash64(doc_id, text)
+    share = max(chunk_bytes, total // chunks)
+    large = groups.where(F.col("n") > share)
+    if large.isEmpty():
+        return docs.withColumn(chunk, F.pmod(own, F.lit(chunks)).cast("int")), chunks, total
+    pieces = large.select(F.col("h").alias(f"{chunk}h"), F.ceil(F.col("n") / share).alias(f"{chunk}k"))
+    dealt = docs.withColumns({f"{chunk}own": own, f"{chunk}row": F.monotonically_increasing_id()})
+    dealt = dealt.join(F.broadcast(pieces), F.col(f"{chunk}own") == F.col(f"{chunk}h"), "left")
+    piece = F.coalesce(F.pmod(F.xxhash64(f"{chunk}row"), f"{chunk}k"), F.lit(0))
+    return dealt.select(*(F.col(f"`{c}`") for c in docs.columns), F.pmod(F.pmod(f"{chunk}own", F.lit(chunks)) + piece, F.lit(chunks)).cast("int").alias(chunk)), chunks, total
+
+
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 35, seed: int = 18, chunk_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20, keep_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept (words joined by one space; only with keep_text), kept_sha256 and spans:
     the removed word ranges [first, last) of each text, which are its maximal repeats.
@@ -151,11 +179,9 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     docs = without(docs, "n_words", "n_removed", "kept", "kept_sha256", "spans")
     spark = docs.sparkSession
     bound_batches(spark)
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    chunks = max(LEAST, min(-(-total // chunk_bytes), MOST_CHUNKS))
-    buckets = max(LEAST, min(-(-total // bucket_bytes), MOST_BUCKETS))
     chunk = f"{inner(docs)}chunk"
-    salted = docs.withColumn(chunk, F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int"))
+    salted, chunks, total = _salted(docs, text, doc_id, chunk, chunk_bytes)
+    buckets = max(LEAST, min(-(-total // bucket_bytes), MOST_BUCKETS))
     parts = min(chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4))
     dealt = salted.repartition(parts, chunk)
     kept = [c for c in docs.columns if c != text]

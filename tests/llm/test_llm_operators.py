@@ -170,6 +170,11 @@ def test_repeated_rows_in_bulk(spark):
     docs = documents(spark, texts, ids=[7] * 400 + [None] * 200 + list(range(100, 160)))
     got = substrings.repeats(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(7, 45, 45)] * 400 + [(None, 45, 45)] * 200 + [(k, 50, 0) for k in range(100, 160)])
+    small = substrings.repeats(docs, chunk_bytes=2048)  # the repeated rows are more than a chunk holds
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in small.collect()) == Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got)
+    dealt, _, _ = substrings._salted(docs, "text", "doc_id", "chunk", 2048)
+    rows = Counter(r.chunk for r in dealt.where("doc_id = 7 or doc_id is null").collect())
+    assert max(rows.values()) <= 60 and sum(rows.values()) == 600
     placed = shard.shard(docs, n_shards=8).collect()
     assert Counter((r.doc_id, r.text) for r in placed) == Counter((None if 400 <= k < 600 else 7 if k < 400 else k - 500, t) for k, t in enumerate(texts))
     slots = defaultdict(list)
