@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +28,12 @@ from pyspark.sql import types as T
 from .common import bound_batches, gather, materialize, read, without
 from .textnum import Words, alnum_table
 
-RESULT = "n_words long, hits array<struct<first:int,last:int,begin:long,end:long,items:array<string>>>"
+RESULT = "n_words long, hits array<struct<first:int,last:int,begin:long,end:long>>, items array<string>"
 BREAK = "\x02"  # between documents; no window has it
 UNKNOWN = 1
 
 
+SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
 _scanners: dict[str, object] = {}
 
 
@@ -57,8 +59,18 @@ def symbols(n: int) -> np.ndarray:
     return found
 
 
+def runs_of(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true words inside each document: first words, words after the last, and where each document's runs begin."""
+    edge = np.zeros(len(hit) + 1, bool)  # true where a run ends or begins anew
+    edge[first] = True
+    own = np.concatenate([[False], hit, [False]])
+    begin = np.flatnonzero(own[1:-1] & (~own[:-2] | edge[:-1]))
+    end = np.flatnonzero(own[1:-1] & (~own[2:] | edge[1:])) + 1
+    return begin, end, np.searchsorted(begin, first)
+
+
 def scanner(known: list[bytes], windows: dict[str, list[str]]):
-    """A function from a text column to the word counts and occurrences of each text."""
+    """A function from a text column (and the spans found before, if any) to n_words, hits and items of each text, as Arrow arrays."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -66,28 +78,41 @@ def scanner(known: list[bytes], windows: dict[str, list[str]]):
         automaton.add_word(w, k)
     if windows:
         automaton.make_automaton()
-    lengths, ids = [len(w) for w in windows], list(windows.values())
+    lengths, ids = np.array([len(w) for w in windows], np.int64), list(windows.values())
     symbol = dict(zip(known, symbols(len(known)).tolist(), strict=True))
 
-    def scan(texts) -> tuple[np.ndarray, list[list[dict]]]:
-        words = Words(texts, alnum_table())
-        hits: list[list[dict]] = [[] for _ in words.counts]
-        if not windows or not len(words):
-            return words.counts, hits
+    def occurrences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first word and window number of every occurrence."""
         own, number = words.distinct()  # symbols stand for words by their bytes, so a hit is exact
         code = np.array([symbol.get(w, UNKNOWN) for w in own.to_pylist()], "<u4")[number]
-        line = np.full(len(code) + len(hits), ord(BREAK), "<u4")
+        line = np.full(len(code) + len(words.counts), ord(BREAK), "<u4")
         line[np.arange(len(code)) + words.doc()] = code
-        breaks = words.first[1:] + np.arange(1, len(hits) + 1)
-        for end, k in automaton.iter(line.tobytes().decode("utf-32-le")):
-            d = int(np.searchsorted(breaks, end, side="right"))
-            last = end - d
-            first = last - lengths[k] + 1
-            base = words.offsets[d]
-            hits[d].append(
-                {"first": int(first - words.first[d]), "last": int(last - words.first[d]), "begin": int(words.start[first] - base), "end": int(words.end[last] - base), "items": ids[k]}
-            )
-        return words.counts, hits
+        breaks = words.first[1:] + np.arange(1, len(words.counts) + 1)
+        found = np.fromiter((x for pair in automaton.iter(line.tobytes().decode("utf-32-le")) for x in pair), np.int64).reshape(-1, 2)
+        doc = np.searchsorted(breaks, found[:, 0], side="right")
+        return doc, found[:, 0] - doc - lengths[found[:, 1]] + 1, found[:, 1]
+
+    def scan(texts, before: pa.Array | None = None, named: pa.Array | None = None) -> list[pa.Array]:
+        words = Words(texts, alnum_table())
+        n = len(words.counts)
+        edge = np.zeros(len(words) + 1, np.int64)
+        items: list[set] = [set(x or ()) for x in named.to_pylist()] if named is not None else [set() for _ in range(n)]
+        if windows and len(words):
+            doc, first, window = occurrences(words)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + lengths[window], -1)
+            for key in np.unique(doc * len(ids) + window).tolist():  # a window counts once a document, however often it occurs
+                items[key // len(ids)].update(ids[key % len(ids)])
+        if before is not None:
+            spans = before.flatten()
+            base = np.repeat(words.first[:-1], pc.list_value_length(before).to_numpy())
+            np.add.at(edge, base + spans.field("first").to_numpy(), 1)
+            np.add.at(edge, base + spans.field("last").to_numpy() + 1, -1)
+        begin, end, at = runs_of(np.cumsum(edge[:-1]) > 0, words.first)
+        doc = np.repeat(np.arange(n), np.diff(at))
+        fields = [begin - words.first[doc], end - 1 - words.first[doc], words.start[begin] - words.offsets[doc], words.end[end - 1] - words.offsets[doc]]
+        hits = pa.StructArray.from_arrays([pa.array(x, t.type) for x, t in zip(fields, SPAN, strict=True)], fields=list(SPAN))
+        return [pa.array(words.counts, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), hits), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
     return scan
 
@@ -101,14 +126,16 @@ def scanner_of(key: str, sent):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_windows: int = 2_000_000, keep_text: bool = True) -> DataFrame:
-    """docs with the columns n_words and hits: every occurrence of a benchmark window, as word positions (first and
-    last), byte positions in the original UTF-8 text (begin, end) and the ids of the items that hold the window.
+    """docs with the columns n_words, hits and items. hits: the maximal runs of words inside occurrences of benchmark windows, as word positions
+    (first and last) and byte positions in the original UTF-8 text (begin, end); items: the ids of the items with occurring windows, sorted.
+
+    What a document brings is bounded by its words and the benchmark's items, however many items share a window and however often it occurs.
     """
     n_windows = items.select(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n")).first().n or 0
     n_blocks = -(-n_windows // max_windows) or 1
     numbered = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t"))
     numbered = numbered.withColumn("block", F.pmod(F.xxhash64("item", "t"), F.lit(n_blocks)))
-    docs = without(docs, "n_words", "hits")
+    docs = without(docs, "n_words", "hits", "items")
     spark, found = docs.sparkSession, docs
     bound_batches(spark)
     for block in range(n_blocks):
@@ -128,15 +155,10 @@ def _scan(docs: DataFrame, sent, text: str, kept: list[str], first: bool) -> Dat
     def run(batches):
         scan = scanner_of(key, sent)
         for batch in gather(batches, text):
-            counts, hits = scan(batch.column(text))
-            columns = [batch.column(c) for c in kept]
-            if not first:
-                hits = [(a.as_py() or []) + b for a, b in zip(batch.column("hits"), hits, strict=True)]
-            columns += [pa.array(counts, pa.int64()), pa.array(hits, hit_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "hits"])
-
-    hit_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
-    schema = docs.select(*kept).schema
+            found = scan(batch.column(text)) if first else scan(batch.column(text), batch.column("hits"), batch.column("items"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], names=[*kept, "n_words", "hits", "items"])
+
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for f in T.StructType.fromDDL(RESULT).fields:
         schema = schema.add(f)
     return docs.mapInArrow(run, schema)
@@ -144,14 +166,13 @@ def _scan(docs: DataFrame, sent, text: str, kept: list[str], first: bool) -> Dat
 
 def digest(found: DataFrame) -> DataFrame:
     """The per-document report: n_words, n_hit (words inside any occurrence), the items, and whether any hit."""
-    words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["last"]))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
     return found.select(
         "doc_id",
         "n_words",
-        F.size(words).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
 

@@ -87,11 +87,22 @@ def test_decontamination(spark, corpus, most):
         for h in r.hits:
             span = r.text.encode()[h.begin : h.end].decode()
             assert len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", span.lower())) == h.last - h.first + 1
+        assert r["items"] == sorted(r["items"]) and all(a.last < b.first - 1 for a, b in zip(r.hits, r.hits[1:], strict=False))  # runs are maximal
     nothing = decontaminate.decontaminate(documents(spark, corpus), benchmark.where("false"))
     assert nothing.where("size(hits) > 0").count() == 0 and nothing.count() == len(corpus)
     assert decontaminate.decontaminate(documents(spark, corpus).where("false"), benchmark).count() == 0
 
 
+def test_a_word_that_many_items_share(spark):
+    """A document of one word, many times, that each of many items is: one run, and each item once; several automata give the same."""
+    items = spark.createDataFrame([(k, "same") for k in range(300)] + [(300, "other same")], "item_id long, text string")
+    docs = documents(spark, ["Same " * 5000, "same same. other SAME", "other", None])
+    for most in (2_000_000, 30):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, items, max_windows=most).collect()}
+        assert [len(got[k].hits) for k in range(4)] == [1, 1, 0, 0] and [len(got[k]["items"]) for k in range(4)] == [300, 301, 0, 0]
+        assert (got[0].hits[0].first, got[0].hits[0].last, got[0].hits[0].end) == (0, 4999, 5000 * 5 - 1)
+
+
 # sharding
 
 
