@@ -1,9 +1,11 @@
 import os
+import random
 import time
 from collections import Counter, defaultdict
 from pathlib import Path
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,90 @@ def test_clicks_are_combined_before_the_exchange(spark):
     assert len(found) == 1 and found[0].n == 5000  # a busy user is a row a task
 
 
+def test_small_arrow_batches_are_combined_too(spark):
+    """A session whose Arrow batches were bounded before still sends a busy user as a row a task; what a task holds is bounded."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "512")
+    try:
+        lines = spark.createDataFrame([(f"{1704067200000 + k} p1 c1 1 7",) for k in range(5000)], "value string").coalesce(1)
+        assert [r.n for r in state.combined(ads.parse_log(lines)).collect()] == [5000]
+        users = spark.createDataFrame([(f"1704067200000 p1 c1 {k % 1700} 7",) for k in range(5000)], "value string").coalesce(1)
+        found = state.combined(ads.parse_log(users), most=1000).collect()
+        assert sum(r.n for r in found) == 5000 and {r.user_id for r in found} == set(range(1700))
+    finally:
+        spark.conf.set(size, before)
+
+
+class Counted:
+    """The state of one bucket in memory, with the number of calls to it."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        def call(f):
+            def counted(*a):
+                self.calls += 1
+                return f(*a)
+
+            return counted
+
+        return SimpleNamespace(exists=call(lambda: self.held is not None), get=call(lambda: self.held), update=call(lambda v: setattr(self, "held", v)))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def bucket_of(clicks, most=512):
+    """Frames of (user, day, ad, n), as a bucket's processor gets them."""
+    frame = pd.DataFrame(clicks, columns=["user_id", "day", "ad_id", "n"]).assign(minute=0, province="p", city="c")
+    return iter([frame[k : k + most] for k in range(0, len(frame), most)])
+
+
+def test_calls_to_the_state_do_not_grow_with_clicks():
+    """They were several a click, which made the stream's time; a bucket of many users is now read and written as one."""
+    calls = []
+    for users in (10, 3000):
+        handle, processor = Counted(), state.Blacklist(3, state.DAY_MS)
+        processor.init(handle)
+        for _ in range(2):
+            clicks = [(u, 19723 + u % 30, 7, 1) for u in range(users)]
+            assert sum(f["n"].sum() for f in processor.handleInputRows((0,), bucket_of(clicks), None)) == users
+        calls.append(handle.calls)
+    assert calls[0] == calls[1] <= 5
+
+
+def test_a_bucket_judges_as_a_plain_loop_does():
+    rng = random.Random(5)
+    handle, processor = Counted(), state.Blacklist(3, state.DAY_MS)
+    processor.init(handle)
+    listed, counts = set(), Counter()
+    for _ in range(12):
+        clicks = [(rng.randrange(-40, 200), 19723 + rng.randrange(3), rng.randrange(3), rng.choice((1, 1, 1, 2))) for _ in range(60)]
+        got = pd.concat(processor.handleInputRows((0,), bucket_of(clicks, 7), None))
+        own = got[~got["listed"]]
+        assert list(own["allowed"]) == [c[0] not in listed for c in clicks]
+        for u, d, a, n in clicks:
+            counts[u, d, a] += n * (u not in listed)
+        now = {k[0] for k, n in counts.items() if n >= 3}
+        assert sorted(got.loc[got["listed"], "user_id"]) == sorted(now - listed)
+        listed |= now
+    held, left = processor._held()
+    assert set(held) == listed and {tuple(r) for r in left.to_numpy()} == {(*k, n) for k, n in counts.items() if k[0] not in listed}
+    at = min(handle.timers)
+    list(processor.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: at), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    assert set(processor._held()[1]["day"]) == {19724, 19725} and max(handle.timers) == at + state.DAY_MS and set(processor._held()[0]) == listed
+
+
+def test_the_number_of_buckets_changes_no_result(spark, tmp_path):
+    feed(tmp_path / "in", BATCHES)
+    stream = AdStream(spark, f"{tmp_path}/out", Settings(blacklist_threshold=3), buckets=1)
+    run(spark, stream, tmp_path)
+    check(stream, BATCHES)
+
+
 def test_plain_streaming_aggregations(spark, tmp_path):
     source = Path(tmp_path, "in")
     source.mkdir()
