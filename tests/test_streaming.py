@@ -228,6 +228,26 @@ def test_the_number_of_buckets_changes_no_result(spark, tmp_path):
     check(stream, BATCHES)
 
 
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """A stream of two batches over 3,000 users, each of whom comes twice to thrice, with its batches."""
+    folder = tmp_path_factory.mktemp("many")
+    batches = [[f"{1704067200000 + 60_000 * (u % 90)} p{u % 3} c{u % 5} {u} {u % 4}" for u in range(3000) for _ in range(1 + (u % 7 == k))] for k in range(2)]
+    feed(folder / "in", batches)
+    stream = AdStream(spark, f"{folder}/out", Settings(blacklist_threshold=3))
+    query = stream.start(file_lines(spark, str(folder / "in"), 1), f"{folder}/checkpoint", once=True)
+    query.awaitTermination()
+    return stream, replayed(batches, 3), query
+
+
+@pytest.mark.parametrize("name", ["user_click_totals"])
+def test_the_state_has_no_row_for_every_user(many_users, name):
+    """What each stream query takes from its store is whole, while the state that all of them wait for is a row a bucket."""
+    stream, want, query = many_users
+    assert rows(getattr(stream, name)()) == want[name]
+    assert 0 < max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= state.BUCKETS
+
+
 def test_plain_streaming_aggregations(spark, tmp_path):
     source = Path(tmp_path, "in")
     source.mkdir()
