@@ -240,7 +240,7 @@ def many_users(spark, tmp_path_factory):
     return stream, replayed(batches, 3), query
 
 
-@pytest.mark.parametrize("name", ["user_click_totals", "province_top", "stat_totals"])
+@pytest.mark.parametrize("name", ["user_click_totals", "province_top", "stat_totals", "trend_totals"])
 def test_the_state_has_no_row_for_every_user(many_users, name):
     """What each stream query takes from its store is whole, while the state that all of them wait for is a row a bucket."""
     stream, want, query = many_users
