@@ -248,6 +248,40 @@ def test_the_state_has_no_row_for_every_user(many_users, name):
     assert 0 < max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= state.BUCKETS
 
 
+@pytest.fixture(scope="module")
+def default_session(spark, tmp_path_factory):
+    """A stream started in a session of 200 shuffle partitions, Spark's default, with its query."""
+    folder = tmp_path_factory.mktemp("default")
+    feed(folder / "in", BATCHES[:3])
+    before = spark.conf.get(state.SHUFFLE)
+    spark.conf.set(state.SHUFFLE, "200")
+    try:
+        stream = AdStream(spark, f"{folder}/out", Settings(blacklist_threshold=3))
+        query = stream.start(file_lines(spark, str(folder / "in"), 1), f"{folder}/checkpoint", once=True)
+        query.awaitTermination()
+        assert spark.conf.get(state.SHUFFLE) == "200"
+        yield stream, replayed(BATCHES[:3], 3), query
+    finally:
+        spark.conf.set(state.SHUFFLE, before)
+
+
+@pytest.mark.parametrize("name", ["user_click_totals"])
+def test_the_parts_of_the_state_follow_the_cores(default_session, name):
+    """Every part costs a state store and a Python worker in each batch, which made most of the stream's time; 4 cores had 200 of them."""
+    stream, want, query = default_session
+    assert rows(getattr(stream, name)()) == want[name]
+    assert {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators} == {16}
+
+
+def test_given_parts_of_the_state(spark, tmp_path):
+    feed(tmp_path / "in", BATCHES[:3])
+    stream = AdStream(spark, f"{tmp_path}/out", Settings(blacklist_threshold=3), partitions=3)
+    query = stream.start(file_lines(spark, str(tmp_path / "in"), 1), f"{tmp_path}/checkpoint", once=True)
+    query.awaitTermination()
+    check(stream, BATCHES[:3])
+    assert {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators} == {3}
+
+
 def test_plain_streaming_aggregations(spark, tmp_path):
     source = Path(tmp_path, "in")
     source.mkdir()
