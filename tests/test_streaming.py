@@ -273,6 +273,15 @@ def test_the_parts_of_the_state_follow_the_cores(default_session, name):
     assert {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators} == {16}
 
 
+@pytest.mark.parametrize("name, store", [("province_top", "top")])
+def test_a_batch_without_clicks_writes_no_store(default_session, name, store):
+    """After the last clicks a batch follows that only moves the event time on; it wrote a segment and a manifest of every store."""
+    stream, want, query = default_session
+    assert [p.batchId for p in query.recentProgress if not p.numInputRows] == [3]
+    assert [(s["first"], s["last"]) for s in getattr(stream, store).segments()] == [(0, 0), (1, 1), (2, 2)]
+    assert rows(getattr(stream, name)()) == want[name]
+
+
 def test_given_parts_of_the_state(spark, tmp_path):
     feed(tmp_path / "in", BATCHES[:3])
     stream = AdStream(spark, f"{tmp_path}/out", Settings(blacklist_threshold=3), partitions=3)
