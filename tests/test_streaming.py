@@ -273,7 +273,7 @@ def test_the_parts_of_the_state_follow_the_cores(default_session, name):
     assert {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators} == {16}
 
 
-@pytest.mark.parametrize("name, store", [("province_top", "top"), ("stat_totals", "stat")])
+@pytest.mark.parametrize("name, store", [("province_top", "top"), ("stat_totals", "stat"), ("trend_totals", "trend")])
 def test_a_batch_without_clicks_writes_no_store(default_session, name, store):
     """After the last clicks a batch follows that only moves the event time on; it wrote a segment and a manifest of every store."""
     stream, want, query = default_session
